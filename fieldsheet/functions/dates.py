@@ -14,7 +14,7 @@ Month names are full English names or their three-letter forms. Anything else is
 
 from pyspark.sql import Column, functions as F
 
-from .text import MISSING_WORDS, let, strip
+from .text import let, strip
 
 # English month names.
 MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august",
@@ -81,16 +81,18 @@ def _read(t: Column) -> Column:
                 _part(t, MONTH_YEAR, 2), month_number(_part(t, MONTH_YEAR, 1)), F.lit("01")), "named month")))
 
 
-def date_value(c: Column) -> Column:
-    """Struct (start, end, precision, iso) of one date text, null if it is not a date."""
+def date_value(c: Column, iso: bool = False) -> Column:
+    """Struct (start, end, precision) of one date text and, if wanted, its ISO form; null if it is not a date."""
     def spanned(t, r, d):
         p = r["precision"]
-        return F.when(d.isNotNull(), F.struct(
+        text = (F.when(p.isin("year", "month"), t).when(p == "named month", F.left(d.cast("string"), F.lit(7)))
+                .when(p == "time", F.replace(t, F.lit(" "), F.lit("T"))).otherwise(d.cast("string")))
+        fields = [
             d.alias("start"),
-            F.when(p == "year", F.date_sub(F.add_months(d, 12), 1)).when(p == "month", F.last_day(d)).otherwise(d).alias("end"),
-            F.when(p == "named month", F.lit("month")).otherwise(p).alias("precision"),
-            F.when(p.isin("year", "month"), t).when(p == "named month", F.date_format(d, "yyyy-MM"))
-            .when(p == "time", F.replace(t, F.lit(" "), F.lit("T"))).otherwise(F.date_format(d, "yyyy-MM-dd")).alias("iso")))
+            F.when(p == "day", d).when(p == "year", F.date_sub(F.add_months(d, 12), 1))
+            .when(p == "month", F.last_day(d)).otherwise(d).alias("end"),
+            F.when(p == "named month", F.lit("month")).otherwise(p).alias("precision")]
+        return F.when(d.isNotNull(), F.struct(*fields, *([text.alias("iso")] if iso else [])))
 
     return let(strip(c.cast("string")), lambda t: let(
         _read(t), lambda r: let(_to_date(r["text"]), lambda d: spanned(t, r, d))))
@@ -128,54 +130,56 @@ def event_date(c: Column) -> Column:
         ).otherwise(result(t, day, day, none, False))
 
     def read(t, one):
-        both = let(_sides(t), lambda s: F.struct(date_value(s["left"]).alias("a"), date_value(s["right"]).alias("b")))
+        both = let(_sides(t), lambda s: F.struct(date_value(s["left"], True).alias("a"), date_value(s["right"], True).alias("b")))
         return (F.when(one.isNotNull(), result(one["iso"], one["start"], one["end"], one["precision"], True))
                 .when(t.contains("/"), let(both, lambda p: ranged(t, p)))
                 .otherwise(result(t, day, day, none, False)))
 
-    return let(c.cast("string"), lambda t: let(date_value(t), lambda one: read(strip(t), one)))
+    return let(c.cast("string"), lambda t: let(date_value(t, True), lambda one: read(strip(t), one)))
 
 
 def date_bounds(c: Column) -> Column:
     """Struct (start, end) covered by a date or an interval text; reversed intervals are swapped."""
     def parts(t):
         words = F.split(t, RANGE_WORD, 2)
-        whole = F.struct(t.alias("left"), t.alias("right"))
-        return (F.when(t.contains("/"), _sides(t))
-                .when(t.rlike(RANGE_WORD), F.struct(words[0].alias("left"), words[1].alias("right")))
-                .otherwise(whole))
-
-    def ordered(a, b):
-        last = F.when((b["precision"] == "month") & ~b["named"], b["end"]).when(b["precision"] == "month", b["start"]).otherwise(b["end"])
-        return F.when(a["start"].isNotNull() & b["start"].isNotNull(), F.struct(
-            F.least(a["start"], last).alias("start"), F.greatest(a["start"], last).alias("end")))
+        return F.when(t.contains("/"), _sides(t)).otherwise(F.struct(words[0].alias("left"), words[1].alias("right")))
 
     def valued(x):
-        return let(date_value(x), lambda v: F.struct(
-            v["start"].alias("start"), v["end"].alias("end"), v["precision"].alias("precision"),
-            x.rlike("[A-Za-z]{3}").alias("named")))
+        """A month given by name stands for its first day."""
+        return let(date_value(x), lambda v: F.when(v.isNotNull(), F.struct(
+            v["start"].alias("start"),
+            F.when((v["precision"] == "month") & ~x.rlike(YEAR_MONTH), v["start"]).otherwise(v["end"]).alias("end"))))
+
+    def ordered(p):
+        a, b = p["a"], p["b"]
+        return F.when(a.isNotNull() & b.isNotNull(), F.struct(
+            F.least(a["start"], b["end"]).alias("start"), F.greatest(a["start"], b["end"]).alias("end")))
 
     def bounds(t):
-        return let(parts(t), lambda s: let(
-            F.struct(valued(s["left"]).alias("a"), valued(s["right"]).alias("b")), lambda p: ordered(p["a"], p["b"])))
+        two = let(parts(t), lambda s: let(
+            F.struct(valued(s["left"]).alias("a"), valued(s["right"]).alias("b")), ordered))
+        return F.when(t.contains("/") | t.rlike(RANGE_WORD), two).otherwise(valued(t))
 
-    t = strip(c.cast("string"))
-    return let(F.when(~F.lower(t).isin(MISSING_WORDS), t), bounds)
+    return let(strip(c.cast("string")), bounds)
 
 
 def ymd_bounds(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
     """Struct (start, end) of whole-number year, month and day columns; impossible parts are ignored."""
     null = F.lit(None).cast("bigint")
-    month = null if month is None else month
-    day = null if day is None else day
-    fine = year.between(1, 9999)
-    jan = make_day(year, F.lit(1), F.lit(1))
-    first = F.when(month.between(1, 12), make_day(year, month, F.lit(1)))
-    exact = F.when(month.between(1, 12) & day.between(1, 31), make_day(year, month, day))
-    start = F.when(month.isNull(), jan).when(day.isNull(), first).otherwise(exact)
-    end = (F.when(month.isNull(), F.date_sub(F.add_months(jan, 12), 1))
-           .when(day.isNull(), F.last_day(first)).otherwise(exact))
-    return F.when(fine & start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    parts = F.struct(year.alias("y"), (null if month is None else month).alias("m"), (null if day is None else day).alias("d"))
+
+    def span(p, start):
+        end = (F.when(p["m"].isNull(), F.date_sub(F.add_months(start, 12), 1))
+               .when(p["d"].isNull(), F.last_day(start)).otherwise(start))
+        return F.when(start.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+    def read(p):
+        fine = (p["y"].between(1, 9999) & F.coalesce(p["m"].between(1, 12), F.lit(True))
+                & (p["m"].isNull() | F.coalesce(p["d"].between(1, 31), F.lit(True))))
+        start = make_day(p["y"], F.coalesce(p["m"], F.lit(1)), F.when(p["m"].isNull(), 1).otherwise(F.coalesce(p["d"], F.lit(1))))
+        return F.when(fine, let(start, lambda s: span(p, s)))
+
+    return let(parts, read)
 
 
 def _scope_token(token: Column, is_end: bool, context: Column | None = None) -> Column:

@@ -9,9 +9,6 @@ PLACEHOLDERS = ["unknown", "not known", "not provided", "n/a", "na", "none", "nu
 PANDAS_NA = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
-# Texts treated as missing when a number or date is wanted.
-MISSING_WORDS = ["nan", "none", "nat"]
-
 # Kingdom names recognised by rank inference.
 KINGDOMS = ["animalia", "plantae", "fungi", "bacteria", "archaea", "protista", "chromista"]
 
@@ -20,6 +17,7 @@ ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&ap
             ("&#34;", '"'), ("&nbsp;", " "), ("&amp;", "&")]
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+BLANKS = " \t\n\r\f\v\u00a0"
 SPACE = r"[\s ]+"
 
 
@@ -53,13 +51,9 @@ def coerce_numeric(c: Column) -> Column:
     return F.when(c.rlike(NUMBER), F.trim(c).try_cast("double"))
 
 
-def present(c: Column) -> Column:
-    t = clean_text(c.cast("string"))
-    return F.when(~F.lower(t).isin(MISSING_WORDS), t)
-
-
 def coerce_float(c: Column) -> Column:
-    return coerce_numeric(present(c))
+    """Number or null; blanks and words such as ``nan``, ``none`` and ``nat`` are null."""
+    return coerce_numeric(strip(c.cast("string")))
 
 
 def coerce_int(c: Column) -> Column:

@@ -10,7 +10,7 @@ VIEWS["occ"] = """
 SELECT CAST(n_nationkey AS BIGINT) AS dataset_id,
  CAST(n_nationkey * 3 + CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END AS BIGINT) AS table_id,
  o_orderkey AS row_id,
- CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'OCC-' || CAST(o_orderkey - 75 AS STRING) ELSE 'occ-' || CAST(o_orderkey AS STRING) END AS occurrenceID,
+ CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 'OCC-' || o_orderstatus WHEN o_orderkey % 83 = 0 THEN 'occ-' || o_orderstatus ELSE 'occ-' || CAST(o_orderkey AS STRING) END AS occurrenceID,
  CASE o_orderstatus WHEN 'F' THEN 'HumanObservation' WHEN 'O' THEN 'PreservedSpecimen' ELSE 'specimen' END AS basisOfRecord,
  upper(substr(p_name,1,1)) || substr(p_name,2) || CASE WHEN o_orderkey % 211 = 0 THEN 'e' ELSE '' END AS scientificName,
  CASE o_orderkey % 10 WHEN 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING),1,4) WHEN 1 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING),1,7)
@@ -62,3 +62,33 @@ SELECT DISTINCT upper(substr(p_name,1,1)) || substr(p_name,2) AS scientificName,
 VIEWS["registry_log"] = """
 SELECT event_id AS table_id, user_id AS dataset_id, event_type AS title, ts AS updated_at, CAST(floor(value) AS BIGINT) AS n_rows FROM events
 """
+
+# uploaded files: document = file, three documents = one dataset
+VIEWS["files_of"] = """
+SELECT doc_id AS file_id, CAST(floor(doc_id / 3) AS BIGINT) AS dataset_id,
+ 'uploads/v1.2/' || source || '/' || CAST(doc_id AS STRING) || CASE CAST(doc_id * 7 % 11 AS INT) WHEN 0 THEN '.csv' WHEN 1 THEN '.TSV' WHEN 2 THEN '.xlsx' WHEN 3 THEN '.nwk' WHEN 4 THEN '.pdf'
+  WHEN 5 THEN '.NEX' WHEN 6 THEN '.docx' WHEN 7 THEN '' WHEN 8 THEN '.ods' WHEN 9 THEN '.tar.gz' ELSE '.tre' END AS path,
+ TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST(doc_id * 7919 % 10007 AS INT) AS uploaded_at, text AS content
+FROM documents
+"""
+
+# sheet cells: 400 parts = one file, brand digit = sheet; every 20th row is blank, prices are formulas
+VIEWS["cells_of"] = """
+SELECT 'f' || CAST(floor(p_partkey / 400) AS STRING) AS file, 's' || CAST(p_partkey % 2 AS STRING) AS sheet, CAST(floor(p_partkey % 400 / 2) AS BIGINT) AS row_id, col_id,
+ CASE WHEN floor(p_partkey % 400 / 2) % 20 = 19 THEN CASE WHEN col_id = 0 THEN ' ' END WHEN floor(p_partkey % 400 / 2) % 20 = 0 THEN 'head' || CAST(col_id AS STRING)
+  WHEN col_id = 0 THEN p_name WHEN col_id = 1 THEN p_brand WHEN col_id = 2 THEN NULL WHEN col_id = 3 THEN p_type ELSE CAST(p_size AS STRING) END AS value,
+ col_id = 4 AND p_size > 25 AS is_formula
+FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS c(col_id)
+"""
+VIEWS["ranges_of"] = """
+SELECT 'f' || CAST(floor(s_suppkey / 20) AS STRING) AS file, 's' || CAST(s_suppkey % 2 AS STRING) AS sheet,
+ CAST(floor(s_suppkey % 20 / 2) * 20 + 2 AS BIGINT) AS r0, CAST(floor(s_suppkey % 20 / 2) * 20 + 4 + s_suppkey % 3 AS BIGINT) AS r1, 0 AS c0, 1 AS c1 FROM supplier
+"""
+
+# delimited lines: 50 customers = one file; the delimiter goes with the file
+VIEWS["seps"] = "SELECT * FROM (VALUES (0, '\t'), (1, ','), (2, ';'), (3, '|'), (4, ' ')) AS s(k, sep)"
+VIEWS["lines_of"] = """
+SELECT 'file' || CAST(floor(c_custkey / 50) AS STRING) AS file, c_custkey % 50 AS line_no, CAST(c_custkey % 50 AS STRING) || sep || CASE WHEN c_custkey % 9 = 8 THEN '"a' || sep || ' b"' ELSE c_name END || sep || CASE c_custkey % 7 WHEN 3 THEN 'NA' WHEN 4 THEN '' ELSE c_mktsegment END
+  || CASE WHEN c_custkey % 13 = 0 THEN ', x, y; z' ELSE '' END AS line
+FROM customer JOIN seps ON CAST(floor(c_custkey / 50) % 5 AS INT) = k
+"""
