@@ -10,12 +10,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 LEVELS = 31
 
 
+def _size(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
 def cover(lo: Column, hi: Column, levels: int = LEVELS) -> Column:
     """Blocks (level, block) whose disjoint union is [lo, hi)."""
     lo, hi = lo.cast("long"), hi.cast("long")
 
     def at(k):
-        size = F.shiftleft(F.lit(1).cast("long"), k)
+        size = _size(k)
         left = F.floor((lo + size - 1) / size).cast("long")
         right = F.floor(hi / size).cast("long")
         return F.array(
@@ -29,7 +33,7 @@ def blocks_of(point: Column, levels: int = LEVELS) -> Column:
     """The block of every level that holds ``point``."""
     point = point.cast("long")
     return F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), lambda k: F.struct(
-        k.alias("level"), F.floor(point / F.shiftleft(F.lit(1).cast("long"), k)).cast("long").alias("block")))
+        k.alias("level"), F.floor(point / _size(k)).cast("long").alias("block")))
 
 
 def points_in_intervals(intervals: DataFrame, points: DataFrame, keys, lo: str, hi: str, point: str,

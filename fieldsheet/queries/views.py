@@ -74,21 +74,63 @@ FROM documents
 
 # sheet cells: 400 parts = one file, brand digit = sheet; every 20th row is blank, prices are formulas
 VIEWS["cells_of"] = """
-SELECT 'f' || CAST(floor(p_partkey / 400) AS STRING) AS file, 's' || CAST(p_partkey % 2 AS STRING) AS sheet, CAST(floor(p_partkey % 400 / 2) AS BIGINT) AS row_id, col_id,
+SELECT 'f' || CAST(CAST(floor(p_partkey / 400) AS BIGINT) AS STRING) AS file, 's' || CAST(p_partkey % 2 AS STRING) AS sheet, CAST(floor(p_partkey % 400 / 2) AS BIGINT) AS row_id, col_id,
  CASE WHEN floor(p_partkey % 400 / 2) % 20 = 19 THEN CASE WHEN col_id = 0 THEN ' ' END WHEN floor(p_partkey % 400 / 2) % 20 = 0 THEN 'head' || CAST(col_id AS STRING)
   WHEN col_id = 0 THEN p_name WHEN col_id = 1 THEN p_brand WHEN col_id = 2 THEN NULL WHEN col_id = 3 THEN p_type ELSE CAST(p_size AS STRING) END AS value,
  col_id = 4 AND p_size > 25 AS is_formula
 FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS c(col_id)
 """
 VIEWS["ranges_of"] = """
-SELECT 'f' || CAST(floor(s_suppkey / 20) AS STRING) AS file, 's' || CAST(s_suppkey % 2 AS STRING) AS sheet,
+SELECT 'f' || CAST(CAST(floor(s_suppkey / 20) AS BIGINT) AS STRING) AS file, 's' || CAST(s_suppkey % 2 AS STRING) AS sheet,
  CAST(floor(s_suppkey % 20 / 2) * 20 + 2 AS BIGINT) AS r0, CAST(floor(s_suppkey % 20 / 2) * 20 + 4 + s_suppkey % 3 AS BIGINT) AS r1, 0 AS c0, 1 AS c1 FROM supplier
 """
 
 # delimited lines: 50 customers = one file; the delimiter goes with the file
 VIEWS["seps"] = "SELECT * FROM (VALUES (0, '\t'), (1, ','), (2, ';'), (3, '|'), (4, ' ')) AS s(k, sep)"
 VIEWS["lines_of"] = """
-SELECT 'file' || CAST(floor(c_custkey / 50) AS STRING) AS file, c_custkey % 50 AS line_no, CAST(c_custkey % 50 AS STRING) || sep || CASE WHEN c_custkey % 9 = 8 THEN '"a' || sep || ' b"' ELSE c_name END || sep || CASE c_custkey % 7 WHEN 3 THEN 'NA' WHEN 4 THEN '' ELSE c_mktsegment END
-  || CASE WHEN c_custkey % 13 = 0 THEN ', x, y; z' ELSE '' END AS line
+SELECT 'file' || CAST(CAST(floor(c_custkey / 50) AS BIGINT) AS STRING) AS file, c_custkey % 50 AS line_no, CAST(c_custkey % 50 AS STRING) || sep || CASE WHEN c_custkey % 9 = 8 THEN '"a' || sep || ' b"' ELSE c_name END || sep || CASE c_custkey % 7 WHEN 3 THEN 'NA' WHEN 4 THEN '' ELSE c_mktsegment END
+  || CASE WHEN c_custkey % 13 = 0 AND c_custkey % 50 > 0 THEN ', x, y; z' ELSE '' END AS line
 FROM customer JOIN seps ON CAST(floor(c_custkey / 50) % 5 AS INT) = k
 """
+
+# trees: region and block of 500 customers = tree, nation = clade, customer = tip; odd regions are NEXUS files
+VIEWS["members"] = """
+SELECT r_name || '-' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS STRING) AS tree_id, CASE WHEN r_regionkey % 2 = 0 THEN 'newick' ELSE 'nexus' END AS format,
+ r_name, n_nationkey, n_name, c_custkey, CAST(c_custkey % 5 + 1 AS INT) AS bl FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+"""
+VIEWS["tip_links"] = """
+SELECT dataset_id, table_id, row_id, occurrenceID, catalogNumber, scientificName, decimalLatitude, decimalLongitude, tip_key,
+ CASE WHEN row_id % 7 = 0 THEN NULL WHEN row_id % 31 = 0 THEN 'no json' WHEN row_id % 5 = 0 THEN '{"phylogenies":[{"phyloTreeTipLabel":"C' || CAST(tip_key AS STRING) || '","phyloTreeFileName":"t.nwk"},{"phyloTreeTipLabel":"C' || CAST(tip_key + 1 AS STRING) || '","phyloTreeFileName":"t.nwk"}]}'
+  ELSE '{"phylogenies":[{"phyloTreeTipLabel":"C' || CAST(tip_key AS STRING) || '","phyloTreeFileName":"t.nwk"}]}' END AS dynamicProperties FROM occ
+"""
+# the same links as rows, without JSON
+VIEWS["plain_links"] = """
+SELECT dataset_id, table_id, row_id, occurrenceID, catalogNumber, scientificName, decimalLatitude, decimalLongitude, 0 AS pos, 'C' || CAST(tip_key AS STRING) AS tip FROM occ WHERE row_id % 7 <> 0 AND row_id % 31 <> 0
+UNION ALL SELECT dataset_id, table_id, row_id, occurrenceID, catalogNumber, scientificName, decimalLatitude, decimalLongitude, 1, 'C' || CAST(tip_key + 1 AS STRING) FROM occ WHERE row_id % 7 <> 0 AND row_id % 31 <> 0 AND row_id % 5 = 0
+"""
+
+# application log: customer = dataset, order = agent, priority = task, conversation = agent with messages
+VIEWS["datasets_of"] = """
+SELECT c_custkey AS dataset_id, c_nationkey AS user_id, c_name AS title, CASE WHEN c_custkey % 4 = 0 THEN NULL WHEN c_custkey % 4 = 1 THEN '' ELSE c_mktsegment END AS description,
+ TIMESTAMP '2023-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(c_custkey * 7 % 5000 AS INT) AS created_at,
+ CASE WHEN c_custkey % 11 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' END AS published_at, CASE WHEN c_custkey % 13 = 0 THEN TIMESTAMP '2024-02-01 00:00:00' END AS rejected_at FROM customer
+"""
+VIEWS["tasks_of"] = """
+SELECT o_orderpriority AS name, CAST(substr(o_orderpriority, 1, 1) AS INT) AS "order", 'text' AS text FROM orders GROUP BY 1, 2
+""".replace(' AS "order"', " AS task_order")
+VIEWS["agents_of"] = """
+SELECT o_orderkey AS agent_id, o_custkey AS dataset_id, o_orderpriority AS task, o_orderdate AS created_at, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderdate + INTERVAL 1 DAY END AS completed_at FROM orders
+"""
+# messages as columns; assistant turns call a tool, the next user turn but one answers it
+VIEWS["said"] = """
+SELECT conv_id * 1000 + turn AS message_id, conv_id AS agent_id, CAST(conv_id % 50 AS BIGINT) AS dataset_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 HOUR * CAST(conv_id * 7 + turn * 5 AS INT) AS created_at,
+ CASE WHEN role = 'user' AND turn % 4 = 2 THEN 'tool' WHEN role = 'system' AND conv_id % 2 = 0 THEN 'critic' ELSE role END AS role,
+ CASE WHEN role = 'assistant' AND turn % 4 = 3 THEN '' ELSE text END AS content,
+ CASE WHEN role = 'user' AND turn % 4 = 2 AND conv_id % 9 <> 0 THEN 'call-' || CAST(conv_id AS STRING) || '-' || CAST(turn - 1 AS STRING) END AS tool_call_id,
+ CASE WHEN role = 'assistant' THEN 'call-' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) END AS call_id,
+ CASE WHEN role = 'assistant' THEN CASE WHEN turn % 4 = 1 THEN 'Python' ELSE 'SetEML' END END AS call_name
+FROM conversations
+"""
+VIEWS["vocab_of"] = """
+SELECT CAST(substr(source, 4) AS INT) AS section_order, source AS section, doc_id AS term_order, 'Term_' || lang || CAST(doc_id % 97 AS STRING) AS term, text || ' Examples: a / b' AS definition FROM documents
+"""

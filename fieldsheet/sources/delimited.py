@@ -128,7 +128,7 @@ def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy
 
     ``pandas`` maps the usual missing-value tokens to null; ``keep`` leaves empty texts empty.
     """
-    rows = (spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter)
+    rows = (spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option("escape", '"')
             .option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").csv(paths))
     names = rows.columns
     cells = [na_to_null(F.col(f"`{c}`")).alias(c) if null_policy == "pandas" else F.col(f"`{c}`") for c in names]
