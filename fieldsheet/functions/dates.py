@@ -16,9 +16,10 @@ from pyspark.sql import Column, functions as F
 
 from .text import let, strip
 
-# English month names.
-MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august",
-          "september", "october", "november", "december"]
+# English month names and their starts.
+MONTH_NAME = (r"(?i)^(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sep(t(ember)?)?|oct(ober)?|"
+              r"nov(ember)?|dec(ember)?)$")
+MONTH_STARTS = "janfebmaraprmayjunjulaugsepoctnovdec"
 
 YEAR = r"^(\d{4})$"
 YEAR_MONTH = r"^(\d{4})-(\d{2})$"
@@ -35,9 +36,8 @@ RANGE_WORD = r"\s(?:to|-|–)\s"
 
 def month_number(name: Column) -> Column:
     """1–12 as text for an English month name or its first three letters, else null."""
-    names = {m[:3]: str(i) for i, m in enumerate(MONTHS, 1)} | {m: str(i) for i, m in enumerate(MONTHS, 1)} | {"sept": "9"}
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.try_element_at(table, F.lower(name))
+    place = F.position(F.left(F.lower(name), F.lit(3)), F.lit(MONTH_STARTS))
+    return F.when(name.rlike(MONTH_NAME), F.floor((place + 2) / 3).cast("string"))
 
 
 def _day_text(year: Column, month: Column, day: Column) -> Column:
@@ -115,52 +115,48 @@ def _sides(t: Column) -> Column:
     return let(split, borrowed)
 
 
+def _parts(t: Column, words: bool) -> Column:
+    """Array of the one or two single values a text consists of."""
+    two = t.contains("/") & ~t.rlike(SLASH_DAY) & ~t.rlike(NUMBERS_YEAR) if not words else t.contains("/")
+    out = F.when(two, let(_sides(t), lambda s: F.array(s["left"], s["right"])))
+    return (out.when(t.rlike(RANGE_WORD), F.split(t, RANGE_WORD, 2)) if words else out).otherwise(F.array(t))
+
+
 def event_date(c: Column) -> Column:
     """Struct (iso, start, end, precision, ok) of an event date: a single value or ``start/end``."""
-    def result(iso, start, end, precision, ok):
-        return F.struct(iso.alias("iso"), start.alias("start"), end.alias("end"),
-                        precision.alias("precision"), F.lit(ok).alias("ok"))
-
     day, none = F.lit(None).cast("date"), F.lit(None).cast("string")
 
-    def ranged(t, p):
-        a, b = p["a"], p["b"]
-        return F.when(a.isNotNull() & b.isNotNull(), result(
-            F.concat(a["iso"], F.lit("/"), b["iso"]), a["start"], b["end"], F.lit("range"), True)
-        ).otherwise(result(t, day, day, none, False))
+    def result(t, v):
+        """``v`` holds one value or two."""
+        ranged = F.size(v) == 2
+        last = F.element_at(v, -1)
+        good = F.struct(
+            F.when(ranged, F.concat(v[0]["iso"], F.lit("/"), last["iso"])).otherwise(last["iso"]).alias("iso"),
+            v[0]["start"].alias("start"), last["end"].alias("end"),
+            F.when(ranged, F.lit("range")).otherwise(last["precision"]).alias("precision"), F.lit(True).alias("ok"))
+        bad = F.struct(t.alias("iso"), day.alias("start"), day.alias("end"), none.alias("precision"), F.lit(False).alias("ok"))
+        return F.when(v[0].isNotNull() & last.isNotNull(), good).otherwise(bad)
 
-    def read(t, one):
-        both = let(_sides(t), lambda s: F.struct(date_value(s["left"], True).alias("a"), date_value(s["right"], True).alias("b")))
-        return (F.when(one.isNotNull(), result(one["iso"], one["start"], one["end"], one["precision"], True))
-                .when(t.contains("/"), let(both, lambda p: ranged(t, p)))
-                .otherwise(result(t, day, day, none, False)))
-
-    return let(c.cast("string"), lambda t: let(date_value(t, True), lambda one: read(strip(t), one)))
+    return let(strip(c.cast("string")), lambda t: let(
+        F.transform(_parts(t, False), lambda x: date_value(x, True)), lambda v: result(t, v)))
 
 
 def date_bounds(c: Column) -> Column:
-    """Struct (start, end) covered by a date or an interval text; reversed intervals are swapped."""
-    def parts(t):
-        words = F.split(t, RANGE_WORD, 2)
-        return F.when(t.contains("/"), _sides(t)).otherwise(F.struct(words[0].alias("left"), words[1].alias("right")))
+    """Struct (start, end) covered by a date or an interval text; reversed intervals are swapped.
 
+    A month given by name stands for its first day.
+    """
     def valued(x):
-        """A month given by name stands for its first day."""
         return let(date_value(x), lambda v: F.when(v.isNotNull(), F.struct(
             v["start"].alias("start"),
             F.when((v["precision"] == "month") & ~x.rlike(YEAR_MONTH), v["start"]).otherwise(v["end"]).alias("end"))))
 
-    def ordered(p):
-        a, b = p["a"], p["b"]
+    def ordered(v):
+        a, b = v[0], F.element_at(v, -1)
         return F.when(a.isNotNull() & b.isNotNull(), F.struct(
             F.least(a["start"], b["end"]).alias("start"), F.greatest(a["start"], b["end"]).alias("end")))
 
-    def bounds(t):
-        two = let(parts(t), lambda s: let(
-            F.struct(valued(s["left"]).alias("a"), valued(s["right"]).alias("b")), ordered))
-        return F.when(t.contains("/") | t.rlike(RANGE_WORD), two).otherwise(valued(t))
-
-    return let(strip(c.cast("string")), bounds)
+    return let(strip(c.cast("string")), lambda t: let(F.transform(_parts(t, True), valued), ordered))
 
 
 def ymd_bounds(year: Column, month: Column | None = None, day: Column | None = None) -> Column:

@@ -27,7 +27,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^[\s ]+|[\s ]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def clean_text(c: Column) -> Column:

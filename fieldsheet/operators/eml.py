@@ -48,9 +48,14 @@ def eml_people(meta: DataFrame, owners: DataFrame) -> DataFrame:
     users = F.when(F.size("users") > 0, F.col("users"))
     groups = {"creator": F.coalesce(users, F.array(owner)), "metadataProvider": F.array(owner), "contact": F.array(contact),
               "personnel": F.when(tx.clean_text(F.col("project_title")).isNotNull(), F.coalesce(users, F.array().cast(USERS)))}
-    listed = F.flatten(F.array(*[F.transform(F.coalesce(g, F.array().cast(USERS)), lambda p, i, k=k: F.struct(
-        F.lit(k).alias("kind"), i.cast("bigint").alias("pos"), _filled(p["first_name"]).alias("first_name"), _filled(p["last_name"]).alias("last_name"),
-        F.when(F.lit(k != "personnel"), _filled(p["email"])).alias("email"), tx.clean_text(p["orcid"]).alias("orcid"))) for k, g in groups.items()]))
+
+    def entries(kind, group):
+        return F.transform(F.coalesce(group, F.array().cast(USERS)), lambda p, i: F.struct(
+            F.lit(kind).alias("kind"), i.cast("bigint").alias("pos"), _filled(p["first_name"]).alias("first_name"),
+            _filled(p["last_name"]).alias("last_name"), F.when(F.lit(kind != "personnel"), _filled(p["email"])).alias("email"),
+            tx.clean_text(p["orcid"]).alias("orcid")))
+
+    listed = F.flatten(F.array(*[entries(k, g) for k, g in groups.items()]))
     return m.select("dataset_id", F.explode(listed).alias("p")).select("dataset_id", "p.*")
 
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_text, strip
+from ..functions.text import clean_text, let, strip
 from ..plans.topk import first_per_key
 
 
@@ -111,9 +111,12 @@ def normalize_keywords(keywords: DataFrame) -> DataFrame:
     spellings = {"name": ["scientificName", "scientific_name", "taxonRankValue", "name"], "rank": ["rank", "taxonRankName"],
                  "common_name": ["commonName", "common_name"]}
     schema = ", ".join(f"`{n}` string" for names in spellings.values() for n in names)
-    parsed = keywords.select("dataset_id", "pos", F.from_json("keyword", schema).alias("_j"))
-    read = parsed.select("dataset_id", "pos", *[clean_text(F.coalesce(*[F.nullif(F.col(f"_j.{n}"), F.lit("")) for n in names])).alias(field)
-                                                for field, names in spellings.items()])
+
+    def cleaned(j):
+        return F.struct(*[clean_text(F.coalesce(*[F.nullif(j[n], F.lit("")) for n in names])).alias(field)
+                          for field, names in spellings.items()])
+
+    read = keywords.select("dataset_id", "pos", let(F.from_json("keyword", schema), cleaned).alias("_j")).select("dataset_id", "pos", "_j.*")
     named = read.filter("name IS NOT NULL").withColumn("_k", F.struct(
         F.lower(F.coalesce("rank", F.lit(""))), F.lower("name"), F.lower(F.coalesce("common_name", F.lit("")))))
     first = first_per_key(named, ["dataset_id", "_k"], ["pos"])

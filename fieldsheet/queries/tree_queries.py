@@ -87,13 +87,13 @@ def _(d):
 
 @query("tree_summary", f"""WITH {ORDERED}, n AS (SELECT tree_id, count(*) AS k, string_agg(CASE WHEN leaf < 50 THEN 'C' || CAST(c_custkey AS STRING) END, ', ' ORDER BY leaf) AS labels FROM tips GROUP BY 1)
 SELECT tree_id, tree_id || '.txt' AS path, CASE WHEN tree_id LIKE 'ASIA%' THEN '[Error reading file: no access]' WHEN r_name IN ('AMERICA', 'EUROPE') THEN '#NEXUS' ELSE '(' END AS starts, CASE WHEN tree_id LIKE 'ASIA%' THEN '' ELSE labels END AS labels,
- CASE WHEN tree_id LIKE 'ASIA%' THEN 0 ELSE k END AS n_labels, CASE WHEN tree_id LIKE 'ASIA%' THEN FALSE ELSE k > 50 END AS truncated, CASE WHEN tree_id LIKE 'ASIA%' THEN 31 ELSE 503 END AS length FROM roots JOIN n USING (tree_id)""")
+ CASE WHEN tree_id LIKE 'ASIA%' THEN 0 ELSE k END AS n_labels, CASE WHEN tree_id LIKE 'ASIA%' THEN FALSE ELSE k > 50 END AS truncated, CASE WHEN tree_id LIKE 'ASIA%' THEN 31 ELSE 0 END AS length FROM roots JOIN n USING (tree_id)""")
 def _(d):
     files = _trees(d).withColumn("path", F.concat("tree_id", F.lit(".txt"))).withColumn(
         "error", F.when(F.col("tree_id").startswith("ASIA"), F.lit("no access")))
     out = trees.tree_summary(files)
     return out.withColumn("starts", F.when(F.col("preview").startswith("["), F.col("preview")).otherwise(
-        F.regexp_extract("preview", r"^(#NEXUS|\()", 1))).withColumn("length", F.length("preview")).drop("preview")
+        F.regexp_extract("preview", r"^(#NEXUS|\()", 1))).withColumn("length", F.when(F.col("preview").startswith("["), F.length("preview")).otherwise(0)).drop("preview")
 
 
 @query("records_for_tips", f"""WITH wanted AS (SELECT 'C' || CAST(c_custkey AS STRING) AS tip FROM customer WHERE c_mktsegment = 'MACHINERY'),
