@@ -8,7 +8,7 @@ from ..sources import archive, vocab
 from ..streaming import ingest, validate
 from .mapping_queries import SCHEMAS
 from .registry import query
-from .rule_queries import BAD, TODAY
+from .rule_queries import BAD, fixed_day
 
 ASSIGNED = "SELECT p_partkey AS table_id, CASE p_partkey % 6 WHEN 3 THEN 'event' WHEN 4 THEN 'taxon' WHEN 5 THEN 'measurement_or_fact' ELSE 'occurrence' END AS schema_key FROM part"
 ID_ROWS = ", ".join(f"('{s[0]}', '{s[3]}', " + (f"'{s[4]}'" if s[4] else "NULL") + ")" for s in vocab.SCHEMAS)
@@ -118,7 +118,7 @@ def _(d):
     occ = d.view("occ").withColumn("seen_at", F.make_timestamp("y", "m", "d", F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")))
     occ.repartition(4, "dataset_id").write.parquet(source)
     stream = ingest.file_stream(d.spark, source, occ.schema, files_per_batch=2)
-    counts = validate.stream_validate(stream, "seen_at", "36500 days", TODAY)
+    counts = validate.stream_validate(stream, "seen_at", "36500 days", fixed_day())
     return validate.run_counts(counts, target, check).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 

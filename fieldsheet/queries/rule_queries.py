@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from ..operators import names, rules
 from .registry import query
 
-TODAY = F.lit("1999-06-30").cast("date")
+def fixed_day():
+    """The day the future-date rule is checked against."""
+    return F.lit("1999-06-30").cast("date")
+
+
 ISO = r"""regexp_matches(eventDate, '^\d{4}(-\d{2}){0,2}$')"""
 END = """CASE WHEN eventDate LIKE '%/%' THEN CAST(split_part(eventDate, '/', 2) AS DATE)
  WHEN length(eventDate) = 4 THEN make_date(CAST(eventDate AS BIGINT), 12, 31)
@@ -60,7 +64,7 @@ def _(d):
 
 @query("future_event_date", _flags_sql("eventDateFuture"))
 def _(d):
-    return rules.future_event_date(d.view("occ"), TODAY)
+    return rules.future_event_date(d.view("occ"), fixed_day())
 
 
 @query("duplicate_catalog_number", DUP_CATALOG)
@@ -76,7 +80,7 @@ def _(d):
 @query("row_flags", " UNION ALL ".join(_flags_sql(r) for r in BAD))
 def _(d):
     occ = d.view("occ")
-    return rules.row_flags(occ, rules.row_rules(occ.columns, today=TODAY))
+    return rules.row_flags(occ, rules.row_rules(occ.columns, today=fixed_day()))
 
 
 @query("register_rules", _flags_sql("basisOfRecord").replace(f"({ALLOWED})", "('HumanObservation', 'specimen')") + """
@@ -99,7 +103,7 @@ SELECT dataset_id, table_id, rule, coalesce(bad_rows, 0) AS bad_rows, coalesce(r
 FROM checked LEFT JOIN found USING (dataset_id, table_id, rule)""")
 def _(d):
     occ = d.view("occ")
-    local = rules.row_rules(occ.columns, today=TODAY)
+    local = rules.row_rules(occ.columns, today=fixed_day())
     flags = (rules.row_flags(occ, local).unionByName(rules.duplicate_catalog_number(occ))
              .unionByName(rules.duplicate_occurrence_id(occ)))
     checked = rules.rules_checked(occ, [n for n, _ in local] + ["catalogNumber", "occurrenceID"])
