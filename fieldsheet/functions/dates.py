@@ -115,6 +115,13 @@ def _sides(t: Column) -> Column:
     return let(split, borrowed)
 
 
+def _plain_day(c: Column):
+    """Whether a text is a calendar day in its usual form, and that day: the common case, kept in generated code."""
+    text = c.cast("string")
+    d = _to_date(text)
+    return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & d.isNotNull(), d
+
+
 def _parts(t: Column, words: bool) -> Column:
     """Array of the one or two single values a text consists of."""
     two = t.contains("/") & ~t.rlike(SLASH_DAY) & ~t.rlike(NUMBERS_YEAR) if not words else t.contains("/")
@@ -137,8 +144,12 @@ def event_date(c: Column) -> Column:
         bad = F.struct(t.alias("iso"), day.alias("start"), day.alias("end"), none.alias("precision"), F.lit(False).alias("ok"))
         return F.when(v[0].isNotNull() & last.isNotNull(), good).otherwise(bad)
 
-    return let(strip(c.cast("string")), lambda t: let(
-        F.transform(_parts(t, False), lambda x: date_value(x, True)), lambda v: result(t, v)))
+    def read(t):
+        return let(F.transform(_parts(t, False), lambda x: date_value(x, True)), lambda v: result(t, v))
+
+    plain, d = _plain_day(c)
+    quick = F.struct(c.cast("string").alias("iso"), d.alias("start"), d.alias("end"), F.lit("day").alias("precision"), F.lit(True).alias("ok"))
+    return F.when(plain, quick).otherwise(let(strip(c.cast("string")), read))
 
 
 def date_bounds(c: Column) -> Column:
@@ -156,7 +167,9 @@ def date_bounds(c: Column) -> Column:
         return F.when(a.isNotNull() & b.isNotNull(), F.struct(
             F.least(a["start"], b["end"]).alias("start"), F.greatest(a["start"], b["end"]).alias("end")))
 
-    return let(strip(c.cast("string")), lambda t: let(F.transform(_parts(t, True), valued), ordered))
+    plain, d = _plain_day(c)
+    return F.when(plain, F.struct(d.alias("start"), d.alias("end"))).otherwise(
+        let(strip(c.cast("string")), lambda t: let(F.transform(_parts(t, True), valued), ordered)))
 
 
 def ymd_bounds(year: Column, month: Column | None = None, day: Column | None = None) -> Column:

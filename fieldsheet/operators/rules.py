@@ -34,23 +34,31 @@ def _not_whole(c: Column) -> Column:
 
 
 def row_rules(columns, allowed=BASIS_OF_RECORD, today: Column | None = None) -> list[tuple[str, Column]]:
-    """Row-local rules that apply to a table with these columns."""
+    """Row-local rules that apply to a table with these columns.
+
+    The date rules read ``_event``, the parsed eventDate that ``with_event`` adds.
+    """
     today = F.current_date() if today is None else today
     rules = [
         ("basisOfRecord", "basisOfRecord", lambda c: _not_allowed(c, allowed)),
         ("decimalLatitude", "decimalLatitude", lambda c: _outside(c, -90, 90)),
         ("decimalLongitude", "decimalLongitude", lambda c: _outside(c, -180, 180)),
         ("individualCount", "individualCount", _not_whole),
-        ("eventDate", "eventDate", lambda c: ~dates.event_date(c)["ok"]),
-        ("eventDateFuture", "eventDate", lambda c: F.coalesce(dates.event_date(c)["end"] > today, F.lit(False))),
+        ("eventDate", "eventDate", lambda c: ~F.col("_event.ok")),
+        ("eventDateFuture", "eventDate", lambda c: F.coalesce(F.col("_event.end") > today, F.lit(False))),
     ]
     return [(name, test(F.col(col))) for name, col, test in rules if col in columns]
 
 
-def row_flags(t: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+def with_event(t: DataFrame) -> DataFrame:
+    """The table with eventDate parsed once, for all rules that need it."""
+    return t.withColumn("_event", dates.event_date(F.col("eventDate"))) if "eventDate" in t.columns else t
+
+
+def row_flags(t: DataFrame, rules: list[tuple[str, Column]], *keep) -> DataFrame:
     """One row per broken rule, all rules in one pass."""
     hits = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in rules]))
-    return t.select(*IDS, F.explode(hits).alias("rule"), "row_id")
+    return with_event(t).select(*IDS, F.explode(hits).alias("rule"), "row_id", *keep)
 
 
 def register_rules(rules, extra) -> list[tuple[str, Column]]:
@@ -121,15 +129,33 @@ def id_collision_examples(t: DataFrame, id_col: str, keys: int = 5, spellings: i
     return joined_ranked(shown, [*IDS, "key_rank", "id_key"], "rank", F.col("spelling"), " / ", "example")
 
 
+def count_and_first(flags: DataFrame, keys, id_col: str, most: int, bits: int = 12) -> DataFrame:
+    """(keys, n, ids): rows per key and the smallest ids, in one pass over the rows.
+
+    Counts and first ids are combined per range of ids, then per range of ranges, then per key.
+    Every list holds at most ``most`` ids of at most ``2 ** bits`` parts, so a key that holds most of
+    the rows is still spread over many tasks.
+    """
+    def shift(c, n):
+        return F.call_function("shiftright", c, F.lit(n))
+
+    def firsts(c):
+        return F.slice(F.flatten(F.transform(F.sort_array(c), lambda p: p["ids"])), 1, most)
+
+    part = flags.groupBy(*keys, shift(F.col(id_col).cast("long"), bits).alias("_p")).agg(
+        F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(id_col)), 1, most).alias("ids"))
+    wide = part.groupBy(*keys, shift(F.col("_p"), bits).alias("_w")).agg(
+        F.sum("n").alias("n"), firsts(F.collect_list(F.struct("_p", "ids"))).alias("ids"))
+    return wide.groupBy(*keys).agg(F.sum("n").alias("n"), firsts(F.collect_list(F.struct("_w", "ids"))).alias("ids"))
+
+
 def validation_report(flags: DataFrame, checked: DataFrame | None = None, examples: int = 30) -> DataFrame:
     """Per rule the number of bad rows and the first row ids.
 
     ``checked`` (dataset_id, table_id, rule) adds the rules without bad rows as compliant.
     """
-    counts = flags.groupBy(*IDS, "rule").agg(F.count(F.lit(1)).alias("bad_rows"))
-    first = top_k(flags.select(*IDS, "rule", "row_id"), [*IDS, "rule"], ["row_id"], examples)
-    ids = first.groupBy(*IDS, "rule").agg(F.sort_array(F.collect_list("row_id")).alias("row_ids"))
-    report = counts.join(ids, [*IDS, "rule"])
+    report = count_and_first(flags, [*IDS, "rule"], "row_id", examples).select(
+        *IDS, "rule", F.col("n").alias("bad_rows"), F.col("ids").alias("row_ids"))
     if checked is not None:
         report = checked.join(report, [*IDS, "rule"], "left")
     return report.select(*IDS, "rule", F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"), "row_ids",

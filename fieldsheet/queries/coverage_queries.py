@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_text
 from ..operators import coverage, profile
+from ..plans.scratch import materialize
 from .registry import query
 
 SPANS = """spans AS (
@@ -106,7 +107,8 @@ FROM (SELECT dataset_id FROM occ UNION SELECT dataset_id FROM visits) LEFT JOIN
 def _(d):
     meta = d.sql("""SELECT CAST(n_nationkey AS BIGINT) AS dataset_id, CASE n_nationkey % 4 WHEN 0 THEN 'n/a' WHEN 1 THEN ' ' WHEN 2 THEN 'Alps' END AS provided_geographic_scope,
       CASE n_nationkey % 3 WHEN 0 THEN '2024-01-31' WHEN 1 THEN '1990/1995' END AS provided_temporal_scope, CASE n_nationkey % 2 WHEN 0 THEN 'TBD' ELSE 'old notes' END AS existing_methodology FROM nation""")
-    out = coverage.coverage_metadata([d.view("occ").drop("y", "m", "d"), _visits(d)], meta, F.lit("2024-01-31").cast("date"))
+    tables = [materialize(d.view("occ").drop("y", "m", "d"), "occ"), materialize(_visits(d), "visits")]
+    out = coverage.coverage_metadata(tables, meta, F.lit("2024-01-31").cast("date"))
     return out.withColumn("taxonomic_keywords", F.array_join(F.transform(
         "taxonomic_keywords", lambda k: F.concat(k["rank"], F.lit("="), k["scientificName"])), ","))
 

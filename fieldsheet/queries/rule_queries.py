@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import names, rules
+from ..plans.scratch import materialize
 from .registry import query
 
 def fixed_day():
@@ -102,7 +103,7 @@ WITH flags AS ({' UNION ALL '.join(_flags_sql(r) for r in BAD)} UNION ALL {DUP_C
 SELECT dataset_id, table_id, rule, coalesce(bad_rows, 0) AS bad_rows, coalesce(row_ids, '') AS row_ids, CASE WHEN bad_rows > 0 THEN 'failed' ELSE 'compliant' END AS status
 FROM checked LEFT JOIN found USING (dataset_id, table_id, rule)""")
 def _(d):
-    occ = d.view("occ")
+    occ = materialize(d.view("occ"), "occ")  # a stored table, as the operators expect
     local = rules.row_rules(occ.columns, today=fixed_day())
     flags = (rules.row_flags(occ, local).unionByName(rules.duplicate_catalog_number(occ))
              .unionByName(rules.duplicate_occurrence_id(occ)))

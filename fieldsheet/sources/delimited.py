@@ -131,7 +131,8 @@ def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy
     rows = (spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option("escape", '"')
             .option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").csv(paths))
     names = rows.columns
-    cells = [na_to_null(F.col(f"`{c}`")).alias(c) if null_policy == "pandas" else F.col(f"`{c}`") for c in names]
+    # the reader gives null for an unquoted empty field and, with this null marker, for nothing else
+    cells = [(na_to_null(F.col(f"`{c}`")) if null_policy == "pandas" else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in names]
     marked = rows.select(*cells, F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_b"))
     return numbered_rows(marked, F.col("_p"), F.col("_b")).drop("_p", "_b")
 
