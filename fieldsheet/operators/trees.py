@@ -98,7 +98,8 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
         F.coalesce(length, F.lit(0.0)).alias("branch_length"), "is_tip")
     codes = nexus_translate(trees).select("tree_id", F.col("code").alias("name"), F.col("name").alias("_named"))
     codes = first_per_key(codes, ["tree_id", "name"], ["_named"])
-    return out.join(codes, ["tree_id", "name"], "left").withColumn("name", F.coalesce("_named", "name")).select(out.columns)
+    named = out.filter("name IS NOT NULL").join(codes, ["tree_id", "name"], "left").withColumn("name", F.coalesce("_named", "name"))
+    return named.select(out.columns).unionByName(out.filter("name IS NULL"))
 
 
 def _clade_sums(nodes: DataFrame, weights: dict[str, Column], block: int = 65536) -> DataFrame:
@@ -118,7 +119,8 @@ def _clade_sums(nodes: DataFrame, weights: dict[str, Column], block: int = 65536
 def clade_counts(nodes: DataFrame, tip_counts: DataFrame) -> DataFrame:
     """Nodes with ``occurrence_count``: records linked to a tip, summed over the tips of a clade."""
     counts = tip_counts.select(F.col("tip").alias("name"), F.col("n_records").alias("_n"))
-    counted = nodes.join(counts, "name", "left")
+    tips = nodes.filter("is_tip").join(counts, "name", "left")
+    counted = tips.unionByName(nodes.filter("NOT is_tip").withColumn("_n", F.lit(None).cast("bigint")))
     sums = _clade_sums(counted, {"occurrence_count": F.col("_n")}).drop("before_occurrence_count")
     return nodes.join(sums, ["tree_id", "open"])
 

@@ -7,6 +7,8 @@ yields each matching pair once and compares no other pairs.
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .skew import join_on_hot_keys
+
 LEVELS = 31
 
 
@@ -37,10 +39,16 @@ def blocks_of(point: Column, levels: int = LEVELS) -> Column:
 
 
 def points_in_intervals(intervals: DataFrame, points: DataFrame, keys, lo: str, hi: str, point: str,
-                        how: str = "inner", levels: int = LEVELS) -> DataFrame:
-    """Pairs of rows with equal ``keys`` and ``lo <= point < hi``; intervals must be >= 0."""
+                        levels: int = LEVELS) -> DataFrame:
+    """Pairs of rows with equal ``keys`` and ``lo <= point < hi``; intervals must be >= 0.
+
+    Points go only to the levels some interval uses. A wide interval makes one block hold many
+    points; such blocks are spread over tasks.
+    """
     left = (intervals.withColumn("_b", F.explode(cover(F.col(lo), F.col(hi), levels)))
             .withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b"))
+    used = left.select("_level").distinct()  # at most ``levels`` rows
     right = (points.withColumn("_b", F.explode(blocks_of(F.col(point), levels)))
-             .withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b"))
-    return left.join(right, [*keys, "_level", "_block"], how).drop("_level", "_block")
+             .withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b")
+             .join(F.broadcast(used), "_level", "left_semi"))
+    return join_on_hot_keys(right, left, [*keys, "_level", "_block"], "inner", spread=[*keys, point]).drop("_level", "_block")

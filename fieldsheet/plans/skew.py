@@ -4,6 +4,15 @@ from pyspark.sql import DataFrame, functions as F
 
 HOT_KEYS = 256
 SALTS = 64
+SMALL_ROWS = 20000
+
+
+def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """The table marked for broadcast if it is counted to be small, else as it is.
+
+    Vocabularies and task lists come from the caller, so their size is checked, not assumed.
+    """
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def hot_keys(rows: DataFrame, keys, limit: int = HOT_KEYS) -> DataFrame:
@@ -17,13 +26,16 @@ def join_on_hot_keys(rows: DataFrame, lookup: DataFrame, keys, how: str = "left"
     """Join ``rows`` to ``lookup`` on ``keys``; rows of frequent keys are spread over many tasks.
 
     Rows of a hot key get a salt taken from ``spread`` (row columns), and the matching lookup rows
-    are repeated once per salt. All other keys keep salt 0, so the lookup hardly grows.
-    Keys are compared null-safely only if the caller replaced nulls before.
+    are repeated once per salt. All other keys keep salt 0, so the lookup hardly grows. Null keys
+    match nothing and are spread too.
     """
     hot = hot_keys(rows, keys) if hot is None else hot
     spread = spread or [c for c in rows.columns if c not in keys] or list(keys)
+    empty = F.lit(False)
+    for k in keys:
+        empty = empty | F.col(k).isNull()
     salted = (rows.join(F.broadcast(hot), list(keys), "left")
-              .withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
+              .withColumn("_salt", F.when(F.col("_hot") | empty, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
                           .otherwise(F.lit(0))).drop("_hot"))
     repeated = (lookup.join(F.broadcast(hot), list(keys), "left")
                 .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1)))

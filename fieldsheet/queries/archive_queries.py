@@ -60,7 +60,7 @@ def _meta(d):
 
 
 def _owners(d):
-    return d.sql("SELECT c_custkey AS dataset_id, c_mktsegment AS first_name, '' AS last_name, concat(c_mktsegment, '@example.org') AS email, '0000-1' AS orcid FROM customer WHERE c_custkey % 4 <> 0")
+    return d.sql("SELECT c_custkey AS dataset_id, c_mktsegment AS first_name, '' AS last_name, concat(c_mktsegment, '@example.org') AS email, '0000-1' AS orcid FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 
 
 @query("eml_documents")
@@ -85,7 +85,7 @@ def _(d):
                       F.contains("eml", F.lit("<taxonRankName>family</taxonRankName>")).alias("has_taxa"))
 
 
-OWNER = "CASE WHEN c_custkey % 4 = 0 THEN 'Test' ELSE c_mktsegment END AS first_name, 'User' AS last_name, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment || '@example.org' END AS email, CASE WHEN c_custkey % 4 = 0 THEN '0000-0002-1825-0097' ELSE '0000-1' END AS orcid"
+OWNER = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Test' ELSE c_mktsegment END AS first_name, 'User' AS last_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment || '@example.org' END AS email, CASE WHEN c_mktsegment = 'MACHINERY' THEN '0000-0002-1825-0097' ELSE '0000-1' END AS orcid"
 
 
 @query("eml_people", f"""WITH o AS (SELECT c_custkey, {OWNER} FROM customer), u AS (SELECT c_custkey, 0 AS pos, c_mktsegment AS first_name, c_name AS last_name, 'a@example.org' AS email, '0000' AS orcid FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 1, NULL, 'Second', NULL, NULL FROM customer WHERE c_custkey % 3 = 0)

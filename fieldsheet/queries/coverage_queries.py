@@ -162,14 +162,16 @@ def _(d):
     return profile.profile_text(profile.profile_lines(d.view("occ").select(PROFILED)), 60)
 
 
-@query("snapshot", """
-WITH r AS (SELECT dataset_id, table_id, row_id, occurrenceID, basisOfRecord, samplingProtocol, tip_key, count(*) OVER w AS k, row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY row_id) AS a, row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY row_id DESC) AS b FROM occ WINDOW w AS (PARTITION BY dataset_id, table_id)),
+SHOWN = ["occurrenceID", "basisOfRecord", "scientificName", "eventDate", "decimalLatitude", "samplingProtocol", "y", "m", "d", "tip_key"]
+SHOWN_SQL = " UNION ALL ".join(f"SELECT *, {i if i < 5 else i + 7} AS pos, '{c}' AS \"column\", CAST({c} AS STRING) AS value FROM s" for i, c in enumerate(SHOWN))
+
+
+@query("snapshot", f"""
+WITH r AS (SELECT *, count(*) OVER w AS k, row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY row_id) AS a, row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY row_id DESC) AS b FROM occ WINDOW w AS (PARTITION BY dataset_id, table_id)),
  s AS (SELECT * FROM r WHERE k <= 10 OR a <= 5 OR b <= 5)
-SELECT dataset_id, table_id, row_id, pos, "column", value, '[' || CAST(k AS STRING) || ' rows x 17 columns]' AS size FROM (
- SELECT *, 0 AS pos, 'occurrenceID' AS "column", occurrenceID AS value FROM s UNION ALL SELECT *, 1, 'basisOfRecord', basisOfRecord FROM s UNION ALL SELECT *, 12, 'samplingProtocol', samplingProtocol FROM s UNION ALL SELECT *, 16, 'tip_key', CAST(tip_key AS STRING) FROM s)""")
+SELECT dataset_id, table_id, row_id, pos, "column", value, '[' || CAST(k AS STRING) || ' rows x 17 columns]' AS size FROM ({SHOWN_SQL})""")
 def _(d):
-    out = profile.snapshot(d.view("occ"))
-    return out.filter(F.col("column").isin("occurrenceID", "basisOfRecord", "samplingProtocol", "tip_key"))
+    return profile.snapshot(d.view("occ"))
 
 
 @query("snapshot_cells", "SELECT doc_id, CASE WHEN length(text) > 70 THEN substr(text, 1, 67) || '...' ELSE text END AS text, source FROM documents")

@@ -58,14 +58,14 @@ def _(d):
 
 
 @query("next_step", """WITH k AS (SELECT dataset_id, bool_or(regexp_matches(lower(path), '\\.(newick|nwk|nex|nexus|tre|tree)$')) AS tree, bool_or(lower(path) LIKE '%.pdf') AS pdf, bool_or(regexp_matches(lower(path), '\\.(csv|tsv|txt|xlsx|xls|xlsm|xlsb|ods)$')) AS tab FROM files_of GROUP BY 1),
- a AS (SELECT * FROM agents_of WHERE agent_id % 2 = 1 AND task <> '5-LOW'),
+ a AS (SELECT * FROM agents_of),
  w AS (SELECT dataset_id, arg_min(task, struct_pack(a := created_at, b := agent_id)) FILTER (completed_at IS NULL) AS o, arg_max(CAST(substr(task, 1, 1) AS INT), struct_pack(a := created_at, b := agent_id)) AS l FROM a GROUP BY 1),
  c AS (SELECT d.dataset_id, min(t.name) AS nxt FROM datasets_of d LEFT JOIN w USING (dataset_id) LEFT JOIN k USING (dataset_id) JOIN tasks_of t ON t.task_order > coalesce(l, 0) AND (t.name <> '2-HIGH' OR coalesce(tree, FALSE)) AND (t.name <> '4-NOT SPECIFIED' OR coalesce(pdf AND NOT tab, FALSE)) GROUP BY 1)
 SELECT d.dataset_id, CASE WHEN rejected_at IS NULL THEN coalesce(o, nxt) END AS task FROM datasets_of d LEFT JOIN w USING (dataset_id) LEFT JOIN c USING (dataset_id)""")
 def _(d):
     files = d.view("files_of")
     modes = file_ops.source_mode(files).join(file_ops.has_tree(files), "dataset_id")
-    agents = d.view("agents_of").filter("agent_id % 2 = 1 AND task <> '5-LOW'")
+    agents = d.view("agents_of")
     tasks = d.view("tasks_of").withColumnRenamed("task_order", "order")
     return log.next_step(d.view("datasets_of"), agents, tasks, modes, "2-HIGH", "4-NOT SPECIFIED")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import reshape
-from ..sources.delimited import numbered_rows  # noqa: F401
+from ..plans.scratch import materialize
 from .registry import query
 
 MATRIX = """SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' THEN CAST(CAST(l_quantity AS INT) AS STRING) ELSE ' ' END AS site_a, CASE WHEN l_returnflag = 'N' THEN CAST(CAST(l_quantity AS INT) AS STRING) END AS site_n, l_linestatus AS site_s FROM lineitem"""
@@ -41,7 +41,8 @@ def _(d):
 SELECT header, file, sheet, r0, row_id, pos, value FROM placed JOIN heads USING (file, sheet, r0, c0) WHERE row_id > r0""")
 def _(d):
     cells = d.view("cells_of")
-    return reshape.merge_islands(cells, reshape.data_islands(cells))
+    islands = materialize(reshape.data_islands(cells), "islands")  # read several times
+    return reshape.merge_islands(cells, islands)
 
 
 PROPS = """SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"a":1}' WHEN 2 THEN '{"phylogenies":[{"phyloTreeTipLabel":"old","phyloTreeFileName":"t.nwk"}]}' ELSE 'junk' END AS dynamicProperties FROM orders"""

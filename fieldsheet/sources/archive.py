@@ -5,6 +5,7 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import fold_key
+from ..plans.skew import broadcast_if_small
 from .vocab import DUBLIN_CORE, DUBLIN_CORE_TERMS, DWC, SCHEMAS, term_uri
 
 
@@ -19,7 +20,7 @@ def archive_meta(columns: DataFrame, assigned: DataFrame, schema_terms: DataFram
         "schema_key", "row_type", "id_column", F.lower("id_column").alias("_k"), F.col("id_column").alias("term")).distinct()
     allowed = terms.unionByName(ids).distinct()
     named = columns.withColumn("_k", F.lower(F.trim("name"))).join(assigned, "table_id")
-    kept = named.join(F.broadcast(allowed), ["schema_key", "_k"])
+    kept = named.join(broadcast_if_small(allowed), ["schema_key", "_k"])
     first = kept.groupBy("table_id", "schema_key", "row_type", "id_column", "term").agg(F.min("pos").alias("pos"))
     place = F.row_number().over(W.partitionBy("table_id").orderBy("pos")) - 1  # the columns of one header
     return first.select("table_id", "schema_key", "row_type", place.cast("bigint").alias("index"), "term", term_uri(F.col("term")).alias("uri"),
@@ -42,7 +43,7 @@ def check_archive_plan(plan: DataFrame, registry: DataFrame, schemas: DataFrame)
             "dataset_id", "table_id", F.lit(f"{what} table does not belong to the dataset").alias("error"))
 
     def unknown(t, kind):
-        return t.join(F.broadcast(kinds.filter(F.col("kind") == kind)), "schema_key", "left_anti").select(
+        return t.join(broadcast_if_small(kinds.filter(F.col("kind") == kind)), "schema_key", "left_anti").select(
             "dataset_id", "table_id", F.lit(f"unknown {kind} type").alias("error"))
 
     both = ext.filter("table_id = core_table_id").select("dataset_id", "table_id", F.lit("core table is also an extension").alias("error"))

@@ -6,6 +6,7 @@ A field may be quoted; quoted fields may hold delimiters, line breaks and double
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import na_to_null, strip
+from ..plans.skew import join_on_hot_keys
 from ..plans.topk import first_per_key, top_k
 
 # Candidate delimiters in order of preference.
@@ -113,14 +114,15 @@ def lines_to_cells(lines: DataFrame, delimiters: DataFrame, null_policy: str = "
     With the ``pandas`` policy the usual missing-value tokens of data rows become null; ``keep``
     leaves every text as it is. ``delimiters`` has one small row per file.
     """
-    numbered = lines.filter(strip(F.col("line")) != "").join(delimiters, "file")
-    cut = numbered.select("file", F.col("line_no").alias("row_id"), F.posexplode(
+    filled = lines.filter(strip(F.col("line")) != "").select("file", "line_no", "line")
+    per_file = filled.groupBy("file").agg(F.min("line_no").alias("_h")).join(delimiters, "file", "left")
+    numbered = join_on_hot_keys(filled, per_file, ["file"], "inner", spread=["line_no"])
+    cut = numbered.select("file", F.col("line_no").alias("row_id"), "_h", F.posexplode(
         fields_by(F.col("line"), F.col("delimiter"))).alias("col_id", "value"))
     if null_policy == "keep":
-        return cut
-    header = cut.groupBy("file").agg(F.min("row_id").alias("_h"))
+        return cut.drop("_h")
     value = F.when(F.col("row_id") == F.col("_h"), F.col("value")).otherwise(na_to_null(F.col("value")))
-    return cut.join(header, "file").withColumn("value", value).drop("_h")
+    return cut.select("file", "row_id", "col_id", value.alias("value"))
 
 
 def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy: str = "pandas") -> DataFrame:
