@@ -51,7 +51,7 @@ def eml_people(meta: DataFrame, owners: DataFrame) -> DataFrame:
 
     def entries(kind, group):
         return F.transform(F.coalesce(group, F.array().cast(USERS)), lambda p, i: F.struct(
-            F.lit(kind).alias("kind"), i.cast("bigint").alias("pos"), _filled(p["first_name"]).alias("first_name"),
+            F.lit(kind).alias("kind"), i.alias("pos"), _filled(p["first_name"]).alias("first_name"),
             _filled(p["last_name"]).alias("last_name"), F.when(F.lit(kind != "personnel"), _filled(p["email"])).alias("email"),
             tx.clean_text(p["orcid"]).alias("orcid")))
 

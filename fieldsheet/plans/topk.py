@@ -10,7 +10,8 @@ def top_k(df: DataFrame, keys, order, k: int, rank: str = "rank") -> DataFrame:
     partition sends at most ``k`` rows of a key, however large that key is.
     """
     window = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
+    return ranked.withColumn(rank, F.col(rank).cast("bigint"))
 
 
 def first_per_key(df: DataFrame, keys, order) -> DataFrame:

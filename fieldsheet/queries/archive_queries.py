@@ -81,7 +81,7 @@ def _(d):
     return doc.select("dataset_id", first('<title xml:lang="eng">([^<]*)</title>').alias("title"), first("<alternateIdentifier>([^<]*)<").alias("doi"),
                       first(r"<beginDate>\s*<calendarDate>([^<]*)<").alias("begins"), first("<southBoundingCoordinate>([^<]*)<").alias("south"),
                       F.contains("eml", F.lit("<project>")).alias("has_project"), F.contains("eml", F.lit("<citation>Cite me</citation>")).alias("has_citation"),
-                      F.size(F.regexp_extract_all("eml", F.lit("(<creator>)"), F.lit(1))).cast("bigint").alias("n_creators"),
+                      F.size(F.regexp_extract_all("eml", F.lit("(<creator>)"), F.lit(1))).alias("n_creators"),
                       F.contains("eml", F.lit("<taxonRankName>family</taxonRankName>")).alias("has_taxa"))
 
 

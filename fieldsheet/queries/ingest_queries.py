@@ -101,7 +101,7 @@ def _(d):
 @query("lines_to_cells", rf"""WITH {DELIMS}, {BARE},
  u AS (SELECT file, line_no, string_split(replace(replace(line, '"a' || s || ' b"', 'QQ'), s, chr(1)), chr(1)) AS f, s FROM (SELECT l.*, coalesce(delimiter, chr(2)) AS s FROM lines_of l JOIN chosen USING (file))),
  c AS (SELECT file, line_no AS row_id, s, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS col_id FROM u)
-SELECT file, row_id, col_id, CASE WHEN row_id > 0 AND v IN ('NA', '') THEN NULL ELSE replace(v, 'QQ', 'a' || s || ' b') END AS value FROM c""")
+SELECT file, row_id, CAST(col_id AS INTEGER) AS col_id, CASE WHEN row_id > 0 AND v IN ('NA', '') THEN NULL ELSE replace(v, 'QQ', 'a' || s || ' b') END AS value FROM c""")
 def _(d):
     lines = d.view("lines_of")
     return delimited.lines_to_cells(lines, delimited.choose_delimiter(lines))
@@ -124,7 +124,7 @@ DUCK_PAYLOADS = PAYLOADS.format(nl=NL.format(n="chr(10)"), nl3="'a,b' || chr(10)
 
 
 @query("csv_payload_summary", f"""WITH p AS ({DUCK_PAYLOADS})
-SELECT p.dataset_id, payload_id AS table_id, trim(title) AS title, trim(concat_ws(' | ', coalesce(description, ''), nullif(concat_ws(' | ', note, CASE WHEN f.file_id IS NOT NULL THEN 'source_file_id=' || CAST(source_file_id AS STRING) || ' (' || path || ')' END), '')), ' |') AS description, 2 AS row_count, 3 AS column_count
+SELECT p.dataset_id, payload_id AS table_id, trim(title) AS title, trim(concat_ws(' | ', coalesce(description, ''), nullif(concat_ws(' | ', note, CASE WHEN f.file_id IS NOT NULL THEN 'source_file_id=' || CAST(source_file_id AS STRING) || ' (' || path || ')' END), '')), ' |') AS description, CAST(2 AS BIGINT) AS row_count, CAST(3 AS BIGINT) AS column_count
 FROM p LEFT JOIN files_of f ON f.file_id = p.source_file_id AND f.dataset_id = p.dataset_id WHERE payload_id % 10 > 3""")
 def _(d):
     return delimited.csv_payloads_to_cells(d.sql(SPARK_PAYLOADS), d.view("files_of"))[1]

@@ -85,7 +85,7 @@ WORDS = """SELECT l_suppkey AS dataset_id, l_orderkey * 10 + l_linenumber AS pos
 
 
 @query("normalize_keywords", f"""WITH k AS (SELECT dataset_id, pos, CASE WHEN l_linenumber % 2 = 0 THEN 'Genus' ELSE 'genus ' END || CAST(l_partkey % 20 AS STRING) AS name, CASE WHEN l_partkey % 3 = 0 THEN 'Genus' END AS rank FROM ({WORDS}) WHERE l_partkey % 5 <> 0)
-SELECT DISTINCT dataset_id, pos, coalesce(rank, 'taxon') AS rank, name, NULL AS common_name FROM k QUALIFY dense_rank() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')) ORDER BY pos) = 1 AND row_number() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')), pos ORDER BY name) = 1""")
+SELECT DISTINCT dataset_id, pos, coalesce(rank, 'taxon') AS rank, name, CAST(NULL AS VARCHAR) AS common_name FROM k QUALIFY dense_rank() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')) ORDER BY pos) = 1 AND row_number() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')), pos ORDER BY name) = 1""")
 def _(d):
     # equal positions occur, since line numbers repeat; the name decides then
     words = d.sql(WORDS).select("dataset_id", "pos", "keyword").groupBy("dataset_id", "pos", "keyword").count().drop("count")

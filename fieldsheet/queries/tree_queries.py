@@ -16,7 +16,7 @@ ORDERED = """ordered AS (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER
  tips AS (SELECT tree_id, format, r_name, n_nationkey, n_name, c_custkey, bl, leaf, clade, k, 2 + 3 * clade + 2 * leaf - clade + clade AS pos FROM ordered),
  clades AS (SELECT tree_id, r_name, n_nationkey, n_name, clade, min(pos) - 1 AS open, max(pos) + 1 AS "close", count(*) AS n, min(leaf) AS leaf, max(bl) AS longest FROM tips GROUP BY ALL),
  roots AS (SELECT tree_id, r_name, 0 AS open, max("close") + 2 AS "close", sum(n) AS n, max(longest + n_nationkey + 1) AS longest FROM clades GROUP BY ALL),
- nodes AS (SELECT tree_id, pos AS open, pos AS "close", 2 AS depth, c.open AS parent, 'C' || CAST(c_custkey AS STRING) AS name, CAST(bl AS DOUBLE) AS branch_length, TRUE AS is_tip FROM tips t JOIN clades c USING (tree_id, n_nationkey)
+ nodes AS (SELECT tree_id, pos AS open, pos AS "close", CAST(2 AS BIGINT) AS depth, c.open AS parent, 'C' || CAST(c_custkey AS STRING) AS name, CAST(bl AS DOUBLE) AS branch_length, TRUE AS is_tip FROM tips t JOIN clades c USING (tree_id, n_nationkey)
   UNION ALL SELECT tree_id, open, "close", 1, 0, n_name, n_nationkey + 1, FALSE FROM clades UNION ALL SELECT tree_id, open, "close", 0, NULL, replace(r_name, ' ', ''), 0, FALSE FROM roots)"""
 COUNTS = "counts AS (SELECT tip, count(*) AS n_records, bool_or(TRY_CAST(decimalLatitude AS DOUBLE) IS NOT NULL AND TRY_CAST(decimalLongitude AS DOUBLE) IS NOT NULL) AS has_coordinates FROM plain_links GROUP BY 1)"
 

@@ -87,7 +87,7 @@ def detect_delimiter(lines: DataFrame, sample: int = 50) -> DataFrame:
     order = F.struct((~enough).alias("late"), F.when(enough, F.col("spread")).alias("spread"),
                      F.when(enough, -F.col("lines")).alias("lines"), F.when(enough, -F.col("average")).alias("average"),
                      F.when(enough, F.ascii("delimiter")).otherwise(F.col("i")).alias("tie"))
-    ranked = stats.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(order)))  # four rows per file
+    ranked = stats.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(order)).cast("bigint"))  # four rows per file
     return ranked.select("file", "delimiter", "rank")
 
 
@@ -184,5 +184,5 @@ def rebuild_tables(files: DataFrame) -> DataFrame:
     enough = cells.groupBy("file_id").agg(F.countDistinct("row_id").alias("_n")).filter("_n > 2").drop("_n")
     kept = files.select("dataset_id", "file_id", "uploaded_at").join(enough, "file_id")
     order = W.partitionBy("dataset_id").orderBy("uploaded_at", "file_id")  # one small row per file
-    numbered = kept.withColumn("table_no", F.row_number().over(order)).drop("uploaded_at")
+    numbered = kept.withColumn("table_no", F.row_number().over(order).cast("bigint")).drop("uploaded_at")
     return cells.join(numbered, "file_id").select("dataset_id", "table_no", "file_id", "row_id", "col_id", "value")
