@@ -106,7 +106,6 @@ def _(d):
     return rows.select("event_id", "user_id", "event_type", "value")
 
 
-STREAMED = "make_timestamp(y, m, d)"
 CHECKED = "SELECT strftime(make_timestamp(y, m, d, 0, 0, 0.0), '%Y-%m-%d') AS day, rule, count(*) AS bad_rows FROM (" + " UNION ALL ".join(
     f"SELECT y, m, d, '{r}' AS rule FROM occ WHERE {bad}" for r, bad in BAD.items()) + ") GROUP BY ALL"
 

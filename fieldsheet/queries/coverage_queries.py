@@ -113,9 +113,6 @@ def _(d):
         "taxonomic_keywords", lambda k: F.concat(k["rank"], F.lit("="), k["scientificName"])), ","))
 
 
-RESOLVED = """CASE WHEN title_ IS NULL OR title_ = '' THEN 'old' ELSE title_ END"""
-
-
 @query("resolve_scope", """
 WITH t AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'Unknown' WHEN 2 THEN '  ' ELSE o_orderpriority END AS p, CASE o_orderkey % 2 WHEN 0 THEN o_orderstatus END AS e, CASE o_orderkey % 7 WHEN 0 THEN NULL ELSE 'F' END AS i FROM orders),
  c AS (SELECT id, nullif(trim(coalesce(p, e)), '') AS c, i FROM t)

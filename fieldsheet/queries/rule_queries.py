@@ -11,12 +11,10 @@ def fixed_day():
     return F.lit("1999-06-30").cast("date")
 
 
-ISO = r"""regexp_matches(eventDate, '^\d{4}(-\d{2}){0,2}$')"""
 END = """CASE WHEN eventDate LIKE '%/%' THEN CAST(split_part(eventDate, '/', 2) AS DATE)
  WHEN length(eventDate) = 4 THEN make_date(CAST(eventDate AS BIGINT), 12, 31)
  WHEN length(eventDate) = 7 THEN last_day(CAST(eventDate || '-01' AS DATE))
  WHEN regexp_matches(eventDate, '^[0-9-]{10}$') THEN CAST(eventDate AS DATE) END"""
-NUM = "TRY_CAST({} AS DOUBLE)"
 ALLOWED = ", ".join(f"'{x}'" for x in rules.BASIS_OF_RECORD)
 BAD = {
     "basisOfRecord": f"(basisOfRecord IS NULL OR basisOfRecord NOT IN ({ALLOWED}))",

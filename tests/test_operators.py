@@ -131,12 +131,10 @@ def test_match_names_equals_brute_force(spark):
 
 
 def _eml(spark, **extra):
-    from pyspark.sql import types as T
     row = {"dataset_id": 1, "title": "Title <1>", "description": "Text & more", **extra}
     schema = "dataset_id long, " + ", ".join(f"{k} {eml.OPTIONAL.get(k, 'string')}" for k in row if k != "dataset_id")
     meta = spark.createDataFrame([tuple(row.values())], schema)
     owners = spark.createDataFrame([(1, "Ada", "L", "ada@example.org", "0000-1")], "dataset_id long, first_name string, last_name string, email string, orcid string")
-    assert T
     return ET.fromstring(eml.eml_documents(meta, owners, F.lit("2024-01-01").cast("date")).first().eml.split("?>", 1)[1])
 
 
