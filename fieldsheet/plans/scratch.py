@@ -1,6 +1,5 @@
 """Where intermediate tables go: the shared folder the session names."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,15 +8,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder of ``spark.checkpoint.dir``; a temporary one only for a local master without the setting."""
+    """Folder of ``spark.checkpoint.dir``; where that is unset, a folder in the session's warehouse."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {SETTING} to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="fieldsheet-")
-    spark.conf.set(SETTING, folder)
-    return folder
+    if not named:
+        named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_intermediate"
+        spark.conf.set(SETTING, named)
+    return named
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
