@@ -1 +1,8 @@
 """Operators of a training-data pipeline: tokenizing, deduplication, language, search, sharding, packing, secrets."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with their code, so that executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, jaccard, lines, secrets, sharding
+from . import exact, jaccard, lines, secrets, sharding, suffix
 
 QUERIES, ORACLES = {}, {}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -47,6 +47,13 @@ def op3_exact_dedup(spark, folder):
     return exact.deduplicate(_documents(spark, folder), exact.create_index(spark)).drop("batch_row")
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark, folder):
+    """Every document without the bytes of 100-byte strings that also start earlier."""
+    out = suffix.remove_repeats(_documents(spark, folder))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op5_line_dedup", f"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
