@@ -90,7 +90,7 @@ class LineIndex:
         new = materialize(postings(docs, self.shards), "postings")
         batch = materialize(new.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("first_doc")), "batch-counts")
 
-        def ask(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        def ask(key, old, keys):
             held = CuckooFilter.load(old["blob"].iloc[0] if len(old) else None)
             known = held.contains(_hashes(keys["key"]))
             return pd.DataFrame({"shard": keys["shard"], "key": keys["key"], "refs": keys["refs"], "first_doc": keys["first_doc"], "known": known})
@@ -105,7 +105,7 @@ class LineIndex:
         else:
             counts, fresh = batch, batch.select("shard", "key")
 
-        def extend(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        def extend(key, old, keys):
             held = CuckooFilter.load(old["blob"].iloc[0]) if len(old) else CuckooFilter(len(keys))
             held.insert(_hashes(keys["key"]))
             return pd.DataFrame({"shard": [key[0]], "blob": [held.dump()]})
@@ -123,7 +123,7 @@ class LineIndex:
         counts = materialize(self.counts.join(touched, ["shard", "key"], "left_anti").unionByName(again), "counts")
         dead = touched.join(again, ["shard", "key"], "left_anti")
 
-        def shrink(key, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+        def shrink(key, old, keys):
             held = CuckooFilter.load(old["blob"].iloc[0] if len(old) else None)
             held.delete(_hashes(keys["key"]))
             return pd.DataFrame({"shard": [key[0]], "blob": [held.dump()]})

@@ -2,9 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, jaccard, lines, secrets, sharding, suffix
+from . import exact, jaccard, language, lines, neighbours, packing, pieces, secrets, sharding, suffix
 
 QUERIES, ORACLES = {}, {}
+MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -21,6 +22,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+@query("op1_sentencepiece")
+def op1_sentencepiece(spark, folder):
+    """Piece ids of every document, and whether decoding them gives the text back."""
+    vocabulary = pieces.load(MODEL)
+    coded = pieces.decode(pieces.encode(_documents(spark, folder).select("doc_id", "text"), vocabulary), vocabulary)
+    return coded.select("doc_id", F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_ids"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"),
+                        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
 @query("op2_jaccard_join", f"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x20\\x09-\\x0D]+') AS a FROM documents),
@@ -73,6 +83,21 @@ def op5_line_dedup(spark, folder):
     return index.apply(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query("op6_language_id")
+def op6_language_id(spark, folder):
+    """The language of every document, learned from two thirds of them."""
+    docs = _documents(spark, folder)
+    profiles = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
+    found = language.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_nearest_neighbours")
+def op7_nearest_neighbours(spark, folder):
+    """The 20 nearest vectors of every twentieth vector."""
+    return neighbours.nearest(spark.read.parquet(f"{folder}/embeddings.parquet"), "vec_id", "embedding", 20, 20)
+
+
 @query("op8_hilbert_shards")
 def op8_hilbert_shards(spark, folder):
     """All documents in eight shards along a Hilbert curve through language, source, length and id."""
@@ -84,6 +109,13 @@ def op8_hilbert_shards(spark, folder):
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark, folder):
+    """All documents, by words, packed into bins of 512 to 4096."""
+    docs = _documents(spark, folder)
+    return packing.pack(docs, packing.word_count(F.col("text")))
+
+
 def _found(kind, pattern, number, length):
     """Matches of one kind by place: pieces between matches and matches alternate."""
     return f"""
