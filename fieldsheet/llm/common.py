@@ -32,16 +32,16 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, copies: str) -> Dat
     """
     values = [c for c in right.columns if c != key]
     total = right.agg(F.sum(copies)).first()[0] or 0
-    packed = right.select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"), F.lit(0).alias("_salt"),
-                          (F.col(copies) * HOT_SHARE > total).alias("_hot"))
+    packed = right.select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"), (F.col(copies) * HOT_SHARE > total).alias("_hot"))
     hot = packed.filter("_hot").select(F.col("_ck").alias("_hk"), F.col("_cv").alias("_hv"))
     keep = [c for c in left.columns if c not in values]
     marked = (left.select(*keep).join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
               .withColumn("_apart", F.col("_hk").isNotNull() | F.col(key).isNull()))
     salt = F.when(F.col("_apart"), F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(8191)).cast("int") + 1).otherwise(0)
-    marked = marked.select("*", F.when(~F.col("_apart"), F.col(key)).alias("_lk"), salt.alias("_ls"))
-    cold = packed.filter("not _hot").drop("_hot")
-    joined = marked.join(cold.hint("merge"), (F.col("_lk") == F.col("_ck")) & (F.col("_ls") == F.col("_salt")), "left")
+    # key and salt are one value: as two, the constant salt of the right side would leave the shuffle
+    marked = marked.select("*", F.struct(F.when(~F.col("_apart"), F.col(key)).alias("k"), salt.alias("s")).alias("_lk"))
+    cold = packed.filter("not _hot").select("_cv", F.struct(F.col("_ck").alias("k"), F.lit(0).alias("s")).alias("_rk"))
+    joined = marked.join(cold.hint("merge"), F.col("_lk") == F.col("_rk"), "left")
     value = F.coalesce("_hv", "_cv")
     return joined.select(*keep, *[value[c].alias(c) for c in values])
 
