@@ -128,7 +128,7 @@ def infer_rank(name: Column, index: Column, total: Column) -> Column:
             .otherwise("higherTaxon"))
 
 
-def keywords_from_scope(c: Column, most: int = 12) -> Column:
+def keywords_from_scope(c: Column, most: int | None = None) -> Column:
     """Array of (pos, rank, name) from a plain comma list; stops at the first prose-like part."""
     def prose(p):
         return p.rlike(r"[.;:()]") | (F.size(F.split(p, SPACE)) > 3) | (F.length(p) > 80)
@@ -136,7 +136,7 @@ def keywords_from_scope(c: Column, most: int = 12) -> Column:
     def kept(parts):
         stops = F.transform(parts, lambda p, i: F.when(prose(p), i))
         stop = F.coalesce(F.array_min(stops), F.size(parts))
-        return F.slice(parts, F.lit(1), F.least(stop, F.lit(most)))
+        return F.slice(parts, F.lit(1), stop if most is None else F.least(stop, F.lit(most)))
 
     def ranked(names):
         return F.transform(names, lambda p, i: F.struct(

@@ -7,7 +7,7 @@ read. Results have one row (or a bounded list) per dataset.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import coords, dates
 from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder
@@ -16,6 +16,7 @@ from ..plans.topk import joined_ranked, top_k
 # Ranks from high to low with their plural labels.
 RANKS = {"kingdom": "Kingdoms", "phylum": "Phyla", "class": "Classes", "order": "Orders", "family": "Families",
          "genus": "Genera"}
+# Columns that name regions and methods.
 REGION_COLUMNS = ["stateprovince", "county", "municipality", "locality"]
 METHOD_COLUMNS = ["samplingprotocol", "methodology", "method", "protocol", "eventtype"]
 
@@ -59,17 +60,25 @@ def _values(t: DataFrame, columns) -> DataFrame | None:
                              F.col("row_id").cast("long").alias("r")).alias("ord")))
 
 
-def first_seen_distinct(values: DataFrame, keys, cap: int) -> DataFrame:
-    """Distinct ``text`` per key ignoring case in first-seen ``ord``, first spelling, numbered, at most ``cap``."""
+def first_seen(values: DataFrame, keys) -> DataFrame:
+    """Distinct ``text`` per key ignoring case, in the spelling and with the ``ord`` that came first."""
     seen = values.groupBy(*keys, F.lower("text").alias("_k")).agg(F.min(F.struct("ord", "text")).alias("f"))
-    ranked = top_k(seen.select(*keys, "f.ord", "f.text"), keys, ["ord"], cap)
-    return ranked.select(*keys, "rank", "text")
+    return seen.select(*keys, "f.ord", "f.text")
 
 
-def summarize_values(ranked: DataFrame, keys, label: Column, show: int, name: str) -> DataFrame:
-    """``label: a, b (+k more)`` from numbered values."""
-    counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    listed = joined_ranked(ranked.filter(F.col("rank") <= show), keys, "rank", F.col("text"), ", ", "_l")
+def first_seen_distinct(values: DataFrame, keys, most: int | None = None) -> DataFrame:
+    """Distinct ``text`` per key ignoring case in first-seen ``ord``, first spelling, numbered; only the first ``most`` if given."""
+    seen = first_seen(values, keys)
+    if most is None:
+        rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord")).cast("bigint")
+        return seen.select(*keys, rank.alias("rank"), "text")
+    return top_k(seen, keys, ["ord"], most).select(*keys, "rank", "text")
+
+
+def summarize_values(seen: DataFrame, keys, label: Column, show: int, name: str) -> DataFrame:
+    """``label: a, b (+k more)`` of all distinct values of ``first_seen``, with their number."""
+    counts = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    listed = joined_ranked(top_k(seen, keys, ["ord"], show), keys, "rank", F.col("text"), ", ", "_l")
     more = F.when(F.col("_n") > show, F.concat(F.lit(" (+"), (F.col("_n") - show).cast("string"), F.lit(" more)"))).otherwise("")
     return listed.join(counts, keys).select(*keys, F.concat(label, F.lit(": "), "_l", more).alias(name), F.col("_n").alias("n_values"))
 
@@ -125,8 +134,7 @@ def geographic_scope(*tables: DataFrame) -> DataFrame:
     if places is None:
         return boxed.filter("box IS NOT NULL").select("dataset_id", F.col("box").alias("geographic_scope"))
     kind = F.when(F.col("field") == "country", "Countries").otherwise("Regions")
-    listed = first_seen_distinct(places.withColumn("kind", kind), ["dataset_id", "kind"], 30)
-    texts = summarize_values(listed, ["dataset_id", "kind"], F.col("kind"), 5, "text")
+    texts = summarize_values(first_seen(places.withColumn("kind", kind), ["dataset_id", "kind"]), ["dataset_id", "kind"], F.col("kind"), 5, "text")
     chosen = texts.groupBy("dataset_id").agg(F.min_by("text", "kind").alias("text"))  # Countries before Regions
     return chosen.join(boxed, "dataset_id", "full").select("dataset_id", F.concat_ws("; ", "text", "box").alias("geographic_scope"))
 
@@ -139,22 +147,24 @@ def taxonomic_scope(*tables: DataFrame) -> DataFrame:
     values = _stack(_values(t, fields) for t in tables)
     if values is None:
         return _datasets(tables).select("dataset_id", F.lit(None).cast("string").alias("taxonomic_scope")).limit(0)
-    listed = first_seen_distinct(values, ["dataset_id", "field"], 50)
-    best = listed.groupBy("dataset_id").agg(F.min_by("field", order).alias("field"))
-    texts = summarize_values(listed.join(best, ["dataset_id", "field"]), ["dataset_id", "field"], labels[F.col("field")], 5, "text")
+    seen = first_seen(values, ["dataset_id", "field"])
+    best = seen.groupBy("dataset_id").agg(F.min_by("field", order).alias("field"))
+    texts = summarize_values(seen.join(best, ["dataset_id", "field"]), ["dataset_id", "field"], labels[F.col("field")], 5, "text")
     one = F.concat(F.initcap("field"), F.lit(": "), F.element_at(F.split("text", ": ", 2), 2))
     return texts.select("dataset_id", F.when((F.col("n_values") == 1) & (F.col("field") != "scientificname"), one)
                         .otherwise(F.col("text")).alias("taxonomic_scope"))
 
 
-def taxonomic_keywords(*tables: DataFrame, cap: int = 250) -> DataFrame:
-    """(dataset_id, rank, text, field): distinct rank values in first-seen order, at most ``cap``."""
+def taxonomic_keywords(*tables: DataFrame, most: int | None = None) -> DataFrame:
+    """(dataset_id, rank, field, text): distinct rank values in first-seen order; only the first ``most`` if given."""
     values = _stack(_values(t, list(RANKS)) for t in tables)
     if values is None:
         return _datasets(tables).select("dataset_id", F.lit(0).alias("rank"), F.lit("").alias("field"), F.lit("").alias("text")).limit(0)
-    seen = values.groupBy("dataset_id", "field", F.lower("text").alias("_k")).agg(F.min(F.struct("ord", "text")).alias("f"))
-    ranked = top_k(seen.select("dataset_id", "field", "f.ord", "f.text"), ["dataset_id"], ["ord"], cap)
-    return ranked.select("dataset_id", "rank", "field", "text")
+    seen = first_seen(values, ["dataset_id", "field"])
+    if most is not None:
+        return top_k(seen, ["dataset_id"], ["ord"], most).select("dataset_id", "rank", "field", "text")
+    rank = F.row_number().over(W.partitionBy("dataset_id").orderBy("ord")).cast("bigint")
+    return seen.select("dataset_id", rank.alias("rank"), "field", "text")
 
 
 def methodology(*tables: DataFrame) -> DataFrame:
@@ -167,10 +177,10 @@ def methodology(*tables: DataFrame) -> DataFrame:
     values = _stack(_values(t, fields(t)) for t in tables)
     if values is None:
         return _datasets(tables).select("dataset_id", F.lit(None).cast("string").alias("methodology")).limit(0)
-    listed = first_seen_distinct(values, ["dataset_id"], 12)
-    texts = summarize_values(listed, ["dataset_id"], F.lit("Sampling protocol(s)"), 4, "text")
-    single = listed.filter("rank = 1").select("dataset_id", F.col("text").alias("single"))
-    return texts.join(single, "dataset_id").select(
+    seen = first_seen(values, ["dataset_id"])
+    texts = summarize_values(seen, ["dataset_id"], F.lit("Sampling protocol(s)"), 4, "text")
+    first = seen.groupBy("dataset_id").agg(F.min_by("text", "ord").alias("single"))
+    return texts.join(first, "dataset_id").select(
         "dataset_id", F.when(F.col("n_values") == 1, F.col("single")).otherwise(F.col("text")).alias("methodology"))
 
 

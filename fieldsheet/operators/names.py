@@ -1,61 +1,77 @@
 """Scientific names: which to check, matching against a checklist table, applying corrections."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import clean_text, let
+from ..functions.text import clean_text
 from ..plans.skew import join_on_hot_keys
 from ..plans.topk import first_per_key, joined_ranked, top_k
 
 IDS = ["dataset_id", "table_id"]
 
 
-def names_to_check(t: DataFrame, all_up_to: int = 50, rarest: int = 30) -> DataFrame:
-    """Per table all distinct names if there are few, else the rarest."""
+def names_to_check(t: DataFrame, all_up_to: int | None = None, rarest: int | None = None) -> DataFrame:
+    """Per table all distinct names with their rows; with both limits only the ``rarest`` of tables with more than ``all_up_to``."""
     counts = (t.filter(clean_text(F.col("scientificName")).isNotNull())
               .groupBy(*IDS, "scientificName").agg(F.count(F.lit(1)).alias("n_rows")))
+    if all_up_to is None or rarest is None:
+        return counts
     distinct = counts.groupBy(*IDS).agg(F.count(F.lit(1)).alias("n_names"))
     ranked = top_k(counts, IDS, ["n_rows", "scientificName"], max(all_up_to, rarest))
     keep = (F.col("n_names") <= all_up_to) | (F.col("rank") <= rarest)
     return ranked.join(distinct, IDS).filter(keep).select(*IDS, "scientificName", "n_rows")
 
 
-def _deletions(c, edits):
-    """Array of the text with up to ``edits`` characters left out."""
-    def one(x):
-        cut = F.transform(F.sequence(F.lit(1), F.length(x)), lambda i: F.concat(
-            F.left(x, i - 1), F.substr(x, i + 1, F.length(x))))
-        return F.when(F.length(x) > 0, cut).otherwise(F.array(x))
+def _cut(size: Column, least: int):
+    """Into how many pieces a checklist name of ``size`` characters is cut: one more than the edits a match may have."""
+    return F.floor((100 - least) * size / least).cast("int") + 1
 
-    if edits == 0:
-        return F.array(c)
-    return let(one(c), lambda firsts: F.array_distinct(F.concat(
-        F.array(c), F.flatten(F.transform(firsts, lambda x: _deletions(x, edits - 1))))))
 
+def _piece(size: Column, pieces: Column, i: Column):
+    """Start (from 1) and length of piece ``i`` (from 1) of a name cut as evenly as possible, longer pieces last."""
+    short, rest = F.floor(size / pieces).cast("int"), size % pieces
+    before_long = pieces - rest
+    return 1 + (i - 1) * short + F.greatest(i - 1 - before_long, F.lit(0)), short + (i > before_long).cast("int")
 
-def match_names(names: DataFrame, backbone: DataFrame, most_edits: int = 2) -> DataFrame:
+
+def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataFrame:
     """(name, match_type, matched_name, confidence) of distinct names against ``backbone(scientificName)``.
 
-    EXACT by an equi join. A name left over and a checklist name within ``most_edits`` edits always
-    share a text with up to that many characters left out, so an equi join on those texts finds
-    every candidate and hardly anything else. The closest one is a FUZZY match with confidence
-    100 * (1 - edits / longer length), rounded down. All others are NONE with 0.
+    EXACT by an equi join. The likeness of two names is 100 * (1 - edits / longer length), rounded
+    down, without regard to case. The most alike checklist name of at least ``least`` (more than 50)
+    is a FUZZY match; all others are NONE with 0. A checklist name is cut into one more piece than
+    such a match may have edits, so one piece is whole in the other name, and near its place: pieces
+    before it shift it by their edits at most, pieces after it by theirs. An equi join on length, number
+    and text of pieces finds every candidate, whatever the length of the names.
     """
+    if not 50 < least <= 100:
+        raise ValueError("least must be above 50 and at most 100")
     wanted = names.select(F.col("scientificName").alias("name")).distinct()
     known = backbone.select(F.col("scientificName").alias("matched_name")).distinct()
     paired = wanted.join(known, wanted["name"] == known["matched_name"], "left")
     exact = paired.filter("matched_name IS NOT NULL")
     rest = paired.filter("matched_name IS NULL").select("name")
 
-    def keyed(df, col):
-        texts = F.explode(_deletions(F.lower(col), most_edits))
-        return df.select(col, texts.alias("_d")).select(col, F.xxhash64("_d").alias("_key"))
-
-    pairs = keyed(rest, "name").join(keyed(known, "matched_name"), "_key").select("name", "matched_name").distinct()
+    i, m, size = F.col("i"), F.col("m"), F.col("size")
+    start, width = _piece(m, F.col("k"), i)
+    cut = (known.select("matched_name", F.lower("matched_name").alias("low")).withColumn("m", F.length("low")).filter("m > 0")
+           .withColumn("k", _cut(m, least)).withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k"))))
+           .select("matched_name", F.xxhash64("m", "i", F.substr("low", start, width)).alias("_key")))
+    low, high = F.ceil(size * least / 100).cast("int"), F.floor(size * 100 / F.lit(least)).cast("int")
+    tried = (rest.select("name", F.lower("name").alias("low")).withColumn("size", F.length("low")).filter("size > 0")
+             .withColumn("m", F.explode(F.sequence(F.greatest(low, F.lit(1)), high))).withColumn("k", _cut(m, least))
+             .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumns({"start": start, "width": width}))
+    longer_by = size - m
+    first = F.greatest(F.col("start") - (i - 1), F.col("start") + longer_by - (F.col("k") - i), F.lit(1))
+    last = F.least(F.col("start") + (i - 1), F.col("start") + longer_by + (F.col("k") - i), size - F.col("width") + 1)
+    tried = (tried.withColumns({"first": first, "last": last}).filter("first <= last")
+             .withColumn("at", F.explode(F.sequence("first", "last")))
+             .select("name", F.xxhash64("m", "i", F.substr("low", F.col("at"), F.col("width"))).alias("_key")).distinct())
+
+    pairs = tried.join(cut, "_key").select("name", "matched_name").distinct()
     edits = F.levenshtein(F.lower("name"), F.lower("matched_name"))
-    longer = F.greatest(F.length("name"), F.length("matched_name"))
-    scored = (pairs.withColumn("edits", edits).filter(F.col("edits") <= most_edits)
-              .select("name", "matched_name", longer.alias("_len"), "edits")
-              .withColumn("confidence", F.expr("(100 * (_len - edits)) div _len")))
+    longer = F.greatest(F.length(F.lower("name")), F.length(F.lower("matched_name")))
+    scored = (pairs.select("name", "matched_name", longer.alias("_len"), edits.alias("edits"))
+              .withColumn("confidence", F.expr("(100 * (_len - edits)) div _len")).filter(F.col("confidence") >= least))
     best = first_per_key(scored, ["name"], [-F.col("confidence"), F.col("matched_name")])
     fuzzy = rest.join(best, "name", "left").select(
         "name", F.when(F.col("matched_name").isNull(), "NONE").otherwise("FUZZY").alias("match_type"), "matched_name",

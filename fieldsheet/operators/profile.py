@@ -1,6 +1,6 @@
 """Profiles and snapshots of tables."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.text import snapshot_value
 from ..plans.scans import running_sum
@@ -81,8 +81,8 @@ def profile_lines(t: DataFrame) -> DataFrame:
     entry = F.concat(F.col("shown"), F.lit(": "), F.col("n").cast("string"))
     lines = counts.groupBy(*IDS, "column", "n_distinct").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", entry.alias("e")))), lambda x: x["e"]), ", ").alias("v"))
-    ordered = top_k(lines, IDS, ["n_distinct", "column"], 999, "pos")
-    return ordered.select(*IDS, F.col("pos").cast("bigint").alias("pos"),
+    pos = F.row_number().over(W.partitionBy(*IDS).orderBy("n_distinct", "column"))  # the columns of one table
+    return lines.select(*IDS, pos.cast("bigint").alias("pos"),
                           F.concat_ws(" | ", "column", F.concat(F.col("n_distinct").cast("string"), F.lit(" distinct")), "v").alias("line"))
 
 

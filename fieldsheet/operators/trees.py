@@ -7,14 +7,13 @@ over clades are differences of running sums, so no operator walks the tree.
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..plans.intervals import blocks_of, cover, points_in_intervals
+from ..plans.intervals import cover, in_blocks, points_in_intervals
 from ..plans.scans import running_sum
 from ..plans.topk import first_per_key, joined_ranked, top_k
 
 LABEL = r"'(?:[^']|'')*+'|\"[^\"]*+\"|[^\s():,;\[\]'\"]+"
 TRANSLATE = r"(?is)\bTRANSLATE\s+(.*?);"
 TREE = r"(?is)\bTREE\s+[^=]+=\s*(.*?);"
-TREE_LEVELS = 24  # tips of one tree: below 2 ** 24
 
 
 def _is_nexus(fmt: Column) -> Column:
@@ -147,11 +146,11 @@ def clade_shape(nodes: DataFrame) -> DataFrame:
     order = nodes.select("tree_id", "open", "is_tip", (F.row_number().over(w) - 1).cast("bigint").alias("preorder"))
     sums = _clade_sums(nodes, {"n_tips": F.lit(1).cast("bigint")}).withColumnRenamed("before_n_tips", "first_leaf")
     located = order.join(sums, ["tree_id", "open"]).join(root_distance(nodes), ["tree_id", "open"])
-    leaves = located.filter("is_tip").select("tree_id", "distance", F.explode(blocks_of(F.col("first_leaf"), TREE_LEVELS)).alias("b"))
-    peaks = leaves.groupBy("tree_id", "b").agg(F.max("distance").alias("peak"))
     parts = located.filter("n_tips > 0").select("tree_id", "open", F.explode(
-        cover(F.col("first_leaf"), F.col("first_leaf") + F.col("n_tips"), TREE_LEVELS)).alias("b"))
-    highest = parts.join(peaks, ["tree_id", "b"]).groupBy("tree_id", "open").agg(F.max("peak").alias("peak"))
+        cover(F.col("first_leaf"), F.col("first_leaf") + F.col("n_tips"))).alias("b")).select("tree_id", "open", "b.*")
+    leaves = in_blocks(located.filter("is_tip").select("tree_id", "distance", "first_leaf"), F.col("first_leaf"), parts)
+    peaks = leaves.groupBy("tree_id", "level", "block").agg(F.max("distance").alias("peak"))
+    highest = parts.join(peaks, ["tree_id", "level", "block"]).groupBy("tree_id", "open").agg(F.max("peak").alias("peak"))
     return located.join(highest, ["tree_id", "open"], "left").select(
         "tree_id", "open", "preorder", "n_tips", "first_leaf",
         F.coalesce(F.col("peak") - F.col("distance"), F.lit(0.0)).alias("longest_path"))

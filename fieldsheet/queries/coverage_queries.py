@@ -20,11 +20,10 @@ BOX = """box AS (SELECT dataset_id, min(lon) AS west, max(lon) AS east, max(lat)
   WHERE lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180 GROUP BY 1)"""
 
 
-def first_seen(name, source, key, value, cap):
+def first_seen(name, source, key, value):
     """Distinct values by first row, numbered."""
     return f"""{name} AS (SELECT {key}, v, row_number() OVER (PARTITION BY {key} ORDER BY o) AS rn FROM (
-  SELECT {key}, arg_min({value}, o) AS v, min(o) AS o FROM {source} WHERE trim({value}) <> '' GROUP BY {key}, lower({value}))
-  QUALIFY rn <= {cap})"""
+  SELECT {key}, arg_min({value}, o) AS v, min(o) AS o FROM {source} WHERE trim({value}) <> '' GROUP BY {key}, lower({value})))"""
 
 
 def summary(source, key, show, name):
@@ -33,20 +32,20 @@ def summary(source, key, show, name):
 
 ORD_OCC = "(SELECT *, table_id * 100000000000 + row_id AS o FROM occ)"
 ORD_VISITS = "(SELECT *, table_id * 100000000000 + row_id AS o FROM visits)"
-GEO = (BOX + ", " + first_seen("seen_country", ORD_OCC, "dataset_id", "country", 30)
+GEO = (BOX + ", " + first_seen("seen_country", ORD_OCC, "dataset_id", "country")
        + ", country_text AS (" + summary("seen_country", "dataset_id", 5, "t") + ")"
-       + ", " + first_seen("seen_region", ORD_VISITS, "dataset_id", "locality", 30)
+       + ", " + first_seen("seen_region", ORD_VISITS, "dataset_id", "locality")
        + ", region_text AS (" + summary("seen_region", "dataset_id", 5, "t") + ")"
        + """, geo AS (SELECT dataset_id, concat_ws('; ', coalesce('Countries: ' || c.t, 'Regions: ' || r.t), 'Coordinate bounds: lat ' || printf('%.4f', south) || ' to ' || printf('%.4f', north) || ', lon ' || printf('%.4f', west) || ' to ' || printf('%.4f', east)) AS geographic_scope
   FROM (SELECT dataset_id FROM occ UNION SELECT dataset_id FROM visits) LEFT JOIN country_text c USING (dataset_id) LEFT JOIN region_text r USING (dataset_id) LEFT JOIN box USING (dataset_id))""")
-TAX = first_seen("seen_kingdom", ORD_OCC, "dataset_id", "kingdom", 50) + """,
+TAX = first_seen("seen_kingdom", ORD_OCC, "dataset_id", "kingdom") + """,
  tax AS (SELECT dataset_id, CASE WHEN n = 1 THEN 'Kingdom: ' || t ELSE 'Kingdoms: ' || t END AS taxonomic_scope FROM (""" + summary("seen_kingdom", "dataset_id", 5, "t") + "))"
 METHOD_ROWS = "(SELECT dataset_id, table_id * 100000000000 + row_id AS o, samplingProtocol AS method FROM occ UNION ALL SELECT dataset_id, table_id * 100000000000 + row_id, field_method FROM visits)"
-METHOD = first_seen("seen_method", METHOD_ROWS, "dataset_id", "method", 12) + """,
+METHOD = first_seen("seen_method", METHOD_ROWS, "dataset_id", "method") + """,
  method AS (SELECT dataset_id, CASE WHEN n = 1 THEN t ELSE 'Sampling protocol(s): ' || t END AS methodology FROM (""" + summary("seen_method", "dataset_id", 4, "t") + "))"
 KEYWORDS = """keyword_rows AS (SELECT dataset_id, 1 AS i, 'kingdom' AS field, kingdom AS v, table_id, row_id FROM occ UNION ALL SELECT dataset_id, 5, 'family', family, table_id, row_id FROM occ),
  keyword_first AS (SELECT dataset_id, i, field, arg_min(v, table_id * 100000000000 + row_id) AS v, min(struct_pack(t := table_id, i := i, r := row_id)) AS o FROM keyword_rows GROUP BY dataset_id, i, field, lower(v)),
- keywords AS (SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY o) AS rank, field, v AS text FROM keyword_first QUALIFY rank <= 250)"""
+ keywords AS (SELECT dataset_id, row_number() OVER (PARTITION BY dataset_id ORDER BY o) AS rank, field, v AS text FROM keyword_first)"""
 
 
 def _visits(d):
@@ -84,12 +83,12 @@ def _(d):
     return coverage.methodology(d.view("occ"), _visits(d))
 
 
-@query("first_seen_distinct", "WITH " + first_seen("seen", "(SELECT *, table_id * 100000000000 + row_id AS o FROM occ)", "dataset_id", "recordedBy", 50)
+@query("first_seen_distinct", "WITH " + first_seen("seen", "(SELECT *, table_id * 100000000000 + row_id AS o FROM occ)", "dataset_id", "recordedBy")
        + " SELECT dataset_id, rn AS rank, v AS text FROM seen")
 def _(d):
     values = d.view("occ").select("dataset_id", clean_text(F.col("recordedBy")).alias("text"),
                                   F.struct("table_id", "row_id").alias("ord")).filter("text IS NOT NULL")
-    return coverage.first_seen_distinct(values, ["dataset_id"], 50)
+    return coverage.first_seen_distinct(values, ["dataset_id"])
 
 
 @query("coverage_metadata", "WITH " + ", ".join([SPANS, GEO, TAX, METHOD, KEYWORDS]) + """,

@@ -144,14 +144,13 @@ def _(d):
     return rules.controlled_values(d.view("occ"), "basisOfRecord", vocab)
 
 
-NAMES = """WITH c AS (SELECT dataset_id, table_id, scientificName, count(*) AS n_rows FROM occ WHERE trim(scientificName) <> '' GROUP BY ALL),
- r AS (SELECT *, count(*) OVER (PARTITION BY dataset_id, table_id) AS k, row_number() OVER (PARTITION BY dataset_id, table_id ORDER BY n_rows, scientificName) AS rn FROM c),
- chosen AS (SELECT dataset_id, table_id, scientificName, n_rows FROM r WHERE k <= 50 OR rn <= 30)"""
+NAMES = """WITH chosen AS (SELECT dataset_id, table_id, scientificName, count(*) AS n_rows FROM occ WHERE trim(scientificName) <> '' GROUP BY ALL)"""
 MATCHES = """ distinct_names AS (SELECT DISTINCT scientificName AS name FROM occ),
  near AS (SELECT name, scientificName AS matched_name, levenshtein(lower(name), lower(scientificName)) AS e,
    (100 * (greatest(length(name), length(scientificName)) - levenshtein(lower(name), lower(scientificName)))) // greatest(length(name), length(scientificName)) AS confidence
-  FROM distinct_names JOIN backbone ON levenshtein(lower(name), lower(scientificName)) <= 2),
- best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = matched_name THEN 0 ELSE 1 END, confidence DESC, matched_name) = 1),
+  FROM distinct_names JOIN backbone ON TRUE),
+ alike AS (SELECT * FROM near WHERE confidence >= 80),
+ best AS (SELECT * FROM alike QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = matched_name THEN 0 ELSE 1 END, confidence DESC, matched_name) = 1),
  matches AS (SELECT n.name, CASE WHEN b.matched_name = n.name THEN 'EXACT' WHEN b.matched_name IS NULL THEN 'NONE' ELSE 'FUZZY' END AS match_type, b.matched_name, CAST(coalesce(b.confidence, 0) AS BIGINT) AS confidence
   FROM distinct_names n LEFT JOIN best b USING (name))"""
 

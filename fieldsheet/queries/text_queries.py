@@ -130,7 +130,7 @@ def _(d):
 @query("keywords_from_scope", f"""WITH parts AS (SELECT doc_id, unnest(string_split(text, ',')) AS p, generate_subscripts(string_split(text, ','), 1) AS i FROM documents),
  t AS (SELECT doc_id, trim(p, {WS}) AS p, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM parts WHERE trim(p, {WS}) <> ''),
  f AS (SELECT *, max(CASE WHEN regexp_matches(p, '[.;:()]') OR len(regexp_split_to_array(p, '[\\s\\x{{00a0}}]+')) > 3 OR length(p) > 80 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS bad FROM t),
- k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM f WHERE bad = 0 AND pos < 12)
+ k AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM f WHERE bad = 0)
 SELECT doc_id, pos, p AS name, CASE WHEN regexp_matches(lower(p), '(aceae|idae)$') THEN 'family' WHEN lower(p) LIKE '%ales' THEN 'order' WHEN regexp_matches(lower(p), '(mycota|phyta)$') THEN 'phylum' WHEN regexp_matches(lower(p), '(opsida|phyceae)$') THEN 'class' WHEN n = 1 OR pos > 0 THEN 'taxon' ELSE 'higherTaxon' END AS rank FROM k""")
 def _(d):
     t = d.table("documents").select("doc_id", F.explode(text.keywords_from_scope(F.col("text"))).alias("k"))

@@ -87,4 +87,4 @@ def test_keywords(values):
     got = values(["Plantae, Fabaceae, Rosales", "A, Birds of the far north, C", "Aves", "x. y", ", ".join("abcdefghijklmnop")], text.keywords_from_scope)
     assert [(k.rank, k.name) for k in got[0]] == [("kingdom", "Plantae"), ("family", "Fabaceae"), ("order", "Rosales")]
     assert [(k.rank, k.name) for k in got[1]] == [("taxon", "A")] and [k.rank for k in got[2]] == ["taxon"]
-    assert got[3] == [] and len(got[4]) == 12 and got[4][0].rank == "higherTaxon"
+    assert got[3] == [] and len(got[4]) == 16 and got[4][0].rank == "higherTaxon"

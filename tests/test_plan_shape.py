@@ -31,4 +31,4 @@ def test_scan_reads_only_needed_columns(data):
 
 
 def test_ranking_is_limited_before_the_shuffle(data):
-    assert "WindowGroupLimit" in plan(names.names_to_check(data.view("occ")))
+    assert "WindowGroupLimit" in plan(names.names_to_check(data.view("occ"), 50, 30))

@@ -63,6 +63,14 @@ def test_intervals(spark):
     assert sorted((r.i, r.p) for r in got.collect()) == sorted((i, p) for _, i, lo, hi in spans for _, p in points if lo <= p < hi)
 
 
+def test_intervals_over_the_whole_range(spark):
+    spans = [(1, 0, 1 << 31), (2, -(1 << 62), 1 << 62), (3, (1 << 53) + 1, (1 << 53) + 4), (4, -7, -2), (5, -3, 3), (6, 5, 5), (7, 9, 4)]
+    points = [0, 1, 5, (1 << 31) - 1, 1 << 31, 1 << 53, (1 << 53) + 1, (1 << 53) + 3, (1 << 53) + 4, -1, -2, -3, -7, -8, -(1 << 62), (1 << 62) - 1, 1 << 62]
+    got = intervals.points_in_intervals(spark.createDataFrame([("g", *s) for s in spans], "k string, i int, lo long, hi long"),
+                                        spark.createDataFrame([("g", p) for p in points], "k string, p long"), ["k"], "lo", "hi", "p")
+    assert sorted((r.i, r.p) for r in got.collect()) == sorted((i, p) for i, lo, hi in spans for p in points if lo <= p < hi)
+
+
 def test_count_and_first(spark):
     rng = random.Random(9)
     rows = [("a" if rng.random() < 0.9 else "b", i) for i in rng.sample(range(100000), 2000)]
