@@ -19,19 +19,19 @@ def record_links(records: DataFrame, *keep) -> DataFrame:
 
 
 def tip_counts(records: DataFrame) -> DataFrame:
-    """(tip, n_records, has_coordinates): how many links a tip has and whether one has coordinates."""
+    """(dataset_id, tip, n_records, has_coordinates): how many links a tip has in its dataset and whether one has coordinates."""
     located = coordinate(F.col("decimalLatitude")).isNotNull() & coordinate(F.col("decimalLongitude")).isNotNull()
     links = record_links(records.withColumn("_located", located), "_located")
-    return links.groupBy("tip").agg(F.count(F.lit(1)).alias("n_records"), F.bool_or("_located").alias("has_coordinates"))
+    return links.groupBy("dataset_id", "tip").agg(F.count(F.lit(1)).alias("n_records"), F.bool_or("_located").alias("has_coordinates"))
 
 
 def records_for_tips(records: DataFrame, tips: DataFrame) -> DataFrame:
-    """Records linked to one of ``tips(tip)``; the first matching link names the tip. Blanks become null."""
+    """Records linked to one of ``tips(dataset_id, tip)`` of their dataset; the first matching link names the tip. Blanks become null."""
     shown = ["occurrenceID", "catalogNumber", "scientificName"]
     keep = [c for c in shown if c in records.columns]
     given = F.from_json("dynamicProperties", PHYLOGENIES)["phylogenies"]
     slim = records.select(*RECORD, *keep, "decimalLatitude", "decimalLongitude", "dynamicProperties").filter(F.size(given) > 0)
-    links = join_on_hot_keys(record_links(slim), tips.select("tip").distinct(), ["tip"], "left_semi")
+    links = join_on_hot_keys(record_links(slim), tips.select("dataset_id", "tip").distinct(), ["dataset_id", "tip"], "left_semi")
     first = first_per_key(links, RECORD, ["pos"]).drop("pos")
 
     def text(c):
@@ -44,32 +44,33 @@ def records_for_tips(records: DataFrame, tips: DataFrame) -> DataFrame:
 
 
 def clade_map_points(clade: DataFrame, records: DataFrame) -> DataFrame:
-    """(tree_id, node, record, coordinates) of the records of each clade; pairs without numbers are dropped.
+    """(tree, node, record, coordinates) of the records of each clade; pairs without numbers are dropped.
 
     ``clade`` is the result of ``clade_tips``.
     """
     located = records.select(*RECORD, "dynamicProperties", coordinate(F.col("decimalLatitude")).alias("lat"),
                              coordinate(F.col("decimalLongitude")).alias("lon")).filter("lat IS NOT NULL AND lon IS NOT NULL")
     links = record_links(located, "lat", "lon").select(*RECORD, "lat", "lon", "tip")
-    members = clade.select("tree_id", "node", F.col("label").alias("tip")).distinct()
-    return join_on_hot_keys(links, members, ["tip"], "inner").select("tree_id", "node", *RECORD, "lat", "lon").distinct()
+    members = clade.select("dataset_id", "tree_id", "node", F.col("label").alias("tip")).distinct()
+    return join_on_hot_keys(links, members, ["dataset_id", "tip"], "inner").select("tree_id", "node", *RECORD, "lat", "lon").distinct()
 
 
 def clade_bbox(clade: DataFrame, records: DataFrame) -> DataFrame:
     """Bounding box per clade; records are reduced to one box per tip before the join."""
     located = records.select(*RECORD, "dynamicProperties", coordinate(F.col("decimalLatitude")).alias("lat"),
                              coordinate(F.col("decimalLongitude")).alias("lon")).filter("lat IS NOT NULL AND lon IS NOT NULL")
-    per_tip = record_links(located, "lat", "lon").groupBy("tip").agg(
+    per_tip = record_links(located, "lat", "lon").groupBy("dataset_id", "tip").agg(
         F.min("lon").alias("w"), F.max("lon").alias("e"), F.max("lat").alias("n"), F.min("lat").alias("s"))
-    members = clade.select("tree_id", "node", F.col("label").alias("tip"))
-    return members.join(per_tip, "tip").groupBy("tree_id", "node").agg(
+    members = clade.select("dataset_id", "tree_id", "node", F.col("label").alias("tip"))
+    return members.join(per_tip, ["dataset_id", "tip"]).groupBy("dataset_id", "tree_id", "node").agg(
         F.min("w").alias("west"), F.max("e").alias("east"), F.max("n").alias("north"), F.min("s").alias("south"))
 
 
 def translate_tips(tips: DataFrame, translate: DataFrame) -> DataFrame:
-    """Tips (tree_id, pos, label) with codes replaced by the names of (tree_id, code, name)."""
-    names = first_per_key(translate.select("tree_id", F.col("code").alias("label"), "name"), ["tree_id", "label"], ["name"])
-    return tips.join(names, ["tree_id", "label"], "left").select("tree_id", "pos", F.coalesce("name", "label").alias("label"))
+    """Tips (dataset_id, tree_id, pos, label) with codes replaced by the names of (dataset_id, tree_id, code, name)."""
+    tree = ["dataset_id", "tree_id"]
+    names = first_per_key(translate.select(*tree, F.col("code").alias("label"), "name"), [*tree, "label"], ["name"])
+    return tips.join(names, [*tree, "label"], "left").select(*tree, "pos", F.coalesce("name", "label").alias("label"))
 
 
 def tip_name_key(label: Column) -> Column:
@@ -90,14 +91,19 @@ def decode_collector_code(label: Column) -> Column:
 
 
 def match_tips_to_records(tips: DataFrame, records: DataFrame, tip_key: Column, record_key: Column) -> DataFrame:
-    """(tip, record): tips and records whose keys are equal; blank keys match nothing."""
-    left = tips.select(F.col("label").alias("tip"), tip_key.alias("_key")).filter("_key <> ''").distinct()
+    """(tip, record): tips (dataset_id, label) and records of one dataset whose keys are equal; blank keys match nothing."""
+    left = tips.select("dataset_id", F.col("label").alias("tip"), tip_key.alias("_key")).filter("_key <> ''").distinct()
     right = records.select(*RECORD, record_key.alias("_key")).filter("_key <> ''")
-    return join_on_hot_keys(right, left, ["_key"], "inner").select("tip", *RECORD)
+    return join_on_hot_keys(right, left, ["dataset_id", "_key"], "inner").select("tip", *RECORD)
+
+
+def _linked_labels(links: DataFrame) -> DataFrame:
+    return links.select("dataset_id", F.col("tip").alias("label")).distinct()
 
 
 def unmatched_tips(tips: DataFrame, links: DataFrame) -> DataFrame:
-    return tips.join(links.select(F.col("tip").alias("label")).distinct(), "label", "left_anti").select(tips.columns)
+    """Tips (dataset_id, label) that no record of their dataset is linked to."""
+    return tips.join(_linked_labels(links), ["dataset_id", "label"], "left_anti").select(tips.columns)
 
 
 def unmatched_records(records: DataFrame, links: DataFrame) -> DataFrame:
@@ -105,23 +111,24 @@ def unmatched_records(records: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def match_stats(tips: DataFrame, records: DataFrame, links: DataFrame) -> DataFrame:
-    """One row: matched and unmatched records, tips with and without a record."""
+    """Per dataset: matched and unmatched records, tips with and without a record."""
     linked = links.select(*RECORD).distinct().withColumn("_r", F.lit(1))
-    used = links.select(F.col("tip").alias("label")).distinct().withColumn("_t", F.lit(1))
+    used = _linked_labels(links).withColumn("_t", F.lit(1))
     zero = F.lit(0).cast("bigint")
-    by_record = records.select(*RECORD).join(linked, RECORD, "left").agg(
-        F.count("_r").alias("a"), (F.count(F.lit(1)) - F.count("_r")).alias("b")).select("a", "b", zero.alias("c"), zero.alias("d"))
-    by_tip = tips.select("label").distinct().join(used, "label", "left").agg(
-        F.count("_t").alias("c"), (F.count(F.lit(1)) - F.count("_t")).alias("d")).select(zero.alias("a"), zero.alias("b"), "c", "d")
-    return by_record.unionByName(by_tip).agg(F.sum("a").alias("matched_records"), F.sum("b").alias("unmatched_records"),
-                                             F.sum("c").alias("matched_tips"), F.sum("d").alias("unmatched_tips"))
+    by_record = records.select(*RECORD).join(linked, RECORD, "left").groupBy("dataset_id").agg(
+        F.count("_r").alias("a"), (F.count(F.lit(1)) - F.count("_r")).alias("b")).select("dataset_id", "a", "b", zero.alias("c"), zero.alias("d"))
+    by_tip = tips.select("dataset_id", "label").distinct().join(used, ["dataset_id", "label"], "left").groupBy("dataset_id").agg(
+        F.count("_t").alias("c"), (F.count(F.lit(1)) - F.count("_t")).alias("d")).select("dataset_id", zero.alias("a"), zero.alias("b"), "c", "d")
+    return by_record.unionByName(by_tip).groupBy("dataset_id").agg(
+        F.sum("a").alias("matched_records"), F.sum("b").alias("unmatched_records"), F.sum("c").alias("matched_tips"), F.sum("d").alias("unmatched_tips"))
 
 
 def tip_set_diff(tips: DataFrame, links: DataFrame) -> DataFrame:
-    """(side, label): labels that occur only as a tip or only as a link."""
-    a, b = tips.select("label").distinct(), links.select(F.col("tip").alias("label")).distinct()
-    return a.exceptAll(b).select(F.lit("tip").alias("side"), "label").unionByName(
-        b.exceptAll(a).select(F.lit("link").alias("side"), "label"))
+    """(dataset_id, side, label): labels that occur in a dataset only as a tip or only as a link."""
+    key = ["dataset_id", "label"]
+    a, b = tips.select(*key).distinct(), _linked_labels(links)
+    return a.join(b, key, "left_anti").select("dataset_id", F.lit("tip").alias("side"), "label").unionByName(
+        b.join(a, key, "left_anti").select("dataset_id", F.lit("link").alias("side"), "label"))
 
 
 def join_lookup_table(records: DataFrame, lookup: DataFrame, on) -> DataFrame:

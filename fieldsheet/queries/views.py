@@ -94,9 +94,11 @@ FROM customer JOIN seps ON CAST(floor(c_custkey / 50) % 5 AS INT) = k
 """
 
 # trees: region and block of 500 customers = tree, nation = clade, customer = tip; odd regions are NEXUS files
+# every tree is there for two datasets of its region, with the same labels
 VIEWS["members"] = """
-SELECT r_name || '-' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS STRING) AS tree_id, CASE WHEN r_regionkey % 2 = 0 THEN 'newick' ELSE 'nexus' END AS format,
+SELECT CAST(ds AS BIGINT) AS dataset_id, r_name || '-' || CAST(CAST(floor(c_custkey / 500) AS BIGINT) AS STRING) AS tree_id, CASE WHEN r_regionkey % 2 = 0 THEN 'newick' ELSE 'nexus' END AS format,
  r_name, n_nationkey, n_name, c_custkey, CAST(c_custkey % 5 + 1 AS INT) AS bl FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+ JOIN (SELECT n_regionkey AS rk, min(n_nationkey) AS ds FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey, max(n_nationkey) FROM nation GROUP BY 1) ON rk = r_regionkey
 """
 VIEWS["tip_links"] = """
 SELECT dataset_id, table_id, row_id, occurrenceID, catalogNumber, scientificName, decimalLatitude, decimalLongitude, tip_key,

@@ -64,13 +64,14 @@ NEXUS = "#NEXUS\nBEGIN TREES;\n  Translate\n   DBT01_clean Berneuxia_thibetica_0
 
 
 def _trees(spark):
-    return spark.createDataFrame([(k, "newick", v) for k, v in SHAPES.items()] + [("n", "nexus", NEXUS), ("m", "nexus", "#NEXUS\nBEGIN TREES;\n tree t = (P:1,(Q:2,R:3)in:4);\nEND;")],
-                                 "tree_id string, format string, content string")
+    return spark.createDataFrame([(1, k, "newick", v) for k, v in SHAPES.items()]
+                                 + [(d, "n", "nexus", NEXUS) for d in (1, 2)] + [(d, "m", "nexus", "#NEXUS\nBEGIN TREES;\n tree t = (P:1,(Q:2,R:3)in:4);\nEND;") for d in (1, 2)],
+                                 "dataset_id long, tree_id string, format string, content string").filter("dataset_id = 1 OR tree_id = 'm'")
 
 
 def test_tip_labels(spark):
     got = {}
-    for r in trees.tip_labels(_trees(spark)).orderBy("tree_id", "pos").collect():
+    for r in trees.tip_labels(_trees(spark)).filter("dataset_id = 1").orderBy("tree_id", "pos").collect():
         got.setdefault(r.tree_id, []).append(r.label)
     assert got == {"a": list("ABCD"), "b": list("ABCD"), "c": ["Berneuxia_thibetica", "Diapensia_himalaica"],
                    "n": ["Berneuxia_thibetica_01", "Cyrilla racemiflora"], "m": list("PQR")}
@@ -82,26 +83,42 @@ def test_tree_nodes_and_shape(spark):
     assert b["C"].branch_length == 1e-05 and b["100"].branch_length == 0.3 and b["90"].branch_length == 0.6
     assert b["A"].parent == b["100"].open and b["100"].parent == 0 and b["D"].depth == 2 and b[None].depth == 0
     assert {r.name for r in nodes.filter("tree_id = 'n' AND is_tip").collect()} == {"Berneuxia_thibetica_01", "Cyrilla racemiflora"}
-    shape = {r.name: r for r in trees.clade_shape(nodes).join(nodes, ["tree_id", "open"]).filter("tree_id = 'm'").collect()}
+    shape = {r.name: r for r in trees.clade_shape(nodes).join(nodes, ["dataset_id", "tree_id", "open"]).filter("tree_id = 'm' AND dataset_id = 1").collect()}
     assert (shape["in"].n_tips, shape["in"].longest_path, shape["P"].longest_path, shape[None].longest_path) == (2, 3.0, 0.0, 7.0)
-    counts = spark.createDataFrame([("Q", 4, True), ("P", 1, False)], "tip string, n_records long, has_coordinates boolean")
-    sums = {r.name: r.occurrence_count for r in trees.clade_counts(nodes, counts).filter("tree_id = 'm'").collect()}
+    counts = spark.createDataFrame([(1, "Q", 4, True), (1, "P", 1, False), (2, "R", 7, False)], "dataset_id long, tip string, n_records long, has_coordinates boolean")
+    sums = {r.name: r.occurrence_count for r in trees.clade_counts(nodes, counts).filter("tree_id = 'm' AND dataset_id = 1").collect()}
+    assert {r.name: r.occurrence_count for r in trees.clade_counts(nodes, counts).filter("dataset_id = 2").collect()} == {"P": 0, "Q": 0, "R": 7, "in": 7, None: 7}
     assert sums == {"P": 1, "Q": 4, "R": 0, "in": 4, None: 5}
-    status = trees.link_status(nodes, counts).filter("tree_id = 'm'").first()
+    status = trees.link_status(nodes, counts).filter("tree_id = 'm' AND dataset_id = 1").first()
     assert (status.linked_tips, status.total_tips, status.percent, status.has_coordinates) == (2, 3, 67, True)
 
 
 def test_deep_tree(spark):
     n = 300
     text = "(" * n + "t0" + "".join(f",t{i}:1)n{i}:1" for i in range(1, n + 1)) + ";"
-    nodes = trees.tree_nodes(spark.createDataFrame([("d", "newick", text)], "tree_id string, format string, content string"))
-    shape = trees.clade_shape(nodes).join(nodes, ["tree_id", "open"])
+    nodes = trees.tree_nodes(spark.createDataFrame([(1, "d", "newick", text)], "dataset_id long, tree_id string, format string, content string"))
+    shape = trees.clade_shape(nodes).join(nodes, ["dataset_id", "tree_id", "open"])
     got = {r.name: (r.n_tips, r.longest_path) for r in shape.filter("NOT is_tip").collect()}
     assert got[f"n{n}"] == (n + 1, n) and got["n1"] == (2, 1.0)
 
 
+def test_quotes_in_trees(spark):
+    long = "x" * 20000
+    texts = [("q", "newick", "('Homo sapiens':1,'it''s [here], (now); x':2,\"a,b\":3,C[a comment, (with) marks;]:4,Two words:5," + long + ":6)'the root';(Z,Y);"),
+             ("x", "nexus", "#NEXUS\n[TREE no = (A,B);]\nBEGIN TREES;\nTRANSLATE 1 'Smith, J sp', 2 Homo   sapiens, 'c d' 'Q''s';\nTREE t = [&R] (1:1,(2:2,'c d':3):1);\nEND;")]
+    df = spark.createDataFrame([(1, *t) for t in texts], "dataset_id long, tree_id string, format string, content string")
+    tips = [r.label for r in trees.tip_labels(df).filter("tree_id = 'q'").orderBy("pos").collect()]
+    assert tips == ["Homo sapiens", "it's [here], (now); x", "a,b", "C", "Twowords", long]
+    nodes = trees.tree_nodes(df).filter("tree_id = 'q'").collect()
+    assert {r.name: r.branch_length for r in nodes if r.is_tip} == dict(zip(tips, range(1, 7))) and [r.name for r in nodes if not r.is_tip] == ["the root"]
+    named = ["Smith, J sp", "Homo sapiens", "Q's"]
+    assert [(r.code, r.name) for r in trees.nexus_translate(df).orderBy("pos").collect()] == list(zip(["1", "2", "c d"], named))
+    assert [r.label for r in trees.tip_labels(df).filter("tree_id = 'x'").orderBy("pos").collect()] == named
+    assert {r.name for r in trees.tree_nodes(df).filter("tree_id = 'x' AND is_tip").collect()} == set(named)
+
+
 def test_tree_summary_preview(spark):
-    files = spark.createDataFrame([("x", "x.nwk", "newick", "(A:1,B:1)" + " " * 600 + ";", None)], "tree_id string, path string, format string, content string, error string")
+    files = spark.createDataFrame([(1, "x", "x.nwk", "newick", "(A:1,B:1)" + " " * 600 + ";", None)], "dataset_id long, tree_id string, path string, format string, content string, error string")
     r = trees.tree_summary(files).first()
     assert len(r.preview) == 503 and r.preview.endswith("...") and r.labels == "A, B" and not r.truncated
 
@@ -115,12 +132,15 @@ def test_match_names_equals_brute_force(spark):
                 cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
             prev = cur
         return prev[-1]
-    known = ["Parus major", "Parus minor", "Carex nigra", "Carex nigrans", "Poa annua", "Poa alpina"]
-    asked = ["Parus major", "Parus majr", "Paruss majorr", "Carex nigr", "poa anua", "Xyz", "Poa alpinaaa", "Poa alpinaaaa"]
+    long = "Rhododendron ferrugineum alpinu"
+    known = ["Parus major", "Parus minor", "Carex nigra", "Carex nigrans", "Poa annua", "Poa alpina", long, "Ab", "Abc", ""]
+    asked = ["Parus major", "Parus majr", "Paruss majorr", "Carex nigr", "poa anua", "Xyz", "Poa alpinaaa", "Poa alpinaaaa", "Rhododendrn ferruginem alpnu", "xhododxndron ferrxgineum alpinx",
+             "XRhododendronferrugineum  alpinux", "Rhododend ferrugineum alp", "ab", "abd", "P", "Parus major minor"]
     got = {r.name: (r.match_type, r.matched_name) for r in names.match_names(
         spark.createDataFrame([(a,) for a in asked], "scientificName string"), spark.createDataFrame([(k,) for k in known], "scientificName string")).collect()}
     for a in asked:
-        near = [(edits(a.lower(), k.lower()), k) for k in known if edits(a.lower(), k.lower()) <= 2]
+        near = [(edits(a.lower(), k.lower()), k) for k in known]
+        near = [(e, k) for e, k in near if 100 * (max(len(a), len(k)) - e) // max(len(a), len(k)) >= 80]
         if a in known:
             assert got[a] == ("EXACT", a)
         elif not near:
