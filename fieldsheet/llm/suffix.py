@@ -68,41 +68,56 @@ def window_blocks(data: np.ndarray, starts: np.ndarray, length: int = LENGTH):
     return key[first], start, count, range_hashes(data, start, start + count - 1 + length, _OTHER), again
 
 
+BLOCK = "key long, hash long, doc long, start int, n short, whole boolean"
+NAMES = ["key", "hash", "doc", "start", "n", "whole"]
+
+
+def _later(key, hashes, doc, start):
+    """Of rows in the order of key, hash and place: where a new block begins, and which rows come after the first copy of theirs."""
+    new = np.r_[True, (key[1:] != key[:-1]) | (hashes[1:] != hashes[:-1])]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return new, (doc != doc[first]) | (start != start[first])
+
+
 def _block_rows(length):
+    """Blocks of the texts; of equal blocks in one batch all but the first are decided (``whole``) before the shuffle."""
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            found = []
+            for part in slices(batch, 1):
                 data, starts = joined_bytes(part.column(1))
                 key, start, count, hashes, again = window_blocks(data, starts, length)
                 row = np.searchsorted(starts, start, side="right") - 1
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(hashes.view(np.int64)), pa.array(part.column(0).to_numpy()[row]),
-                                       pa.array((start - starts[row]).astype(np.int32)), pa.array(np.where(again, -count, count).astype(np.int16))],
-                                      names=["key", "hash", "doc", "start", "n"])
+                found.append((key.view(np.int64), hashes.view(np.int64), part.column(0).to_numpy()[row], (start - starts[row]).astype(np.int32),
+                              np.where(again, -count, count).astype(np.int16)))
+            cols = [np.concatenate(c) for c in zip(*found)]
+            if len(cols) and len(cols[0]):
+                order = np.lexsort(cols[3::-1])
+                cols = [c[order] for c in cols]
+                yield pa.record_batch([pa.array(c) for c in cols] + [pa.array(_later(*cols[:4])[1])], names=NAMES)
     return run
 
 
-BLOCK = "key long, hash long, doc long, start int, n short"
-
-
 def _judge(batches):
     """Blocks in the order of key, hash and place: later copies (``whole``), and first copies that share their key with other blocks.
 
-    One row is carried from batch to batch: the first copy of the block that the batch ended in.
+    Rows decided before pass through. One row is carried from batch to batch: the first copy of the
+    block that the batch ended in.
     """
-    names = ["key", "hash", "doc", "start", "n"]
     held, sent, several = None, False, False
     for batch in batches:
-        cols = [batch.column(i).to_numpy() for i in range(5)]
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        done = cols.pop()
+        yield pa.record_batch([pa.array(c[done]) for c in (*cols, done)], names=NAMES)
+        cols = [c[~done] for c in cols]
         if held is not None:
             cols = [np.r_[h, c] for h, c in zip(held, cols)]
         key, hashes, doc, start, n = cols
         if not len(key):
             continue
+        new, later = _later(key, hashes, doc, start)
         new_key = np.r_[True, key[1:] != key[:-1]]
-        new = new_key | np.r_[True, hashes[1:] != hashes[:-1]]
         first = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        later = (doc != doc[first][group]) | (start != start[first][group])
         run = np.cumsum(new_key) - 1
         kinds = np.bincount(run[first]) > 1
         kinds[0] |= several and held is not None
@@ -114,7 +129,7 @@ def _judge(batches):
         held = [c[last:last + 1] for c in cols]
         sent = bool(kinds[-1] or n[last] < 0)
         several = bool(kinds[-1])
-        yield pa.record_batch([pa.array(c[out]) for c in cols] + [pa.array(later[out])], names=names + ["whole"])
+        yield pa.record_batch([pa.array(c[out]) for c in cols] + [pa.array(later[out])], names=NAMES)
 
 
 def suffix_order(text: np.ndarray, at: np.ndarray, length: int):
@@ -309,7 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     rows = docs.select(id_key(F.col("doc_id")).alias("doc"), F.encode(F.col("text"), "utf-8").alias("text"))
     blocks = rows.mapInArrow(_block_rows(length), BLOCK)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    judged = (blocks.repartition(n, "key").sortWithinPartitions("key", "hash", "doc", "start").mapInArrow(_judge, BLOCK + ", whole boolean"))
+    place = F.when(F.col("whole"), F.xxhash64("doc", "start")).otherwise(F.col("key"))  # decided rows need not meet
+    judged = blocks.repartition(n, place).sortWithinPartitions("key", "hash", "doc", "start").mapInArrow(_judge, BLOCK)
     judged = materialize(judged.withColumn("n", F.abs("n")), "blocks")
     packed = rows.mapInArrow(_pack, "doc long, packed binary")
 
