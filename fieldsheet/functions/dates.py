@@ -31,7 +31,12 @@ DAY_MONTH_YEAR = r"^(\d{1,2})(?:st|nd|rd|th)?[ -]([A-Za-z]{3,9})\.?,?[ -](\d{4})
 MONTH_DAY_YEAR = r"^([A-Za-z]{3,9})\.? (\d{1,2})(?:st|nd|rd|th)?,? (\d{4})$"
 MONTH_YEAR = r"^([A-Za-z]{3,9})\.?,? (\d{4})$"
 NUMBERS_YEAR = r"^(\d{1,2})/(\d{1,2})/(\d{4})$"
-RANGE_WORD = r"\s(?:to|-|–)\s"
+# What stands between the two ends of a written range.
+BETWEEN = ["to", "-", "–"]
+RANGE_WORD = r"\s(?:" + "|".join(BETWEEN) + r")\s"
+# Forms of one end of a temporal scope, with what each group is (M: a month's name).
+SCOPE_FORMS = [(ISO_DAY, "ymd"), (SLASH_DAY, "ymd"), (r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", "dMy"), (r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$", "Mdy"),
+               (YEAR_MONTH, "ym"), (YEAR, "y")]
 
 
 def month_number(name: Column) -> Column:
@@ -191,54 +196,61 @@ def ymd_bounds(year: Column, month: Column | None = None, day: Column | None = N
     return let(parts, read)
 
 
-def _scope_token(token: Column, is_end: bool, context: Column | None = None) -> Column:
-    dmy, mdy = r"^(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})$", r"^([A-Za-z]+)\s+(\d{1,2})\s+(\d{4})$"
+def _scope_end(token: Column, is_end: bool, whole: Column | None = None) -> Column:
+    """The day that one end of a scope names: the first or last day of the period that is written.
+
+    A bare day takes month and year from ``whole``, the other end.
+    """
+    def day(t, form, parts):
+        group = {p.lower(): _part(t, form, i) for i, p in enumerate(parts, 1)}
+        month = group.get("m", F.lit("12" if is_end else "01"))
+        month = month_number(month) if "M" in parts else month
+        if "d" in group:
+            return make_day(group["y"], month, group["d"])
+        first = make_day(group["y"], month, F.lit("01"))
+        return F.last_day(first) if is_end else first
 
     def read(t):
-        out = (F.when(t.rlike(ISO_DAY), _to_date(t))
-               .when(t.rlike(SLASH_DAY), _to_date(F.replace(t, F.lit("/"), F.lit("-"))))
-               .when(t.rlike(dmy), make_day(_part(t, dmy, 3), month_number(_part(t, dmy, 2)), _part(t, dmy, 1)))
-               .when(t.rlike(mdy), make_day(_part(t, mdy, 3), month_number(_part(t, mdy, 1)), _part(t, mdy, 2)))
-               .when(t.rlike(YEAR_MONTH), F.last_day(_to_date(t)) if is_end else _to_date(t))
-               .when(t.rlike(YEAR), make_day(t, F.lit("12" if is_end else "01"), F.lit("31" if is_end else "01"))))
-        if context is not None:
-            out = out.when(t.rlike(r"^\d{1,2}$"), make_day(F.year(context), F.month(context), t))
+        out = F.lit(None).cast("date")
+        for form, parts in reversed(SCOPE_FORMS):
+            out = F.when(t.rlike(form), day(t, form, parts)).otherwise(out)
+        if whole is not None:
+            out = F.when(t.rlike(r"^\d{1,2}$"), make_day(F.year(whole), F.month(whole), t)).otherwise(out)
         return out
 
     return let(F.regexp_replace(strip(token), r"^[,.;:]+|[,.;:]+$", ""), read)
 
 
-def scope_dates(c: Column) -> Column:
-    """Struct (kind, start, end) of a free temporal scope: ``range``, ``single`` or null."""
+def _scope_halves(t: Column) -> Column:
+    """Struct (left, right) of a text cut at the first connector that has text on both sides; nulls if there is none."""
     none = F.lit(None).cast("string")
+    out = F.struct(none.alias("left"), none.alias("right"))
+    for mark in ["/"] + [f" {w} " for w in BETWEEN]:  # the last one that fits wins: a long dash before a hyphen, a hyphen before a word
+        at = F.position(F.lit(mark), t)
+        sides = F.struct(strip(F.left(t, at - 1)).alias("left"), strip(F.substr(t, at + len(mark))).alias("right"))
+        out = F.when((at > 0) & (sides["left"] != "") & (sides["right"] != ""), sides).otherwise(out)
+    return out
 
-    def scope(kind, a, b):
-        return F.struct(F.lit(kind).alias("kind"), a.alias("start"), b.alias("end"))
+
+def scope_dates(c: Column) -> Column:
+    """Struct (kind, start, end) of a free temporal scope: ``range``, ``single`` or null.
+
+    ISO days anywhere in the text come first: two or more give the range from the first to the last.
+    Else the text is one period or two with a connector between them.
+    """
+    def scope(kind, a, b=None):
+        return F.struct(F.lit(kind).alias("kind"), a.alias("start"), (F.lit(None).cast("string") if b is None else b).alias("end"))
 
     def text(d):
         return F.date_format(d, "yyyy-MM-dd")
 
-    def halves(t):
-        out = F.struct(none.alias("left"), none.alias("right"))
-        for sep in (" – ", " - ", " to ", "/"):
-            head = F.substring_index(t, sep, 1)
-            tail = strip(F.substr(t, F.length(head) + len(sep) + 1))
-            out = F.when(t.contains(sep) & (strip(head) != "") & (tail != ""),
-                         F.struct(strip(head).alias("left"), tail.alias("right"))).otherwise(out)
-        return out
-
-    def worded(t):
-        ends = let(halves(t), lambda h: let(_scope_token(h["right"], True), lambda e: F.struct(
-            _scope_token(h["left"], False, e).alias("a"), e.alias("b"))))
-        return let(ends, lambda e: let(_scope_token(t, False), lambda one: (
-            F.when(e["a"].isNotNull() & e["b"].isNotNull(), scope("range", text(e["a"]), text(e["b"])))
-            .when(one.isNotNull(), scope("single", text(one), none)))))
+    def written(t):
+        ends = let(_scope_halves(t), lambda h: let(_scope_end(h["right"], True), lambda e: F.struct(_scope_end(h["left"], False, e).alias("a"), e.alias("b"))))
+        both = let(ends, lambda e: F.when(e["a"].isNotNull() & e["b"].isNotNull(), scope("range", text(e["a"]), text(e["b"]))))
+        return F.coalesce(both, let(_scope_end(t, False), lambda one: F.when(one.isNotNull(), scope("single", text(one)))))
 
     def read(t):
-        found = F.regexp_extract_all(t, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
-        return let(found, lambda f: (
-            F.when(F.size(f) >= 2, scope("range", f[0], F.element_at(f, -1)))
-            .when(F.size(f) == 1, scope("single", f[0], none))
-            .otherwise(worded(t))))
+        days = F.regexp_extract_all(t, F.lit(r"\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
+        return let(days, lambda d: F.when(F.size(d) > 1, scope("range", d[0], F.element_at(d, -1))).when(F.size(d) == 1, scope("single", d[0])).otherwise(written(t)))
 
     return let(strip(c), read)

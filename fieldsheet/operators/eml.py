@@ -12,7 +12,11 @@ HEAD = ('<?xml version="1.0" encoding="UTF-8"?>\n<eml:eml xmlns:eml="https://eml
 LICENCE = ('This work is licensed under a <ulink url="http://creativecommons.org/licenses/by/4.0/legalcode">'
            "<citetitle>Creative Commons Attribution (CC-BY) 4.0 License</citetitle></ulink>.")
 DIRECTORY = "https://orcid.org/"
-MARK = "@licence@"
+# The person of a dataset without an owner, and what stands for missing parts of an owner.
+NOBODY = {"first_name": "Test", "last_name": "User", "orcid": "0000-0002-1825-0097"}
+UNNAMED = {"first_name": "Test", "last_name": "User", "orcid": "0000-0000-0000-0000"}
+MARK = "licence"
+FORBIDDEN = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]"  # characters XML 1.0 cannot hold
 
 USERS = "array<struct<first_name:string,last_name:string,email:string,orcid:string>>"
 KEYWORDS = "array<struct<rank:string,scientificName:string,commonName:string>>"
@@ -25,14 +29,27 @@ def _filled(c: Column) -> Column:
     return F.nullif(c.cast("string"), F.lit(""))
 
 
+def _printable(c: Column) -> Column:
+    return F.regexp_replace(c, FORBIDDEN, "")
+
+
+def _printable_parts(name: str, fields) -> Column:
+    return F.transform(name, lambda e: F.struct(*[_printable(e[f]).alias(f) for f in fields]))
+
+
 def _complete(meta: DataFrame, owners: DataFrame) -> DataFrame:
     """Metadata with all optional columns and the owner as ``_owner``, defaults filled in."""
     m = meta.select("*", *[F.lit(None).cast(t).alias(c) for c, t in OPTIONAL.items() if c not in meta.columns])
-    o = owners.select("dataset_id", F.struct(
-        F.coalesce(_filled(F.col("first_name")), F.lit("Test")).alias("first_name"), F.coalesce(_filled(F.col("last_name")), F.lit("User")).alias("last_name"),
-        _filled(F.col("email")).alias("email"), F.coalesce(_filled(F.col("orcid")), F.lit("0000-0000-0000-0000")).alias("orcid")).alias("_o"))
-    default = F.struct(F.lit("Test").alias("first_name"), F.lit("User").alias("last_name"), F.lit(None).cast("string").alias("email"),
-                       F.lit("0000-0002-1825-0097").alias("orcid"))
+    m = m.withColumns({c: _printable(F.col(c)) for c, kind in m.dtypes if kind == "string"})
+    m = m.withColumns({"users": _printable_parts("users", ["first_name", "last_name", "email", "orcid"]),
+                       "taxonomic_keywords": _printable_parts("taxonomic_keywords", ["rank", "scientificName", "commonName"])})
+
+    def part(name):
+        return F.coalesce(_filled(_printable(F.col(name))), F.lit(UNNAMED[name])).alias(name)
+
+    o = owners.select("dataset_id", F.struct(part("first_name"), part("last_name"), _filled(_printable(F.col("email"))).alias("email"), part("orcid")).alias("_o"))
+    default = F.struct(F.lit(NOBODY["first_name"]).alias("first_name"), F.lit(NOBODY["last_name"]).alias("last_name"),
+                       F.lit(None).cast("string").alias("email"), F.lit(NOBODY["orcid"]).alias("orcid"))
     return m.join(o, "dataset_id", "left").withColumn("_owner", F.coalesce("_o", default)).drop("_o")
 
 
@@ -118,7 +135,8 @@ def eml_documents(meta: DataFrame, owners: DataFrame, today: Column | None = Non
     first = F.substring_index("_x", "<title>", 1)
     rest = F.substr("_x", F.length(first) + len("<title>") + 1)
     xml = F.when(F.col("_titled"), F.concat(first, F.lit('<title xml:lang="eng">'), rest)).otherwise(F.col("_x"))
-    xml = F.replace(xml, F.lit(MARK), F.lit(LICENCE))
+    # only this element can hold the mark: brackets in texts are escaped
+    xml = F.regexp_replace(xml, rf"(<intellectualRights>\s*<para>){MARK}(</para>)", "$1" + LICENCE + "$2")
     package = F.concat(F.lit(HEAD), F.lit(' packageId="dataset-'), F.col("dataset_id").cast("string"), F.lit('/v1">\n'))
     return built.select("dataset_id", F.concat(package, xml, F.lit("\n"), F.coalesce(F.concat(F.col("_e"), F.lit("\n")), F.lit("")),
                                                F.lit("</eml:eml>\n")).alias("eml"))

@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_text, strip
 from ..plans.scans import carry_next
-from ..plans.skew import broadcast_if_small
 from ..plans.topk import first_per_key, last_per_key, top_k
 
 MESSAGE = ("role string, content variant, tool_call_id string, "
@@ -118,7 +117,7 @@ def next_step(datasets: DataFrame, agents: DataFrame, tasks: DataFrame, modes: D
     it travels as one array, and each dataset picks from it.
     """
     steps = tasks.groupBy().agg(F.sort_array(F.collect_list(F.struct("order", "name"))).alias("_tasks")).withColumn("_one", F.lit(1))
-    named = agents.join(broadcast_if_small(tasks.select(F.col("name").alias("task"), F.col("order").alias("_o"))), "task", "left")
+    named = agents.join(tasks.select(F.col("name").alias("task"), F.col("order").alias("_o")), "task", "left")
     work = named.groupBy("dataset_id").agg(
         F.min(F.when(F.col("completed_at").isNull(), F.struct("created_at", "agent_id", "task")))["task"].alias("_open"),
         F.max(F.struct("created_at", "agent_id", "_o"))["_o"].alias("_last"))

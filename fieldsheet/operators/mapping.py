@@ -7,7 +7,6 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import strip
-from ..plans.skew import broadcast_if_small
 from ..plans.topk import first_per_key
 
 
@@ -31,7 +30,7 @@ def integer_headers(columns: DataFrame) -> DataFrame:
 def map_to_dwc_terms(columns: DataFrame, terms: DataFrame) -> DataFrame:
     """Add the canonical ``term`` of every header (case-insensitive) or null, and ``matched``."""
     canon = terms.select(F.lower("term").alias("_key"), F.col("term"))
-    out = columns.withColumn("_key", F.lower(strip(F.col("name")))).join(broadcast_if_small(canon), "_key", "left").drop("_key")
+    out = columns.withColumn("_key", F.lower(strip(F.col("name")))).join(canon, "_key", "left").drop("_key")
     return out.withColumn("matched", F.col("term").isNotNull())
 
 
@@ -86,7 +85,7 @@ def column_overlap(columns: DataFrame, schema_terms: DataFrame) -> DataFrame:
     names = _checked_names(columns)
     size = names.groupBy("table_id").agg(F.count(F.lit(1)).alias("n_names"))
     terms = schema_terms.select("schema_order", "schema_key", "title", F.lower("term").alias("key")).distinct()
-    shared = (names.join(broadcast_if_small(terms), "key").groupBy("table_id", "schema_order", "schema_key", "title")
+    shared = (names.join(terms, "key").groupBy("table_id", "schema_order", "schema_key", "title")
               .agg(F.count(F.lit(1)).alias("shared")))
     return shared.join(size, "table_id").select(
         "table_id", "schema_order", "schema_key", "title", "shared", (F.col("n_names") - F.col("shared")).alias("foreign"),
@@ -106,7 +105,7 @@ def assess_schema(columns: DataFrame, schema_terms: DataFrame) -> DataFrame:
                           F.struct("foreign", -F.col("shared"), "schema_order")).alias("b"))
             .select("table_id", "b.*"))
     terms = schema_terms.select("schema_order", F.lower("term").alias("key"), F.lit(True).alias("allowed")).distinct()
-    listed = (names.join(best, "table_id", "left").join(broadcast_if_small(terms), ["schema_order", "key"], "left")
+    listed = (names.join(best, "table_id", "left").join(terms, ["schema_order", "key"], "left")
               .groupBy("table_id").agg(
                   F.first("schema_key").alias("schema"), F.first("foreign").alias("foreign"),
                   F.sort_array(F.collect_list(F.when(F.col("allowed").isNull(), F.col("name")))).alias("invalid")))

@@ -3,7 +3,6 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_text, let, strip
-from ..plans.skew import broadcast_if_small
 from ..plans.topk import first_per_key
 
 
@@ -66,7 +65,7 @@ def completion_guard(agents: DataFrame, tasks: DataFrame, meta: DataFrame, conte
     """Agents of the content step whose dataset has no title or description yet: they cannot be closed."""
     step = tasks.filter(F.col("name") == content_task).select(F.col("name").alias("task"))
     lacking = meta.filter((F.coalesce("title", F.lit("")) == "") | (F.coalesce("description", F.lit("")) == "")).select("dataset_id")
-    return agents.join(broadcast_if_small(step), "task", "left_semi").join(lacking, "dataset_id", "left_semi").select("agent_id", "dataset_id", "task")
+    return agents.join(step, "task", "left_semi").join(lacking, "dataset_id", "left_semi").select("agent_id", "dataset_id", "task")
 
 
 def profile_from_json(profiles: DataFrame) -> DataFrame:

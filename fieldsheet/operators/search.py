@@ -5,7 +5,6 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import lookup_key, strip_examples
-from ..plans.skew import broadcast_if_small
 from ..plans.topk import first_per_key, top_k
 from .log import visible_rows
 
@@ -90,6 +89,6 @@ def extension_name(c: Column) -> Column:
 def find_extension(names: DataFrame, extensions: DataFrame) -> DataFrame:
     """(name, key): the extension (key, file) a name means, null if none."""
     by_name = extensions.select(F.explode(F.array(F.col("key"), extension_name(F.col("file")))).alias("_n"), "key").distinct()
-    return names.withColumn("_n", extension_name(F.col("name"))).join(broadcast_if_small(first_per_key(by_name, ["_n"], ["key"])), "_n", "left").select("name", "key")
+    return names.withColumn("_n", extension_name(F.col("name"))).join(first_per_key(by_name, ["_n"], ["key"]), "_n", "left").select("name", "key")
 
 

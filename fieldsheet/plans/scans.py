@@ -13,6 +13,16 @@ def _blocked(df, pos, block):
     return df.withColumn("_block", F.floor(F.col(pos) / F.lit(block)).cast("long"))
 
 
+def _join_blocks(rows: DataFrame, values: DataFrame, keys) -> DataFrame:
+    """Every row with the values of its group and block; null keys are groups like any other."""
+    on = F.lit(True)
+    named = values.select(*[F.col(c).alias(f"_j{i}") if c in (*keys, "_block") else F.col(c) for i, c in enumerate(values.columns)])
+    for i, c in enumerate(values.columns):
+        if c in (*keys, "_block"):
+            on = on & F.col(c).eqNullSafe(F.col(f"_j{i}"))
+    return rows.join(named, on)
+
+
 def carry_last(df: DataFrame, keys, pos: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
     """Add columns holding the last non-null value at or before each row."""
     names = list(values)
@@ -24,7 +34,7 @@ def carry_last(df: DataFrame, keys, pos: str, values: dict[str, Column], block:
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = tails.select(*keys, "_block",
                            *[F.last(f"_t{i}", True).over(outer).alias(f"_c{i}") for i in range(len(names))])
-    joined = local.join(carried, [*keys, "_block"])
+    joined = _join_blocks(local, carried, keys)
     return joined.select(*[F.col(c) for c in df.columns if c not in names],
                          *[F.coalesce(f"_l{i}", f"_c{i}").alias(n) for i, n in enumerate(names)])
 
@@ -38,7 +48,7 @@ def carry_next(df: DataFrame, keys, pos: str, name: str, value: Column, block: i
         F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(pos))).alias("_h"))
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
     carried = heads.select(*keys, "_block", F.first("_h", True).over(outer).alias("_c"))
-    return (local.join(carried, [*keys, "_block"])
+    return (_join_blocks(local, carried, keys)
             .select(*[F.col(c) for c in df.columns if c != name], F.coalesce("_l", "_c").alias(name)))
 
 
@@ -53,6 +63,6 @@ def running_sum(df: DataFrame, keys, pos: str, values: dict[str, Column], block:
     outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, "_block", *[
         F.coalesce(F.sum(f"_t{i}").over(outer), F.lit(0)).alias(f"_c{i}") for i in range(len(names))])
-    joined = local.join(carried, [*keys, "_block"])
+    joined = _join_blocks(local, carried, keys)
     return joined.select(*[F.col(c) for c in df.columns if c not in names],
                          *[(F.col(f"_l{i}") + F.col(f"_c{i}")).alias(n) for i, n in enumerate(names)])

@@ -2,23 +2,15 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-HOT_KEYS = 256
+SHARE = 1000
 SALTS = 64
-SMALL_ROWS = 20000
 
 
-def broadcast_if_small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """The table marked for broadcast if it is counted to be small, else as it is.
-
-    Vocabularies and task lists come from the caller, so their size is checked, not assumed.
-    """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
-def hot_keys(rows: DataFrame, keys, limit: int = HOT_KEYS) -> DataFrame:
-    """The most frequent keys, at most ``limit`` of them: small enough to broadcast by construction."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    return counts.orderBy(F.desc("_n"), *keys).limit(limit).select(*keys, F.lit(True).alias("_hot"))
+def hot_keys(rows: DataFrame, keys, share: int = SHARE) -> DataFrame:
+    """The keys that hold more than one in ``share`` of all rows: fewer than ``share`` of them, so small enough to broadcast."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    return counts.filter((F.col("_n") > 1) & (F.col("_n") * share > total)).select(*keys, F.lit(True).alias("_hot"))
 
 
 def join_on_hot_keys(rows: DataFrame, lookup: DataFrame, keys, how: str = "left", spread=None,
@@ -48,6 +40,7 @@ def rows_of_repeated_keys(rows: DataFrame, keys) -> DataFrame:
     safe = [f"_k{i}" for i in range(len(keys))]
     tagged = rows.select("*", *[F.struct(F.col(k)).alias(s) for k, s in zip(keys, safe)])
     counts = tagged.groupBy(*safe).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    hot = counts.orderBy(F.desc("_n"), *safe).limit(HOT_KEYS).select(*safe, F.lit(True).alias("_hot"))
+    total = rows.agg(F.count(F.lit(1))).scalar()
+    hot = counts.filter(F.col("_n") * SHARE > total).select(*safe, F.lit(True).alias("_hot"))
     return join_on_hot_keys(tagged, counts.drop("_n"), safe, "left_semi",
                             spread=rows.columns, hot=hot).drop(*safe)

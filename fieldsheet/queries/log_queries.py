@@ -75,7 +75,7 @@ WHERE NOT (function = 'UploadArchive' AND task NOT IN ('4-NOT SPECIFIED', '5-LOW
 def _(d):
     allowed = log.allowed_functions(d.view("tasks_of").withColumnRenamed("task_order", "order"), ["Python", "UploadArchive", "SetTaskToComplete"],
                                     ["UploadArchive"], ["4-NOT SPECIFIED", "5-LOW"], "SetTaskToComplete")
-    return d.view("agents_of").join(F.broadcast(allowed), F.col("task") == F.col("name")).select("agent_id", "function")
+    return d.view("agents_of").join(allowed, F.col("task") == F.col("name")).select("agent_id", "function")
 
 
 @query("last_messages", """SELECT agent_id, rank, message_id, role, CASE WHEN call_id IS NOT NULL THEN 'tool_calls: ' || call_name WHEN tool_call_id IS NOT NULL THEN 'tool_result for ' || tool_call_id || ': ' || c ELSE c END AS preview, rank <= 2 AS will_delete

@@ -5,8 +5,7 @@ from html import escape
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.text import fold_key
-from ..plans.skew import broadcast_if_small
-from .vocab import DUBLIN_CORE, DUBLIN_CORE_TERMS, DWC, SCHEMAS, term_uri
+from .vocab import DWC, SCHEMAS, uri_of
 
 
 def archive_meta(columns: DataFrame, assigned: DataFrame, schema_terms: DataFrame) -> DataFrame:
@@ -15,15 +14,17 @@ def archive_meta(columns: DataFrame, assigned: DataFrame, schema_terms: DataFram
     ``assigned`` is (table_id, schema_key). Only headers of the schema and its identifier stay, in
     their order; ``is_id`` marks the identifier column.
     """
-    terms = schema_terms.select("schema_key", "row_type", "id_column", F.lower("term").alias("_k"), "term")
-    ids = schema_terms.filter("id_column IS NOT NULL").select(
-        "schema_key", "row_type", "id_column", F.lower("id_column").alias("_k"), F.col("id_column").alias("term")).distinct()
+    own = ["schema_key", "row_type", "id_column"]
+    terms = schema_terms.select(*own, F.lower("term").alias("_k"), "term", "uri")
+    ids = schema_terms.filter("id_column IS NOT NULL").select(*own, F.lower("id_column").alias("_k"), F.col("id_column").alias("term")).distinct()
+    # an identifier that is no term of its schema is a Darwin Core term
+    ids = ids.join(terms.select("schema_key", "_k"), ["schema_key", "_k"], "left_anti").withColumn("uri", F.concat(F.lit(DWC), "term"))
     allowed = terms.unionByName(ids).distinct()
     named = columns.withColumn("_k", F.lower(F.trim("name"))).join(assigned, "table_id")
-    kept = named.join(broadcast_if_small(allowed), ["schema_key", "_k"])
-    first = kept.groupBy("table_id", "schema_key", "row_type", "id_column", "term").agg(F.min("pos").alias("pos"))
+    kept = named.join(allowed, ["schema_key", "_k"])
+    first = kept.groupBy("table_id", "schema_key", "row_type", "id_column", "term", "uri").agg(F.min("pos").alias("pos"))
     place = F.row_number().over(W.partitionBy("table_id").orderBy("pos")) - 1  # the columns of one header
-    return first.select("table_id", "schema_key", "row_type", place.cast("bigint").alias("index"), "term", term_uri(F.col("term")).alias("uri"),
+    return first.select("table_id", "schema_key", "row_type", place.cast("bigint").alias("index"), "term", "uri",
                         F.coalesce(F.col("term") == F.col("id_column"), F.lit(False)).alias("is_id"))
 
 
@@ -43,7 +44,7 @@ def check_archive_plan(plan: DataFrame, registry: DataFrame, schemas: DataFrame)
             "dataset_id", "table_id", F.lit(f"{what} table does not belong to the dataset").alias("error"))
 
     def unknown(t, kind):
-        return t.join(broadcast_if_small(kinds.filter(F.col("kind") == kind)), "schema_key", "left_anti").select(
+        return t.join(kinds.filter(F.col("kind") == kind), "schema_key", "left_anti").select(
             "dataset_id", "table_id", F.lit(f"unknown {kind} type").alias("error"))
 
     both = ext.filter("table_id = core_table_id").select("dataset_id", "table_id", F.lit("core table is also an extension").alias("error"))
@@ -77,10 +78,14 @@ def _copy(spark, source: str, folder: str):
 
 
 def _write_table(t: DataFrame, folder: str, name: str) -> list[str]:
-    """The table as tab separated part files; returns their names relative to the archive."""
+    """The table as tab separated part files; returns their names relative to the archive.
+
+    Tabs and line breaks inside a value, which the format cannot hold, become one blank; other blanks stay.
+    """
     flat = [F.regexp_replace(F.col(f"`{c}`").cast("string"), r"[\t\r\n]+", " ").alias(c) for c in t.columns]
     t.select(*flat).write.mode("overwrite").option("sep", "\t").option("header", True).option("quote", "").option(
-        "emptyValue", "").option("nullValue", "").csv(f"{folder}/{name}")
+        "emptyValue", "").option("nullValue", "").option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{folder}/{name}")
     _, p, fs = _fs(t.sparkSession, f"{folder}/{name}")
     return sorted(f"{name}/{s.getPath().getName()}" for s in fs.listStatus(p) if s.getPath().getName().startswith("part-"))
 
@@ -109,21 +114,18 @@ def write_archive(core: DataFrame, core_type: str, extensions: dict[str, DataFra
     if clash:
         raise ValueError(f"{link} must be unique ignoring case; repeated: {', '.join(clash)}")
 
-    def uri(c):
-        return (DUBLIN_CORE if c in DUBLIN_CORE_TERMS else DWC) + c
-
-    def mapped(t, allowed, id_name):
+    def mapped(kind, t, allowed, id_name):
         spelled = {a.lower(): a for a in allowed}
         own = [(c, spelled[c.lower()]) for c in t.columns if c.lower() in spelled and c != id_name]
-        as_term = [uri(spelled[id_name.lower()])] if id_name.lower() in spelled else [None]
-        return t.select(id_name, *[F.col(c).alias(n) for c, n in own]), as_term + [uri(n) for _, n in own]
+        as_term = [uri_of(kind, spelled[id_name.lower()])] if id_name.lower() in spelled else [None]
+        return t.select(id_name, *[F.col(c).alias(n) for c, n in own]), as_term + [uri_of(kind, n) for _, n in own]
 
-    data, uris = mapped(core, terms, link)
+    data, uris = mapped(core_type, core, terms, link)
     meta = [_descriptor("core", "id", row_type, _write_table(data, path, core_type), uris, 0)]
     for kind, t in extensions.items():
         _, _, _, ext_row, _, ext_terms = schemas[kind]
         id_name = next(c for c in t.columns if c.lower() == link.lower())
-        ext_data, ext_uris = mapped(t, ext_terms, id_name)
+        ext_data, ext_uris = mapped(kind, t, ext_terms, id_name)
         meta.append(_descriptor("extension", "coreid", ext_row, _write_table(ext_data, path, kind), ext_uris, 0))
     _put(spark, f"{path}/meta.xml", '<archive xmlns="http://rs.tdwg.org/dwc/text/" metadata="eml.xml">\n' + "".join(meta) + "</archive>\n")
     _put(spark, f"{path}/eml.xml", eml)

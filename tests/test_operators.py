@@ -286,3 +286,64 @@ def test_fingerprints_cover_whole_content(spark):
 def test_fill_down_across_blocks(spark):
     t = spark.createDataFrame([(1, 1, i, "v" if i == 0 else None) for i in range(100)], "dataset_id long, table_id long, row_id long, v string")
     assert reshape.fill_down(t, ["v"], block=9).filter("v = 'v'").count() == 100
+
+
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, None), ("k", 1, None), ("k", 2, "b")], "g string, row_id long, v string")
+    from fieldsheet.plans import scans
+    got = scans.carry_last(df, ["g"], "row_id", {"v": F.col("v")})
+    assert sorted(((r.g, r.row_id, r.v) for r in got.collect()), key=str) == sorted([(None, 1, "a"), (None, 2, "a"), ("k", 1, None), ("k", 2, "b")], key=str)
+    assert scans.running_sum(df.withColumn("n", F.lit(1)), ["g"], "row_id", {"s": F.col("n")}).count() == 4
+    assert scans.carry_next(df, ["g"], "row_id", "w", F.col("v")).count() == 4
+
+
+def test_hot_keys_are_those_with_a_share(spark):
+    from fieldsheet.plans import skew
+    even = spark.range(1000).select((F.col("id") % 500).alias("k"))
+    assert skew.hot_keys(even, ["k"], 100).count() == 0
+    hot = even.unionByName(spark.range(300 * 20).select((10000 + F.col("id") % 300).alias("k")))
+    assert skew.hot_keys(hot, ["k"]).count() == 300
+
+
+def test_bad_characters_and_marks_in_eml(spark):
+    rows_ = [(1, "bad \x01 title \ufffe", "licence"), (2, "@licence@ <intellectualRights><para>licence</para>", "text")]
+    meta = spark.createDataFrame(rows_, "dataset_id long, title string, description string")
+    owners = spark.createDataFrame([(1, "A\x02", "B", None, None)], "dataset_id long, first_name string, last_name string, email string, orcid string")
+    for r in eml.eml_documents(meta, owners).collect():
+        root = ET.fromstring(r.eml)
+        texts = {e.tag: e.text for e in root.find("dataset")}
+        assert texts["title"] == {1: "bad  title", 2: rows_[1][1]}[r.dataset_id].strip()
+        assert len(root.findall(".//citetitle")) == 1
+        assert root.find("dataset/abstract/para").text == rows_[r.dataset_id - 1][2]
+
+
+def test_extension_uris_and_blanks(spark, tmp_path):
+    uris = {(r.schema_key, r.term): r.uri for r in vocab.schema_terms(spark).collect()}
+    assert uris["species_profile", "isMarine"] == "http://rs.gbif.org/terms/1.0/isMarine"
+    assert uris["distribution", "threatStatus"] == "http://iucn.org/terms/threatStatus"
+    assert uris["chronometric_age", "materialDated"] == "http://rs.tdwg.org/chrono/terms/materialDated"
+    assert uris["occurrence", "basisOfRecord"] == "http://rs.tdwg.org/dwc/terms/basisOfRecord" and uris["occurrence", "license"] == "http://purl.org/dc/terms/license"
+    core = spark.createDataFrame([("a", " lead")], "occurrenceID string, scientificName string")
+    ext = spark.createDataFrame([("a", "true")], "occurrenceID string, isMarine string")
+    out = archive.write_archive(core, "occurrence", {"species_profile": ext}, "<eml/>", str(tmp_path / "dwca"))
+    ns = {"d": "http://rs.tdwg.org/dwc/text/"}
+    meta = ET.parse(f"{out}/meta.xml").getroot()
+    assert [(f.get("index"), f.get("term")) for f in meta.findall("d:extension/d:field", ns)] == [("1", "http://rs.gbif.org/terms/1.0/isMarine")]
+    parts = [(Path(out) / e.text).read_text().splitlines()[1:] for e in meta.findall("d:core/d:files/d:location", ns)]
+    assert [line for p in parts for line in p] == ["a\t lead"]
+
+
+def test_bounds_in_prose(spark):
+    from fieldsheet.functions import coords
+    cases = {"lat 10 S to 20 N, lon 5 W to 7 E": (-5.0, 7.0, 20.0, -10.0), "Coordinate bounds: lat -1.5000 to 2.2500, lon 10.0000 to 11.5000": (10.0, 11.5, 2.25, -1.5),
+             "between 10-20 N latitude; 30 - 40 W longitude": (-40.0, 30.0, 20.0, 10.0), "plateau 10 to 20, lon 5 to 6": None, "latitude 5; longitude 6": None, "": None}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").select("t", coords.bounds_from_text(F.col("t")).alias("b"))
+    for r in df.collect():
+        assert (r.b and (r.b.west, r.b.east, r.b.north, r.b.south)) == cases[r.t], r.t
+
+
+def test_scopes_count_all_values(spark):
+    t = spark.createDataFrame([(1, 1, i, f"Land {i:03d}", f"family{i}") for i in range(300)], "dataset_id long, table_id long, row_id long, country string, family string")
+    assert coverage.geographic_scope(t).first().geographic_scope.endswith("(+295 more)")
+    assert coverage.taxonomic_scope(t).first().taxonomic_scope.endswith("(+295 more)")
+    assert coverage.taxonomic_keywords(t).count() == 300
