@@ -129,24 +129,18 @@ def id_collision_examples(t: DataFrame, id_col: str, keys: int = 5, spellings: i
     return joined_ranked(shown, [*IDS, "key_rank", "id_key"], "rank", F.col("spelling"), " / ", "example")
 
 
-def count_and_first(flags: DataFrame, keys, id_col: str, most: int, bits: int = 12) -> DataFrame:
-    """(keys, n, ids): rows per key and the smallest ids, in one pass over the rows.
+def count_and_first(flags: DataFrame, keys, id_col: str, most: int) -> DataFrame:
+    """(keys, n, ids): rows per key and the smallest ids.
 
-    Counts and first ids are combined per range of ids, then per range of ranges, then per key.
-    Every list holds at most ``most`` ids of at most ``2 ** bits`` parts, so a key that holds most of
-    the rows is still spread over many tasks.
+    Counts are combined before the shuffle, and the ids are limited below it, so a key that holds most
+    of the rows sends ``most`` ids per input partition, whatever its ids look like. Null keys are
+    keys like any other.
     """
-    def shift(c, n):
-        return F.call_function("shiftright", c, F.lit(n))
-
-    def firsts(c):
-        return F.slice(F.flatten(F.transform(F.sort_array(c), lambda p: p["ids"])), 1, most)
-
-    part = flags.groupBy(*keys, shift(F.col(id_col).cast("long"), bits).alias("_p")).agg(
-        F.count(F.lit(1)).alias("n"), F.slice(F.sort_array(F.collect_list(id_col)), 1, most).alias("ids"))
-    wide = part.groupBy(*keys, shift(F.col("_p"), bits).alias("_w")).agg(
-        F.sum("n").alias("n"), firsts(F.collect_list(F.struct("_p", "ids"))).alias("ids"))
-    return wide.groupBy(*keys).agg(F.sum("n").alias("n"), firsts(F.collect_list(F.struct("_w", "ids"))).alias("ids"))
+    safe = [f"_k{i}" for i in range(len(keys))]
+    tagged = flags.select(*[F.struct(F.col(k)).alias(s) for k, s in zip(keys, safe)], F.col(id_col).alias("_id"))
+    counts = tagged.groupBy(*safe).agg(F.count(F.lit(1)).alias("n"))
+    first = top_k(tagged, safe, ["_id"], most).groupBy(*safe).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+    return counts.join(first, safe).select(*[F.col(s)[k].alias(k) for k, s in zip(keys, safe)], "n", "ids")
 
 
 def validation_report(flags: DataFrame, checked: DataFrame | None = None, examples: int = 30) -> DataFrame:
@@ -157,7 +151,11 @@ def validation_report(flags: DataFrame, checked: DataFrame | None = None, exampl
     report = count_and_first(flags, [*IDS, "rule"], "row_id", examples).select(
         *IDS, "rule", F.col("n").alias("bad_rows"), F.col("ids").alias("row_ids"))
     if checked is not None:
-        report = checked.join(report, [*IDS, "rule"], "left")
+        found = report.select(*[F.col(c).alias(f"_{c}") for c in (*IDS, "rule")], "bad_rows", "row_ids")
+        same = F.lit(True)
+        for c in (*IDS, "rule"):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        report = checked.join(found, same, "left")
     return report.select(*IDS, "rule", F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"), "row_ids",
                          F.when(F.col("bad_rows") > 0, F.lit("failed")).otherwise(F.lit("compliant")).alias("status"))
 

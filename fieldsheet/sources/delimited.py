@@ -5,32 +5,46 @@ A field may be quoted; quoted fields may hold delimiters, line breaks and double
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..functions.text import na_to_null, strip
+from ..functions.text import let, na_to_null, strip
 from ..plans.skew import join_on_hot_keys
 from ..plans.topk import first_per_key, top_k
 
 # Candidate delimiters in order of preference.
 DELIMITERS = ["\t", ",", ";", "|"]
-QUOTED = r'"(?:[^"]++|"")*+"'
+
+
+MARK = "\x1e"  # doubled up where a text holds it: MARK 0 is the character itself, MARK 1 a cut
+
+
+def _cut_outside_quotes(text: Column, pattern: str) -> Column:
+    """The parts of ``text`` between matches of ``pattern`` that stand outside quotes.
+
+    Every second piece between quotes is inside them; a last quote without a partner is an ordinary
+    character. No pattern repeats a group, so a text may have any number of quoted fields.
+    """
+    def cut(pieces):
+        def one(p, i):
+            inside = (i % 2 == 1) & (i < F.size(pieces) - 1)
+            return F.when(inside, p).otherwise(F.regexp_replace(p, pattern, MARK + "1"))
+        return F.array_join(F.transform(pieces, one), '"')
+
+    safe = F.replace(text, F.lit(MARK), F.lit(MARK + "0"))
+    parts = F.split(let(F.split(safe, '"', -1), cut), MARK + "1", -1)
+    return F.transform(parts, lambda p: F.replace(p, F.lit(MARK + "0"), F.lit(MARK)))
 
 
 def records(text: Column) -> Column:
     """The records of a CSV text, blank lines left out."""
-    found = F.regexp_extract_all(text, F.lit(rf'((?:[^"\r\n]++|{QUOTED}|")+)'), F.lit(1))
-    return F.filter(found, lambda r: strip(r) != "")
+    return F.filter(_cut_outside_quotes(text, r"[\r\n]+"), lambda r: strip(r) != "")
 
 
 def fields(record: Column, delimiter: str) -> Column:
     """The fields of one record, quotes removed."""
-    d = "\\" + delimiter if delimiter == "|" else delimiter
-    cut = F.regexp_extract_all(F.concat(F.lit(delimiter), record),
-                               F.lit(rf'{d}((?:[^"{d}]++|{QUOTED}|")*+)'), F.lit(1))
-
     def unquoted(f):
         inner = F.replace(F.substr(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))
-        return F.when(f.rlike(r'(?s)^".*"$') & (F.length(f) > 1), inner).otherwise(f)
+        return F.when(f.startswith('"') & f.endswith('"') & (F.length(f) > 1), inner).otherwise(f)
 
-    return F.transform(cut, unquoted)
+    return F.transform(_cut_outside_quotes(record, "\\" + delimiter if delimiter == "|" else delimiter), unquoted)
 
 
 def fields_by(record: Column, delimiter: Column) -> Column:
@@ -69,15 +83,17 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return numbered_rows(lines, F.col("_p"), F.col("_b")).select("file", F.col("row_id").alias("line_no"), "line")
 
 
-def detect_delimiter(lines: DataFrame, sample: int = 50) -> DataFrame:
+def detect_delimiter(lines: DataFrame, sample: int | None = None) -> DataFrame:
     """(file, delimiter, rank): delimiters to try per file, best first.
 
-    Of the first non-blank lines those holding a delimiter are counted (at least two): the smaller
+    Of all non-blank lines (the first ``sample`` if given) those holding a delimiter are counted (at least two): the smaller
     the spread of its number per line, the more lines and the higher the average, the better.
     Delimiters without enough lines follow in their fixed order.
     """
-    first = top_k(lines.filter(strip(F.col("line")) != "").select("file", "line_no", "line"), ["file"], ["line_no"], sample, "_r")
-    marks = first.select("file", F.explode(F.array(*[F.struct(
+    filled = lines.filter(strip(F.col("line")) != "").select("file", "line_no", "line")
+    if sample is not None:
+        filled = top_k(filled, ["file"], ["line_no"], sample, "_r")
+    marks = filled.select("file", F.explode(F.array(*[F.struct(
         F.lit(d).alias("delimiter"), F.lit(i).alias("i"),
         (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("n")) for i, d in enumerate(DELIMITERS)])).alias("m"))
     used = F.when(F.col("m.n") > 0, F.col("m.n"))
@@ -96,9 +112,8 @@ def choose_delimiter(lines: DataFrame) -> DataFrame:
 
     Null if none does: the file is a single column. All lines are checked.
     """
-    bare = F.regexp_replace("line", QUOTED, "")
     filled = lines.filter(strip(F.col("line")) != "").select("file", "line_no", *[
-        F.size(F.split(bare, "\\" + d if d == "|" else d)).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
+        F.size(fields(F.col("line"), d)).alias(f"n{i}") for i, d in enumerate(DELIMITERS)])
     sizes = filled.groupBy("file").agg(*[x for i in range(len(DELIMITERS)) for x in (
         F.min_by(f"n{i}", "line_no").alias(f"h{i}"), F.max(f"n{i}").alias(f"m{i}"))])
     fits = sizes.select("file", F.explode(F.array(*[F.struct(
@@ -126,12 +141,13 @@ def lines_to_cells(lines: DataFrame, delimiters: DataFrame, null_policy: str = "
 
 
 def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy: str = "pandas") -> DataFrame:
-    """Files of one header as an all-string table with ``file`` and ``row_id``.
+    """Files of one header as an all-string table with ``file`` and ``row_id``; a file with another header is refused.
 
     ``pandas`` maps the usual missing-value tokens to null; ``keep`` leaves empty texts empty.
     """
     rows = (spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option("escape", '"')
-            .option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").csv(paths))
+            .option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").option("enforceSchema", False)
+            .option("maxColumns", 1 << 20).csv(paths))
     names = rows.columns
     # the reader gives null for an unquoted empty field and, with this null marker, for nothing else
     cells = [(na_to_null(F.col(f"`{c}`")) if null_policy == "pandas" else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in names]
@@ -139,8 +155,8 @@ def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy
     return numbered_rows(marked, F.col("_p"), F.col("_b")).drop("_p", "_b")
 
 
-def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame):
-    """CSV texts as cells, a summary per table, and warnings.
+def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame, title_length: int | None = None, description_length: int | None = None):
+    """CSV texts as cells, a summary per table, and warnings. Titles and descriptions are cut only to given lengths.
 
     ``payloads``: dataset_id, payload_id, title, csv, description, source_file_id, note. Blank titles,
     blank texts and texts without data rows are skipped with a warning. Empty fields stay empty.
@@ -149,6 +165,7 @@ def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame):
     read = payloads.select("*", title.alias("_title"), records(text).alias("_records"))
     head = F.size(fields(F.get("_records", F.lit(0)), ","))
     longest = F.array_max(F.transform("_records", lambda r: F.size(fields(r, ","))))
+    # fixed values: the texts of warnings
     problem = (F.when(F.col("_title") == "", "title is required.").when(text == "", "csv content is empty.")
                .when(longest > head, "failed to parse CSV.").when(F.size("_records") < 2, "parsed CSV has no rows."))
     read = read.withColumn("_problem", problem)
@@ -164,9 +181,13 @@ def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame):
     source = F.concat(F.lit("source_file_id="), F.col("source_file_id").cast("string"), F.lit(" ("), "_path", F.lit(")"))
     bits = F.concat_ws(" | ", F.nullif(strip(F.col("note")), F.lit("")), F.when(F.col("_path").isNotNull(), source))
     described = F.btrim(F.concat_ws(" | ", strip(F.coalesce("description", F.lit(""))), F.nullif(bits, F.lit(""))), F.lit(" |"))
+
+    def cut(c, most):
+        return F.col(c) if most is None and isinstance(c, str) else c if most is None else F.left(c, F.lit(most))
+
     summary = linked.select(
-        "dataset_id", F.col("payload_id").alias("table_id"), F.left("_title", F.lit(200)).alias("title"),
-        F.left(described, F.lit(1900)).alias("description"), (F.size("_records") - 1).cast("bigint").alias("row_count"),
+        "dataset_id", F.col("payload_id").alias("table_id"), cut("_title", title_length).alias("title"),
+        cut(described, description_length).alias("description"), (F.size("_records") - 1).cast("bigint").alias("row_count"),
         head.cast("bigint").alias("column_count"))
     cells = (good.select("dataset_id", F.col("payload_id").alias("table_id"), F.posexplode("_records").alias("row_id", "_r"))
              .select("dataset_id", "table_id", "row_id", F.posexplode(fields(F.col("_r"), ",")).alias("col_id", "value")))

@@ -347,3 +347,19 @@ def test_scopes_count_all_values(spark):
     assert coverage.geographic_scope(t).first().geographic_scope.endswith("(+295 more)")
     assert coverage.taxonomic_scope(t).first().taxonomic_scope.endswith("(+295 more)")
     assert coverage.taxonomic_keywords(t).count() == 300
+
+
+def test_wide_and_multi_line_records(values):
+    wide = ",".join(f'"a{i},\n""b"""' for i in range(3000))
+    got = values([wide + "\nx,y", 'a,"open\nb,c', 'p\x1e"1,2"\x1eq,r\n\n"",'], delimited.records)
+    assert [len(g) for g in got] == [2, 2, 2] and got[1] == ['a,"open', "b,c"]
+    cut = values([got[0][0], got[2][0], '"",', 'a"b"c,"d""e"'], lambda c: delimited.fields(c, ","))
+    assert cut[0] == [f'a{i},\n"b"' for i in range(3000)]
+    assert cut[1:] == [['p\x1e"1,2"\x1eq', "r"], ["", ""], ['a"b"c', 'd"e']]
+
+
+def test_delimiter_is_judged_by_all_lines(spark):
+    lines = [("f", i, "a;b,c") for i in range(60)] + [("f", 60 + i, "a;b,c,d" if i % 2 else "a;b") for i in range(60)]
+    df = spark.createDataFrame(lines, "file string, line_no long, line string")
+    assert delimited.detect_delimiter(df).filter("rank = 1").first().delimiter == ";"
+    assert delimited.choose_delimiter(df).first().delimiter == ";"
