@@ -142,7 +142,19 @@ def _(d):
     return reshape.normalize_strings(d.table("documents"), ["text"]).select("doc_id", "text", "source")
 
 
-@query("utm_to_latlon")
-def _(d):
-    t = d.sql("SELECT s_suppkey, CAST(s_suppkey % 60 + 1 AS INT) AS z, 300000 + s_acctbal * 40 AS e, 1000000 + abs(s_acctbal) * 700 AS n FROM supplier")
-    return t.select("s_suppkey", coords.utm_to_latlon(F.col("z"), F.lit(True), F.col("e"), F.col("n")).alias("p")).select("s_suppkey", "p.*")
+# the inverse Krueger series written out: third flattening n, rectifying radius, three terms each way
+UTM = """WITH p AS (SELECT s_suppkey, s_suppkey % 60 + 1 AS z, s_suppkey % 2 = 0 AS north, CAST(200000 + s_suppkey * 7919 % 600000 AS DOUBLE) AS e, CAST(s_suppkey * 104729 % 9000000 AS DOUBLE) AS n FROM supplier),
+ c AS (SELECT *, 1 / (2 * 298.257223563 - 1) AS f FROM p),
+ r AS (SELECT *, 0.9996 * 6378137.0 / (1 + f) * (1 + f * f / 4 + f * f * f * f / 64) AS a, f / 2 - 2 * f * f / 3 + 37 * f * f * f / 96 AS b1, f * f / 48 + f * f * f / 15 AS b2, 17 * f * f * f / 480 AS b3,
+  2 * f - 2 * f * f / 3 - 2 * f * f * f AS d1, 7 * f * f / 3 - 8 * f * f * f / 5 AS d2, 56 * f * f * f / 15 AS d3 FROM c),
+ x AS (SELECT *, CASE WHEN north THEN n ELSE n - 10000000.0 END / a AS u, (e - 500000.0) / a AS v FROM r),
+ y AS (SELECT *, u - b1 * sin(2 * u) * cosh(2 * v) - b2 * sin(4 * u) * cosh(4 * v) - b3 * sin(6 * u) * cosh(6 * v) AS xi, v - b1 * cos(2 * u) * sinh(2 * v) - b2 * cos(4 * u) * sinh(4 * v) - b3 * cos(6 * u) * sinh(6 * v) AS eta FROM x),
+ q AS (SELECT *, asin(sin(xi) / cosh(eta)) AS chi FROM y)
+SELECT s_suppkey, round(degrees(chi + d1 * sin(2 * chi) + d2 * sin(4 * chi) + d3 * sin(6 * chi)), 7) AS lat, round(degrees(atan(sinh(eta) / cos(xi))) + z * 6 - 183, 7) AS lon FROM q"""
+
+
+@query("utm_to_latlon", UTM)
+def _(d):
+    t = d.sql(UTM.split("),\n c AS")[0] + ") SELECT * FROM p")
+    at = coords.utm_to_latlon(F.col("z").cast("int"), F.col("north"), F.col("e"), F.col("n"))
+    return t.select("s_suppkey", at.alias("p")).select("s_suppkey", F.round("p.lat", 7).alias("lat"), F.round("p.lon", 7).alias("lon"))
