@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..plans.intervals import cover, in_blocks, points_in_intervals
 from ..plans.scans import running_sum
+from ..plans.scratch import materialize
 from ..plans.topk import first_per_key, joined_ranked, top_k
 
 TREE = ["dataset_id", "tree_id"]
@@ -130,6 +131,7 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     t = _tokens(trees).select(*TREE, "pos", "tok", "label", "length", F.lag("tok").over(w).alias("before"),
                               F.lead("tok").over(w).alias("after"), F.lead("label").over(w).alias("next_label"), F.lead("length").over(w).alias("next_length"),
                               (F.sum(opened).over(w) - F.sum(closed).over(w) + closed).alias("level"))
+    t = materialize(t, "tokens")  # read five times below; the texts are cut once
     brackets = t.filter(F.col("tok").isin("(", ")")).withColumn(
         "k", F.row_number().over(W.partitionBy(*TREE, "level", "tok").orderBy("pos")))
     named = F.col("after") == "text"
