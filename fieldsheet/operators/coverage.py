@@ -10,7 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import coords, dates
-from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder
+from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder, let
+from ..plans.scratch import materialize
 from ..plans.topk import joined_ranked, top_k
 
 # Ranks from high to low with their plural labels.
@@ -43,21 +44,60 @@ def union_tables(*tables: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
-def _values(t: DataFrame, columns) -> DataFrame | None:
-    """Long form (dataset_id, field, ord, text) of the columns that exist, blanks left out.
+def _places(have):
+    return ["country"] if "country" in have else REGION_COLUMNS
 
-    ``ord`` puts first-seen values in order of table, column and row.
+
+def _methods(have):
+    return [c for c in METHOD_COLUMNS if c in have] or [c for c in have if "protocol" in c or "method" in c]
+
+
+# which columns of a header tell of a topic, in the order in which their values count as first seen
+TOPICS = {"place": _places, "taxon": lambda have: [*RANKS, "scientificname"], "method": _methods}
+
+
+def _gather(tables, topics) -> DataFrame | None:
+    """One row per dataset, topic, field and value (ignoring case) of all tables, from one scan of each and one shuffle.
+
+    Text topics give ``text``, the spelling that came first, with ``ord``, its table, column and row. The
+    topic ``dates`` gives the earliest start ``a`` and latest end ``b``, ``box`` the coordinate bounds,
+    ``dataset`` a row for every dataset.
+    Null if no table has a column for any of the topics.
     """
-    have = _header(t)
-    used = [(i, c) for i, c in enumerate(columns) if c in have]
-    if not used:
+    parts = []
+    for t in tables:
+        have, items = _header(t), []
+
+        def item(topic, field=None, i=0, text=None, start=None, end=None, lat=None, lon=None):
+            values = {"topic": (F.lit(topic), "string"), "field": (F.lit(field), "string"), "i": (F.lit(i), "int"), "text": (text, "string"),
+                      "a": (start, "date"), "b": (end, "date"), "lat": (lat, "double"), "lon": (lon, "double")}
+            return F.struct(*[(F.lit(None) if v is None else v).cast(k).alias(n) for n, (v, k) in values.items()])
+
+        for topic in topics:
+            if topic in TOPICS:
+                items += [item(topic, c, i, clean_text(_q(have[c]).cast("string"))) for i, c in enumerate(TOPICS[topic](have)) if c in have]
+        spans = [dates.date_bounds(_q(have[c])) for c in have if "date" in c]
+        if "year" in have:
+            given = {p: coerce_int(_q(have[p])) if p in have else None for p in ("year", "month", "day")}
+            spans.append(dates.ymd_bounds(given["year"], given["month"], given["day"]))
+        if "dataset" in topics:
+            items.append(item("dataset"))
+        if "dates" in topics and spans:
+            found = F.array_compact(F.array(*spans))
+            items.append(let(found, lambda x: item("dates", start=F.array_min(F.transform(x, lambda s: s["start"])), end=F.array_max(F.transform(x, lambda s: s["end"])))))
+        if "box" in topics and {"decimallatitude", "decimallongitude"} <= have.keys():
+            pair = F.struct(coerce_float(_q(have["decimallatitude"])).alias("lat"), coerce_float(_q(have["decimallongitude"])).alias("lon"))
+            items.append(let(pair, lambda p: F.when(coords.in_range(p["lat"], p["lon"]), item("box", lat=p["lat"], lon=p["lon"]))))
+        if items:
+            rows = t.select("dataset_id", "table_id", "row_id", F.explode(F.array(*items)).alias("c"))
+            parts.append(rows.filter("c.text IS NOT NULL OR c.a IS NOT NULL OR c.lat IS NOT NULL OR c.topic = 'dataset'").select(
+                "dataset_id", "c.*", F.struct(F.col("table_id").cast("long").alias("t"), "c.i", F.col("row_id").cast("long").alias("r")).alias("ord")))
+    if not parts:
         return None
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("field"),
-                                         clean_text(_q(have[c]).cast("string")).alias("text")) for i, c in used]))
-    return (t.select("dataset_id", "table_id", "row_id", cells.alias("c")).filter("c.text IS NOT NULL")
-            .select("dataset_id", F.col("c.field").alias("field"), F.col("c.text").alias("text"),
-                    F.struct(F.col("table_id").cast("long").alias("t"), F.col("c.i").alias("i"),
-                             F.col("row_id").cast("long").alias("r")).alias("ord")))
+    return _stack(parts).groupBy("dataset_id", "topic", "field", F.lower("text").alias("_k")).agg(
+        F.min(F.struct("ord", "text")).alias("f"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("lon").alias("west"),
+        F.max("lon").alias("east"), F.max("lat").alias("north"), F.min("lat").alias("south")).select(
+        "dataset_id", "topic", "field", "f.ord", "f.text", "a", "b", "west", "east", "north", "south")
 
 
 def first_seen(values: DataFrame, keys) -> DataFrame:
@@ -83,71 +123,54 @@ def summarize_values(seen: DataFrame, keys, label: Column, show: int, name: str)
     return listed.join(counts, keys).select(*keys, F.concat(label, F.lit(": "), "_l", more).alias(name), F.col("_n").alias("n_values"))
 
 
-def temporal_coverage(*tables: DataFrame) -> DataFrame:
-    """Earliest start and latest end of all date columns and year/month/day of a dataset, with scope text."""
-    def bounds(t):
-        have = _header(t)
-        spans = [dates.date_bounds(_q(have[c])) for c in have if "date" in c]
-        if "year" in have:
-            part = {p: coerce_int(_q(have[p])) if p in have else None for p in ("year", "month", "day")}
-            spans.append(dates.ymd_bounds(part["year"], part["month"], part["day"]))
-        if not spans:
-            return None
-        found = t.select("dataset_id", F.explode(F.array_compact(F.array(*spans))).alias("s"))
-        return found.groupBy("dataset_id").agg(F.min("s.start").alias("a"), F.max("s.end").alias("b"))
-
-    both = _stack(bounds(t) for t in tables)
-    if both is None:
-        return _datasets(tables).select("dataset_id", *[F.lit(None).cast(k).alias(c) for c, k in (
-            ("start", "date"), ("end", "date"), ("temporal_scope", "string"))]).limit(0)
-    total = both.groupBy("dataset_id").agg(F.min("a").alias("start"), F.max("b").alias("end"))
+def _none(tables, columns) -> DataFrame:
+    return _datasets(tables).select("dataset_id", *[F.lit(None).cast(k).alias(c) for c, k in columns.items()]).limit(0)
+
+
+def _temporal(found: DataFrame) -> DataFrame:
+    total = found.filter("topic = 'dates'").select("dataset_id", F.col("a").alias("start"), F.col("b").alias("end"))
     iso = [F.date_format(c, "yyyy-MM-dd") for c in ("start", "end")]
     scope = F.when(F.col("start") == F.col("end"), iso[0]).otherwise(F.concat(iso[0], F.lit("/"), iso[1]))
     return total.withColumn("temporal_scope", scope)
 
 
+def temporal_coverage(*tables: DataFrame) -> DataFrame:
+    """Earliest start and latest end of all date columns and year/month/day of a dataset, with scope text."""
+    found = _gather(tables, ["dates"])
+    return _none(tables, {"start": "date", "end": "date", "temporal_scope": "string"}) if found is None else _temporal(found)
+
+
+def _box(found: DataFrame) -> DataFrame:
+    return found.filter("topic = 'box'").select("dataset_id", "west", "east", "north", "south")
+
+
 def geographic_bounds(*tables: DataFrame) -> DataFrame:
     """West, east, north, south of the coordinate pairs that are numeric and in range."""
-    def bounds(t):
-        have = _header(t)
-        if not {"decimallatitude", "decimallongitude"} <= have.keys():
-            return None
-        pairs = t.select("dataset_id", coerce_float(_q(have["decimallatitude"])).alias("lat"),
-                         coerce_float(_q(have["decimallongitude"])).alias("lon"))
-        return (pairs.filter(coords.in_range(F.col("lat"), F.col("lon"))).groupBy("dataset_id")
-                .agg(F.min("lon").alias("west"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.min("lat").alias("south")))
-
-    parts = _stack(bounds(t) for t in tables)
-    if parts is None:
-        return _datasets(tables).select("dataset_id", *[F.lit(None).cast("double").alias(c) for c in (
-            "west", "east", "north", "south")]).limit(0)
-    return parts.groupBy("dataset_id").agg(F.min("west").alias("west"), F.max("east").alias("east"),
-                                           F.max("north").alias("north"), F.min("south").alias("south"))
+    found = _gather(tables, ["box"])
+    return _none(tables, dict.fromkeys(("west", "east", "north", "south"), "double")) if found is None else _box(found)
 
 
-def geographic_scope(*tables: DataFrame) -> DataFrame:
-    """Countries, else regions of tables without a country column; then the coordinate bounds."""
-    bounds = geographic_bounds(*tables)
-    places = _stack(_values(t, ["country"] if "country" in _header(t) else REGION_COLUMNS) for t in tables)
+def _geographic(found: DataFrame) -> DataFrame:
     box = F.format_string("Coordinate bounds: lat %.4f to %.4f, lon %.4f to %.4f", "south", "north", "west", "east")
-    boxed = bounds.select("dataset_id", F.when(F.col("west").isNotNull(), box).alias("box"))
-    if places is None:
-        return boxed.filter("box IS NOT NULL").select("dataset_id", F.col("box").alias("geographic_scope"))
+    boxed = _box(found).select("dataset_id", box.alias("box"))
     kind = F.when(F.col("field") == "country", "Countries").otherwise("Regions")
-    texts = summarize_values(first_seen(places.withColumn("kind", kind), ["dataset_id", "kind"]), ["dataset_id", "kind"], F.col("kind"), 5, "text")
+    seen = first_seen(found.filter("topic = 'place'").withColumn("kind", kind), ["dataset_id", "kind"])
+    texts = summarize_values(seen, ["dataset_id", "kind"], F.col("kind"), 5, "text")
     chosen = texts.groupBy("dataset_id").agg(F.min_by("text", "kind").alias("text"))  # Countries before Regions
     return chosen.join(boxed, "dataset_id", "full").select("dataset_id", F.concat_ws("; ", "text", "box").alias("geographic_scope"))
 
 
-def taxonomic_scope(*tables: DataFrame) -> DataFrame:
-    """The highest rank with values, or the scientific names."""
+def geographic_scope(*tables: DataFrame) -> DataFrame:
+    """Countries, else regions of tables without a country column; then the coordinate bounds."""
+    found = _gather(tables, ["place", "box"])
+    return _none(tables, {"geographic_scope": "string"}) if found is None else _geographic(found)
+
+
+def _taxonomic(found: DataFrame) -> DataFrame:
     fields = [*RANKS, "scientificname"]
     labels = F.create_map(*[F.lit(x) for pair in {**RANKS, "scientificname": "Scientific names"}.items() for x in pair])
     order = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
-    values = _stack(_values(t, fields) for t in tables)
-    if values is None:
-        return _datasets(tables).select("dataset_id", F.lit(None).cast("string").alias("taxonomic_scope")).limit(0)
-    seen = first_seen(values, ["dataset_id", "field"])
+    seen = found.filter("topic = 'taxon'").select("dataset_id", "field", "ord", "text")
     best = seen.groupBy("dataset_id").agg(F.min_by("field", order).alias("field"))
     texts = summarize_values(seen.join(best, ["dataset_id", "field"]), ["dataset_id", "field"], labels[F.col("field")], 5, "text")
     one = F.concat(F.initcap("field"), F.lit(": "), F.element_at(F.split("text", ": ", 2), 2))
@@ -155,35 +178,40 @@ def taxonomic_scope(*tables: DataFrame) -> DataFrame:
                         .otherwise(F.col("text")).alias("taxonomic_scope"))
 
 
-def taxonomic_keywords(*tables: DataFrame, most: int | None = None) -> DataFrame:
-    """(dataset_id, rank, field, text): distinct rank values in first-seen order; only the first ``most`` if given."""
-    values = _stack(_values(t, list(RANKS)) for t in tables)
-    if values is None:
-        return _datasets(tables).select("dataset_id", F.lit(0).alias("rank"), F.lit("").alias("field"), F.lit("").alias("text")).limit(0)
-    seen = first_seen(values, ["dataset_id", "field"])
+def taxonomic_scope(*tables: DataFrame) -> DataFrame:
+    """The highest rank with values, or the scientific names."""
+    found = _gather(tables, ["taxon"])
+    return _none(tables, {"taxonomic_scope": "string"}) if found is None else _taxonomic(found)
+
+
+def _keywords(found: DataFrame, most: int | None) -> DataFrame:
+    seen = found.filter((F.col("topic") == "taxon") & F.col("field").isin(list(RANKS))).select("dataset_id", "field", "ord", "text")
     if most is not None:
         return top_k(seen, ["dataset_id"], ["ord"], most).select("dataset_id", "rank", "field", "text")
     rank = F.row_number().over(W.partitionBy("dataset_id").orderBy("ord")).cast("bigint")
     return seen.select("dataset_id", rank.alias("rank"), "field", "text")
 
 
-def methodology(*tables: DataFrame) -> DataFrame:
-    """Distinct sampling methods: one as it is, more as a short list."""
-    def fields(t):
-        have = _header(t)
-        exact = [c for c in METHOD_COLUMNS if c in have]
-        return exact or [c for c in have if "protocol" in c or "method" in c]
-
-    values = _stack(_values(t, fields(t)) for t in tables)
-    if values is None:
-        return _datasets(tables).select("dataset_id", F.lit(None).cast("string").alias("methodology")).limit(0)
-    seen = first_seen(values, ["dataset_id"])
+def taxonomic_keywords(*tables: DataFrame, most: int | None = None) -> DataFrame:
+    """(dataset_id, rank, field, text): distinct rank values in first-seen order; only the first ``most`` if given."""
+    found = _gather(tables, ["taxon"])
+    return _none(tables, {"rank": "bigint", "field": "string", "text": "string"}) if found is None else _keywords(found, most)
+
+
+def _methodology(found: DataFrame) -> DataFrame:
+    seen = first_seen(found.filter("topic = 'method'"), ["dataset_id"])
     texts = summarize_values(seen, ["dataset_id"], F.lit("Sampling protocol(s)"), 4, "text")
     first = seen.groupBy("dataset_id").agg(F.min_by("text", "ord").alias("single"))
     return texts.join(first, "dataset_id").select(
         "dataset_id", F.when(F.col("n_values") == 1, F.col("single")).otherwise(F.col("text")).alias("methodology"))
 
 
+def methodology(*tables: DataFrame) -> DataFrame:
+    """Distinct sampling methods: one as it is, more as a short list."""
+    found = _gather(tables, ["method"])
+    return _none(tables, {"methodology": "string"}) if found is None else _methodology(found)
+
+
 def resolve_scope(provided: Column, existing: Column, inferred: Column, label: str, kind: str = "text",
                   today: Column | None = None) -> Column:
     """Struct (value, note): the given text, or the inferred one if nothing or a placeholder is given.
@@ -210,17 +238,25 @@ def resolve_scope(provided: Column, existing: Column, inferred: Column, label: s
             .otherwise(result(chosen, F.lit(None).cast("string"))))
 
 
+def gather_coverage(tables) -> DataFrame:
+    """All distinct values and bounds that coverage is inferred from, written once: each table is scanned once.
+
+    Every dataset has a row, also one without any of the columns.
+    """
+    return materialize(_gather(tables, ["dataset", "dates", "box", *TOPICS]), "coverage")
+
+
 def coverage_metadata(tables, meta: DataFrame | None = None, today: Column | None = None) -> DataFrame:
     """One row per dataset with all inferred coverage, resolved against given metadata, and the notes.
 
     ``meta`` may hold ``dataset_id`` and provided_/existing_ columns of the four scopes.
     """
     tables = list(tables)
-    base = _datasets(tables)
-    for part in (temporal_coverage(*tables), geographic_scope(*tables), geographic_bounds(*tables),
-                 taxonomic_scope(*tables), methodology(*tables)):
+    found = gather_coverage(tables)
+    base = found.select("dataset_id").distinct()
+    for part in (_temporal(found), _geographic(found), _box(found), _taxonomic(found), _methodology(found)):
         base = base.join(part, "dataset_id", "left")
-    keywords = taxonomic_keywords(*tables).groupBy("dataset_id").agg(
+    keywords = _keywords(found, None).groupBy("dataset_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("rank", "field", "text"))),
                     lambda k: F.struct(k["field"].alias("rank"), k["text"].alias("scientificName"))).alias("taxonomic_keywords"))
     base = base.join(keywords, "dataset_id", "left")

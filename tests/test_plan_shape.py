@@ -32,3 +32,12 @@ def test_scan_reads_only_needed_columns(data):
 
 def test_ranking_is_limited_before_the_shuffle(data):
     assert "WindowGroupLimit" in plan(names.names_to_check(data.view("occ"), 50, 30))
+
+
+def test_coverage_scans_each_table_once(data):
+    from fieldsheet.operators import coverage
+    from fieldsheet.plans.scratch import materialize
+    tables = [materialize(data.view("occ").select("dataset_id", "table_id", "row_id", "eventDate", "country", "kingdom", "decimalLatitude", "decimalLongitude"), "o"),
+              materialize(data.view("visits"), "v")]
+    text = plan(coverage._gather(tables, ["dataset", "dates", "box", *coverage.TOPICS]))
+    assert text.count("FileScan parquet") == 2 or text.count("Scan parquet") == 2
