@@ -95,11 +95,11 @@ def dataset_cards(datasets: DataFrame, tables: DataFrame, agents: DataFrame, tas
     newest = last_per_key(messages.join(work.select("agent_id"), "agent_id", "left_semi"), ["agent_id"], ["created_at", "message_id"])
     text = parse_messages(newest).select("agent_id", F.when(F.length("content") > 140, F.concat(
         F.left("content", F.lit(140)), F.lit("…"))).otherwise(F.col("content")).alias("_preview"))
-    total = tasks.groupBy().agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
+    total = tasks.agg(F.count(F.lit(1))).scalar()
     status = (F.when(F.col("rejected_at").isNotNull(), "rejected").when(F.col("published_at").isNotNull(), "published")
               .when(F.col("_open"), "processing").otherwise("draft"))
     return (datasets.join(sizes, "dataset_id", "left").join(work, "dataset_id", "left").join(text, "agent_id", "left")
-            .withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one")
+            .withColumn("total", total)
             .select("dataset_id", F.coalesce("_records", F.lit(0)).alias("record_count"), F.coalesce("_updated", "created_at").alias("last_updated"),
                     status.alias("status"), F.coalesce("done", F.lit(0)).alias("done"), "total", F.coalesce("_preview", F.lit("")).alias("preview")))
 
@@ -114,15 +114,15 @@ def next_step(datasets: DataFrame, agents: DataFrame, tasks: DataFrame, modes: D
     """(dataset_id, task): what a dataset has to do next, null if nothing.
 
     ``modes`` is (dataset_id, source_mode, has_tree). The task list is a short configuration table;
-    it travels as one array, and each dataset picks from it.
+    it travels as one value, and each dataset picks from it.
     """
-    steps = tasks.groupBy().agg(F.sort_array(F.collect_list(F.struct("order", "name"))).alias("_tasks")).withColumn("_one", F.lit(1))
+    steps = tasks.agg(F.sort_array(F.collect_list(F.struct("order", "name")))).scalar()
     named = agents.join(tasks.select(F.col("name").alias("task"), F.col("order").alias("_o")), "task", "left")
     work = named.groupBy("dataset_id").agg(
         F.min(F.when(F.col("completed_at").isNull(), F.struct("created_at", "agent_id", "task")))["task"].alias("_open"),
         F.max(F.struct("created_at", "agent_id", "_o"))["_o"].alias("_last"))
     joined = (datasets.join(work, "dataset_id", "left").join(modes, "dataset_id", "left")
-              .withColumn("_one", F.lit(1)).join(F.broadcast(steps), "_one"))
+              .withColumn("_tasks", steps))
     tree, pdf = F.coalesce("has_tree", F.lit(False)), F.coalesce(F.col("source_mode") == "pdf_only", F.lit(False))
 
     def eligible(t):
@@ -135,8 +135,7 @@ def next_step(datasets: DataFrame, agents: DataFrame, tasks: DataFrame, modes: D
 
 def allowed_functions(tasks: DataFrame, functions, publish_functions, publish_tasks, completion: str) -> DataFrame:
     """(name, function): the tools of each task. Publishing only in some tasks, completion not in the last one."""
-    last = tasks.agg(F.max_by("name", "order").alias("_last")).withColumn("_one", F.lit(1))
-    pairs = tasks.withColumn("function", F.explode(F.array(*[F.lit(f) for f in functions]))).withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one")
+    pairs = tasks.withColumn("function", F.explode(F.array(*[F.lit(f) for f in functions]))).withColumn("_last", tasks.agg(F.max_by("name", "order")).scalar())
     refused = ((F.col("function").isin(list(publish_functions)) & ~F.col("name").isin(list(publish_tasks)))
                | ((F.col("function") == completion) & (F.col("name") == F.col("_last"))))
     return pairs.filter(~refused).select("name", "function")
