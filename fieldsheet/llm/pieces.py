@@ -56,7 +56,7 @@ class Vocabulary:
             raise ValueError("two pieces share a hash")
 
     def _keys(self, pieces):
-        return np.array([mix((p * powers(len(p), _BASE)).sum(dtype=np.uint64)[None] + np.uint64(len(p)))[0] for p in pieces], np.uint64)
+        return np.array([mix((mix(p + np.uint64(1)) * powers(len(p), _BASE)).sum(dtype=np.uint64)[None] + np.uint64(len(p)))[0] for p in pieces], np.uint64)
 
     def stream(self, chars):
         """Ids of a stream of characters, given out as soon as they are certain.
@@ -124,7 +124,7 @@ class Vocabulary:
         codes[np.arange(len(flat)) - np.repeat(ends - sizes[order], sizes[order]), row] = flat
         up, down = powers(width + 1, _BASE), powers(width + 1, pow(_BASE, -1, 1 << 64))
         total = np.zeros((width + 1, n), np.uint64)
-        np.cumsum(codes * up[:width, None], axis=0, out=total[1:], dtype=np.uint64)
+        np.cumsum(mix(codes + np.uint64(1)) * up[:width, None], axis=0, out=total[1:], dtype=np.uint64)
         best = np.full((width + 1, n), -np.inf)
         best[0] = 0
         size_of, piece_of = np.zeros((width + 1, n), np.int8), np.full((width + 1, n), -1, np.int32)
