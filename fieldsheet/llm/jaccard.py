@@ -14,7 +14,7 @@ from .common import id_back, id_key, join_unique, ranked, slices
 from .graph import components
 from .shingles import joined_bytes, mix, shingle_sets
 
-TILE_SETS, TILE_ELEMENTS = 1024, 1 << 19
+TILE_SETS, TILE_ELEMENTS = 2048, 1 << 20
 EMPTY_PART = 0x5EED
 
 
@@ -45,17 +45,17 @@ class Threshold:
         return k, k - d
 
 
-def signatures(hashes: np.ndarray, rule: Threshold, bands: list[int]) -> np.ndarray:
-    """Signatures of a set such that linked sets share at least one.
+def signatures(hashes: np.ndarray, rule: Threshold, bands: list[int]):
+    """Signatures of a set such that linked sets share enough of one band, and a tag of each: twice that number, plus one for the next band.
 
     A set takes part in the band of its own size and, as the smaller one of a pair, in the next. For
     each band it is cut by hash range into parts; a part's signature is a hash of its elements. Empty
     parts give none; a set with so many that linked sets might agree in empty parts only gets a
     signature for that.
     """
-    n, out = len(hashes), []
+    n, out, tags = len(hashes), [], []
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(hashes + np.uint64(1)), out=total[1:])
     own = bisect_right(bands, n) - 1
@@ -69,9 +69,12 @@ def signatures(hashes: np.ndarray, rule: Threshold, bands: list[int]) -> np.ndar
         tag = np.uint64((band << 32) * 0x9E3779B9 & 0xFFFFFFFFFFFFFFFF)
         sums = total[cuts[full + 1]] - total[cuts[full]]
         out.append(mix(mix(sums + tag) + full.astype(np.uint64)))
-        if k - len(full) >= agree:
+        spare = agree - (k - len(full))  # parts with elements in which a linked set agrees at least
+        if spare < 1:
             out.append(mix(np.array([tag], np.uint64) + np.uint64(EMPTY_PART)))
-    return np.concatenate(out)
+            spare = 1
+        tags.append(np.full(sum(map(len, out)) - sum(map(len, tags)), 2 * spare + (band - own), np.int32))
+    return np.concatenate(out), np.concatenate(tags)
 
 
 def _signature_rows(rule: Threshold):
@@ -79,13 +82,16 @@ def _signature_rows(rule: Threshold):
         bands = rule.bands(1 << 12)
         for batch in batches:
             for part in slices(batch, 1):
-                docs, sigs, counts = part.column(0).to_numpy(), [], []
+                docs, sigs, tags, counts = part.column(0).to_numpy(), [], [], []
                 for s in shingle_sets(*joined_bytes(part.column(1)), rule.words):
                     if len(s) >= bands[-2]:
                         bands = rule.bands(2 * len(s))
-                    sigs.append(signatures(s, rule, bands))
-                    counts.append(len(sigs[-1]))
-                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(docs, counts))], names=["sig", "doc"])
+                    found, tag = signatures(s, rule, bands)
+                    sigs.append(found)
+                    tags.append(tag)
+                    counts.append(len(found))
+                yield pa.record_batch([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(docs, counts)), pa.array(np.concatenate(tags))],
+                                      names=["sig", "doc", "tag"])
     return run
 
 
@@ -174,10 +180,20 @@ def _tile_pairs(rule: Threshold):
 
 
 def candidate_clusters(rows: DataFrame, rule: Threshold) -> DataFrame:
-    """(doc, cluster): documents that share a signature, directly or through others; linked ones always do."""
-    shared = rows.mapInArrow(_signature_rows(rule), "sig long, doc long")
-    stars = shared.select("doc", F.min("doc").over(W.partitionBy("sig")).alias("lead"))
-    edges = stars.filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    """(doc, cluster): documents that share a signature that neither may leave out, directly or through others; linked ones always do.
+
+    Linked sets share at least ``spare`` signatures of a band (the half of ``tag``). So each may leave
+    out its most frequent ones, of whole frequencies and fewer than ``spare`` in all: the rarest of
+    those that the two share then stays with both. Sets that share less, or only passages that
+    many others have, drop out here.
+    """
+    shared = rows.mapInArrow(_signature_rows(rule), "sig long, doc long, tag int")
+    one = W.partitionBy("sig")
+    stars = shared.select("doc", "tag", F.min("doc").over(one).alias("lead"), F.count(F.lit(1)).over(one).alias("often")).filter("often > 1")
+    held = materialize(stars.groupBy("doc", "tag", "often", "lead").agg(F.count(F.lit(1)).alias("n")), "shared")
+    down = W.partitionBy("doc", "tag").orderBy(F.desc("often")).rangeBetween(W.unboundedPreceding, W.currentRow)  # a document's own
+    kept = held.withColumn("so_far", F.sum("n").over(down)).filter(F.col("so_far") >= F.call_function("shiftright", F.col("tag"), F.lit(1)))
+    edges = kept.filter("doc <> lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     return components(edges).select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
 
 
