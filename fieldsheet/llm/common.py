@@ -31,18 +31,22 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, copies: str) -> Dat
     key, get a salt, so that the shuffle of the others spreads them. The left side is read once.
     """
     values = [c for c in right.columns if c != key]
-    total = right.agg(F.sum(copies)).first()[0] or 0
-    packed = right.select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"), (F.col(copies) * HOT_SHARE > total).alias("_hot"))
-    hot = packed.filter("_hot").select(F.col("_ck").alias("_hk"), F.col("_cv").alias("_hv"))
+    total, most = right.agg(F.sum(copies), F.max(copies)).first()
+    some_hot = bool(most) and most * HOT_SHARE > total
+    packed = right.select(F.col(key).alias("_ck"), F.struct(*values).alias("_cv"), (F.col(copies) * HOT_SHARE > (total or 0)).alias("_hot"))
     keep = [c for c in left.columns if c not in values]
-    marked = (left.select(*keep).join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left")
-              .withColumn("_apart", F.col("_hk").isNotNull() | F.col(key).isNull()))
+    marked = left.select(*keep)
+    if some_hot:
+        hot = packed.filter("_hot").select(F.col("_ck").alias("_hk"), F.col("_cv").alias("_hv"))
+        marked = marked.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn("_apart", F.col("_hk").isNotNull() | F.col(key).isNull())
+    else:
+        marked = marked.withColumn("_apart", F.col(key).isNull())
     salt = F.when(F.col("_apart"), F.pmod(F.xxhash64(*[F.col(c) for c in keep]), F.lit(8191)).cast("int") + 1).otherwise(0)
     # key and salt are one value: as two, the constant salt of the right side would leave the shuffle
     marked = marked.select("*", F.struct(F.when(~F.col("_apart"), F.col(key)).alias("k"), salt.alias("s")).alias("_lk"))
     cold = packed.filter("not _hot").select("_cv", F.struct(F.col("_ck").alias("k"), F.lit(0).alias("s")).alias("_rk"))
     joined = marked.join(cold.hint("merge"), F.col("_lk") == F.col("_rk"), "left")
-    value = F.coalesce("_hv", "_cv")
+    value = F.coalesce("_hv", "_cv") if some_hot else F.col("_cv")
     return joined.select(*keep, *[value[c].alias(c) for c in values])
 
 
@@ -66,7 +70,7 @@ def ranked(df: DataFrame, order, name: str) -> DataFrame:
             .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit(low))).drop("_part", "_before", "_at"))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Parts of an Arrow batch with about ``most`` bytes of text each, so that work space stays small."""
     sizes = batch.column(column)
     lengths = pa.compute.fill_null(pa.compute.binary_length(sizes), 0).to_numpy(zero_copy_only=False)
