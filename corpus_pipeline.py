@@ -6,20 +6,19 @@ from fieldsheet.llm import exact, jaccard, language, packing, secrets
 from fieldsheet.llm.common import digest
 from fieldsheet.plans.scratch import materialize
 
-LEAST_SCORE = 0.1
 NEAR = jaccard.Threshold(words=5, percent=80)
 ORACLE_SQL = None
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near one of the languages that the labelled ones show.
+    """Documents whose text has a language, as ``op6_language_id`` judges it.
 
-    Texts without a letter go, and those that are near no profile (cosine below ``LEAST_SCORE``; random
-    vectors have about 0.04). Without any labelled document every text goes.
+    Only texts that it calls ``und`` go: those without a letter, and every text where no document is
+    labelled. No score is asked for: short texts of a known language score as low as noise does.
     """
     profiles = language.learn(docs)
     rows = docs.select(F.struct("*").alias("row"), language.guess(F.col("text"), profiles).alias("guess"))
-    return rows.filter((F.col("guess.lang_pred") != language.UNKNOWN) & (F.col("guess.score") >= LEAST_SCORE)).select("row.*")
+    return rows.filter(F.col("guess.lang_pred") != language.UNKNOWN).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -449,3 +449,14 @@ def test_pipeline_stages(spark, docs, rows, none):
     assert set(ids["packing"]) == set(ids["secrets"])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, None).collect() == []
+
+
+def test_pipeline_keeps_every_text_with_a_letter(spark):
+    """Ids expected from the texts alone, short and odd ones among them."""
+    short = [(-1, "Avec."), (-2, "A."), (-3, "Edrere."), (-4, "漢字"), (-5, "Lllldoado."), (-6, "é"), (-7, "42 !"), (-8, ""), (-9, None)]
+    held = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    table = held.unionByName(spark.createDataFrame([(i, t, None) for i, t in short], "doc_id long, text string, lang string"))
+    want = sorted(r["doc_id"] for r in table.collect() if any(c.isalpha() for c in r["text"] or ""))
+    assert {-1, -2, -3, -4, -5, -6} <= set(want) and not {-7, -8, -9} & set(want)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, table, None).select("doc_id").collect()) == want
+    assert corpus_pipeline.known_language(spark, table.withColumn("lang", F.lit(None).cast("string")), None).count() == 0
