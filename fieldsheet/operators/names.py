@@ -22,8 +22,8 @@ def names_to_check(t: DataFrame, all_up_to: int | None = None, rarest: int | Non
 
 
 def _cut(size: Column, least: int):
-    """Into how many pieces a checklist name of ``size`` characters is cut: one more than the edits a match may have."""
-    return F.floor((100 - least) * size / least).cast("int") + 1
+    """Into how many pieces a checklist name of ``size`` characters is cut: one more than the edits a match may have, and one per character at most."""
+    return F.least(F.floor((100 - least) * size / least).cast("int") + 1, size)
 
 
 def _piece(size: Column, pieces: Column, i: Column):
@@ -37,14 +37,16 @@ def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataF
     """(name, match_type, matched_name, confidence) of distinct names against ``backbone(scientificName)``.
 
     EXACT by an equi join. The likeness of two names is 100 * (1 - edits / longer length), rounded
-    down, without regard to case. The most alike checklist name of at least ``least`` (more than 50)
+    down, without regard to case. The most alike checklist name of at least ``least`` (50 or more)
     is a FUZZY match; all others are NONE with 0. A checklist name is cut into one more piece than
     such a match may have edits, so one piece is whole in the other name, and near its place: pieces
     before it shift it by their edits at most, pieces after it by theirs. An equi join on length, number
-    and text of pieces finds every candidate, whatever the length of the names.
+    and text of pieces finds every candidate, whatever the length of the names. At 50 pieces are single
+    characters, as many as edits; characters added between them leave one whole, at most one place farther off.
     """
-    if not 50 < least <= 100:
-        raise ValueError("least must be above 50 and at most 100")
+    if not 50 <= least <= 100:
+        raise ValueError("least must be at least 50 and at most 100")
+    spare = 1 if least == 50 else 0
     wanted = names.select(F.col("scientificName").alias("name")).distinct()
     known = backbone.select(F.col("scientificName").alias("matched_name")).distinct()
     paired = wanted.join(known, wanted["name"] == known["matched_name"], "left")
@@ -61,8 +63,8 @@ def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataF
              .withColumn("m", F.explode(F.sequence(F.greatest(low, F.lit(1)), high))).withColumn("k", _cut(m, least))
              .withColumn("i", F.explode(F.sequence(F.lit(1), F.col("k")))).withColumns({"start": start, "width": width}))
     longer_by = size - m
-    first = F.greatest(F.col("start") - (i - 1), F.col("start") + longer_by - (F.col("k") - i), F.lit(1))
-    last = F.least(F.col("start") + (i - 1), F.col("start") + longer_by + (F.col("k") - i), size - F.col("width") + 1)
+    first = F.greatest(F.col("start") - (i - 1) - spare, F.col("start") + longer_by - (F.col("k") - i) - spare, F.lit(1))
+    last = F.least(F.col("start") + (i - 1) + spare, F.col("start") + longer_by + (F.col("k") - i) + spare, size - F.col("width") + 1)
     tried = (tried.withColumns({"first": first, "last": last}).filter("first <= last")
              .withColumn("at", F.explode(F.sequence("first", "last")))
              .select("name", F.xxhash64("m", "i", F.substr("low", F.col("at"), F.col("width"))).alias("_key")).distinct())

@@ -1,3 +1,4 @@
+import random
 import xml.etree.ElementTree as ET
 from pathlib import Path
 
@@ -150,6 +151,31 @@ def test_match_names_equals_brute_force(spark):
             assert got[a] == ("FUZZY", best[1])
 
 
+def test_match_names_down_to_fifty(spark):
+    def edits(a, b):
+        prev = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            cur = [i]
+            for j, y in enumerate(b, 1):
+                cur.append(min(prev[j] + 1, cur[-1] + 1, prev[j - 1] + (x != y)))
+            prev = cur
+        return prev[-1]
+    draw = random.Random(5)
+    known = sorted({"".join(draw.choice("abcd") for _ in range(draw.randint(1, 9))) for _ in range(120)} | {"Abies"})
+    asked = sorted({"".join(draw.choice("abcdxyz") for _ in range(draw.randint(1, 14))) for _ in range(250)} | {"Abeis", "xxab"})
+    got = names.match_names(spark.createDataFrame([(a,) for a in asked], "scientificName string"),
+                            spark.createDataFrame([(k,) for k in known], "scientificName string"), 50)
+    found = {r.name: (r.match_type, r.matched_name, r.confidence) for r in got.collect()}
+    for a in asked:
+        score, best = min((-(100 * (max(len(a), len(k)) - edits(a.lower(), k.lower())) // max(len(a), len(k))), k) for k in known)
+        want = ("EXACT", a, 100) if a in known else ("FUZZY", best, -score) if -score >= 50 else ("NONE", None, 0)
+        assert found[a] == want, a
+    assert found["Abeis"] == ("FUZZY", "Abies", 60)
+    told = spark.createDataFrame([(1, 1, "Abeis"), (1, 1, "zzzzzzz")], "dataset_id int, table_id int, scientificName string")
+    matches = spark.createDataFrame([("Abeis", *found["Abeis"]), ("zzzzzzz", "NONE", None, 0)], got.schema)
+    assert [(r.kind, r.n, r.message) for r in names.correction_messages(told, matches).collect()] == [("unmatched", 1, "'zzzzzzz'")]
+
+
 def _eml(spark, **extra):
     row = {"dataset_id": 1, "title": "Title <1>", "description": "Text & more", **extra}
     schema = "dataset_id long, " + ", ".join(f"{k} {eml.OPTIONAL.get(k, 'string')}" for k in row if k != "dataset_id")
