@@ -4,8 +4,10 @@ import bisect
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..plans.scratch import materialize
 from .common import ranked
 from .hilbert import hilbert_index
 
@@ -14,28 +16,59 @@ ACCURACY = 10000
 DIMENSIONS = ("lang", "source", "n_chars", "doc_id")
 
 
-def _number(column, kind):
-    """A column as a number that keeps its order: strings by their first seven bytes; nulls stay null."""
+def _running(batches):
+    total = 0
+    for batch in batches:
+        upto = total + np.cumsum(batch.column(2).to_numpy())
+        total = int(upto[-1]) if len(upto) else total
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(upto, pa.int64())], names=["part", "v", "upto"])
+
+
+def _string_cuts(values: DataFrame, kind: str, cells: int) -> list:
+    """The values (column ``v``) at which at most ``cells`` cells of about equal count end, by the order of whole values.
+
+    Distinct values with their counts are dealt by range and added up in order; what comes to the
+    driver is one count per partition and the cuts.
+    """
+    counts = values.filter("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    placed = counts.repartitionByRange("v").sortWithinPartitions("v").select(F.spark_partition_id().alias("part"), "v", "n")
+    placed = materialize(placed.mapInArrow(_running, f"part int, v {kind}, upto long"), "values")
+    ends = sorted(placed.groupBy("part").agg(F.max("upto").alias("n")).collect())  # one row per partition
+    n, found = sum(r["n"] for r in ends), []
+    for k in range(1, cells if n else 0):
+        place = -(-k * n // cells)
+        for r in ends:
+            if place <= r["n"]:
+                found.append(F.min(F.when((F.col("part") == r["part"]) & (F.col("upto") >= place), F.col("v"))).alias(f"c{k}"))
+                break
+            place -= r["n"]
+    return sorted(set(placed.agg(*found).first())) if found else []
+
+
+def _number(column, kind, values: DataFrame, cells: int):
+    """A column as a number that keeps its order: strings by their cell among all whole values; nulls stay null."""
     if kind in ("string", "binary"):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column.cast("string"), "utf-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+        cuts = _string_cuts(values.select(column.alias("v")), kind, cells)
+        return sum(((column > F.lit(c)).cast("long") for c in cuts), F.when(column.isNotNull(), F.lit(1).cast("long")))
     return column.cast("double") if kind in ("double", "float") or kind.startswith("decimal") else column.cast("long")
 
 
 def curve_keys(df: DataFrame, dimensions, bits: int = BITS) -> DataFrame:
     """``df`` with ``_curve``, the Hilbert index of the quantised dimensions.
 
-    Every dimension is cut at quantiles (``percentile_approx`` over all rows) into at most
-    2**bits - 1 cells of about equal count, nulls being a cell of their own; equal values share a cell.
+    Every dimension is cut at quantiles (``percentile_approx`` over all rows; strings by the rank of
+    the whole value) into at most 2**bits - 1 cells of about equal count, nulls being a cell of their
+    own; equal values share a cell.
     """
     kinds = dict(df.dtypes)
     for d in dimensions:
         if d not in kinds:
             raise ValueError(f"no column {d}")
-    marked = df.select("*", *[_number(F.col(d), kinds[d]).alias(f"_d{i}") for i, d in enumerate(dimensions)])
     cells = (1 << bits) - 1
+    marked = df.select("*", *[_number(F.col(d), kinds[d], df, cells).alias(f"_d{i}") for i, d in enumerate(dimensions)])
     shares = [k / cells for k in range(1, cells)]
     cuts = marked.agg(*[F.percentile_approx(f"_d{i}", shares, ACCURACY).alias(f"c{i}") for i in range(len(dimensions))]).first()
-    cuts = [sorted(set(c or ())) for c in cuts]  # at most 2**bits numbers per dimension
+    cuts = [range(1, cells) if kinds[d] in ("string", "binary") else sorted(set(c or ())) for d, c in zip(dimensions, cuts)]  # at most 2**bits numbers per dimension
 
     @F.pandas_udf("long")
     def index(columns: pd.DataFrame) -> pd.Series:

@@ -353,6 +353,17 @@ def test_shards_prune(spark):
     assert sum(r["w"] for r in spans) / 16 < 600 and sum(r["s"] for r in spans) / 16 < 6
 
 
+def test_shards_prune_on_strings_that_start_alike(spark):
+    rows = [(k, f"https://example.org/{k * 7 % 10}" if k % 50 else None, k * 37 % 1000) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long")
+    for table in (df, df.withColumn("source", F.encode("source", "utf-8"))):
+        got = sharding.shard(table, 16, ["source", "n_chars"], ["doc_id"])
+        spans = got.groupBy("shard").agg((F.max("n_chars") - F.min("n_chars")).alias("w"), F.countDistinct("source").alias("s")).collect()
+        assert sum(r["w"] for r in spans) / 16 < 600 and sum(r["s"] for r in spans) / 16 < 6
+        cells = [r["n"] for r in sharding.curve_keys(table, ["source"]).groupBy("source").agg(F.countDistinct("_curve").alias("n")).collect()]
+        assert cells == [1] * 11 and sharding.curve_keys(table, ["source"]).select("_curve").distinct().count() == 11
+
+
 def test_packing(docs, none):
     got = packing.pack(docs, packing.word_count(F.col("text")), (16, 64, 256), 4, 8).collect()
     words = Counter()
