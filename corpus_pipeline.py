@@ -29,15 +29,34 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return rows.join(kept.hint("merge"), ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
+def _row_keys(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, sha, key) with a number of its own for every id and text of ``docs``, and the seed of these numbers."""
+    pairs = materialize(docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("id"), digest(F.col("text")).alias("sha")).distinct(), "pairs")
+    seed = 0
+    while True:  # again only if two pairs share a hash
+        keys = pairs.withColumn("key", _row_key(F.col("id"), F.col("sha"), seed))
+        if keys.groupBy("key").count().filter("count > 1").isEmpty():
+            return keys, seed
+        seed += 1
+
+
+def _row_key(id, sha, seed):
+    return F.call_function("shiftrightunsigned", F.xxhash64(F.lit(seed), id, sha), F.lit(1))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies (five-word shingles, similarity 0.8 or more): the one with the smallest doc_id.
 
-    Rows that share a doc_id count as one document. Documents without words have no copies and stay.
+    Rows are judged by id and text, so texts that share a doc_id (or have none) are documents of their
+    own; of equal ids the text with the smallest digest stays. Rows equal in both are one. Documents
+    without words have no copies and stay.
     """
-    found = jaccard.jaccard_components(docs, NEAR)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("id"))
-    return rows.join(kept.hint("merge"), "id", "left_semi").select("row.*")
+    keys, seed = _row_keys(docs)
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("id"), digest(F.col("text")).alias("sha"))
+    found = jaccard.jaccard_components(docs.select(_row_key(F.struct(F.col("doc_id").cast("long").alias("doc_id")), digest(F.col("text")), seed).alias("doc_id"), "text"), NEAR)
+    found = found.select(F.col("doc_id").alias("key"), "component_id").distinct()
+    kept = keys.join(found, "key").groupBy("component_id").agg(F.min(F.struct("id", "sha")).alias("m")).select("m.id", "m.sha")
+    return rows.join(kept.hint("merge"), ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

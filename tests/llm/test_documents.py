@@ -471,3 +471,13 @@ def test_pipeline_keeps_every_text_with_a_letter(spark):
     assert {-1, -2, -3, -4, -5, -6} <= set(want) and not {-7, -8, -9} & set(want)
     assert sorted(r["doc_id"] for r in corpus_pipeline.known_language(spark, table, None).select("doc_id").collect()) == want
     assert corpus_pipeline.known_language(spark, table.withColumn("lang", F.lit(None).cast("string")), None).count() == 0
+
+
+def test_near_copies_are_judged_by_row(spark):
+    x, y, z = _prose(50, 80), _prose(51, 80), _prose(52, 80)
+    rows = [(1, y), (2, x), (2, y + " more"), (3, z), (3, z + " more"), (None, _prose(53, 80)), (None, _prose(54, 80)), (None, _prose(53, 80) + " more"), (4, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.near_copies(spark, df, None).collect()]
+    first = {t: min((p for p in rows if p[0] == i and p[1] and p[1].startswith(t)), key=lambda p: hashlib.sha256(p[1].encode()).digest())
+             for i, t in ((3, z), (None, _prose(53, 80)))}
+    assert sorted(got, key=repr) == sorted([(1, y), (2, x), (None, _prose(54, 80)), (4, ""), (5, None), *first.values()], key=repr)
