@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact, jaccard, language, lines, neighbours, packing, pieces, secrets, sharding, suffix
+from . import exact, jaccard, language, lines, neighbours, packing, pieces, quality, repair, secrets, sharding, spelling, suffix
 
 QUERIES, ORACLES = {}, {}
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -142,3 +142,58 @@ def op10_secret_scan(spark, folder):
     """Secrets of every document, through a new ledger of scanned blobs."""
     found = secrets.scan(_documents(spark, folder), "doc_id", secrets.new_ledger(spark))
     return secrets.report(found).withColumnRenamed("path", "doc_id")
+
+
+@query("op11_conversation_repair")
+def op11_conversation_repair(spark, folder):
+    """Every damaged conversation with its faults, and the cheapest repair that is least in its audit."""
+    rows = spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return repair.digest(repair.repair(repair.damage(rows)), rows)
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark, folder):
+    """The vocabulary of all documents with each word's near words, form and root."""
+    return spelling.group_variants(spelling.vocabulary(_documents(spark, folder)))
+
+
+_UNITS = ", ".join(f"('{name}', {width}, {str(both).lower()})" for name, (width, both) in quality.MEASURES.items())
+
+
+def _quartile(quarters):
+    index = f"min(bucket) FILTER (WHERE 4 * upto >= {quarters} * rows)"
+    shift = f"greatest({index} // 16 - 1, 0)"
+    return f"((({index} - 16 * {shift} + 1)::BIGINT << {shift}::BIGINT) - 1)"
+
+
+@query("op13_quality_rules", f"""
+WITH units(measure, width, both) AS (VALUES {_UNITS}),
+texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+          list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
+windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM texts)),
+again AS (SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM again) GROUP BY doc_id),
+counts AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+           len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM texts LEFT JOIN covered USING (doc_id)),
+base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
+each AS (SELECT doc_id, lang, source, unnest([{{'measure': 'word_length', 'v': 1000 * word_chars // n_words}}, {{'measure': 'symbols', 'v': 1000 * n_symbols // n_words}},
+         {{'measure': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}}, {{'measure': 'repeat_words', 'v': 1000 * n_repeat_words // n_words}}], recursive := true)
+         FROM base WHERE NOT base_failed),
+bucketed AS (SELECT *, greatest(length(bin(v)) - 5, 0) AS sh FROM each),
+sums AS (SELECT grouping(lang, source) AS level, lang, source, measure, sh * 16 + (v >> sh) AS bucket, count(*) AS n FROM bucketed
+         GROUP BY GROUPING SETS ((lang, source, measure, sh * 16 + (v >> sh)), (lang, measure, sh * 16 + (v >> sh)), (measure, sh * 16 + (v >> sh)))),
+runs AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS rows FROM sums),
+quartiles AS (SELECT level, lang, source, measure, rows, {_quartile(1)} AS q1, {_quartile(3)} AS q3 FROM runs GROUP BY level, lang, source, measure, rows),
+fences AS (SELECT level, lang, source, measure, both, q1 - {quality.REACH} * greatest(q3 - q1, width) AS low, q3 + {quality.REACH} * greatest(q3 - q1, width) AS high
+           FROM quartiles JOIN units USING (measure) WHERE rows >= {quality.LEAST_ROWS}),
+outside AS (SELECT doc_id, measure, v > coalesce(a.high, b.high, c.high) OR (e.measure = 'word_length' AND v < coalesce(a.low, b.low, c.low)) AS fails
+  FROM each e LEFT JOIN fences a ON a.level = 0 AND a.measure = e.measure AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
+  LEFT JOIN fences b ON b.level = 1 AND b.measure = e.measure AND b.lang IS NOT DISTINCT FROM e.lang LEFT JOIN fences c ON c.level = 3 AND c.measure = e.measure),
+failed AS (SELECT doc_id, count(*) AS n FROM outside WHERE fails GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND n IS NULL AS kept
+FROM base LEFT JOIN failed USING (doc_id)""")
+def op13_quality_rules(spark, folder):
+    """Counts of every document and whether it stays under thresholds learned per language and source."""
+    out = quality.filter_documents(_documents(spark, folder))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
