@@ -16,7 +16,7 @@ BITS = 5  # leading bits a bucket keeps: quantiles are right to one part in 16
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """Counts of every whole text (null: none), in one pass and without a shuffle.
+    """Counts of every whole text (null: none), in one pass and without a shuffle, written to the shared folder.
 
     Returns doc_id, lang, source, n_words, word_chars (code points in words), n_symbols, n_dup_lines
     (lines with a word, equal to an earlier line of the text), n_repeat_words (words in windows of five
@@ -40,7 +40,8 @@ def measure(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines"]
     rows = rows.select("doc_id", "lang", "source", *[F.col(c).cast("long") for c in counts])
-    return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    # written, as a filter on these counts would otherwise move below them and repeat the work
+    return materialize(rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))), "measured")
 
 
 def _share(count: str, of: str) -> Column:
@@ -149,5 +150,5 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     Returns the columns of :func:`measure`, ``level``, ``reasons`` and ``kept``, one row per row of
     ``docs`` (repeated ids and null ids too). Other columns are not read. An empty table gives no rows.
     """
-    measured = materialize(measure(docs), "measured")
+    measured = measure(docs)
     return judge(measured, thresholds(sketch(measured)))
