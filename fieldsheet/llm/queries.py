@@ -157,7 +157,7 @@ def op12_spelling_variants(spark, folder):
     return spelling.group_variants(spelling.vocabulary(_documents(spark, folder)))
 
 
-_UNITS = ", ".join(f"('{name}', {width}, {str(both).lower()})" for name, (width, both) in quality.MEASURES.items())
+_UNITS = ", ".join(f"('{name}', {width}, {str(sides).lower()})" for name, (width, sides) in quality.MEASURES.items())
 
 
 def _quartile(quarters):
@@ -167,7 +167,7 @@ def _quartile(quarters):
 
 
 @query("op13_quality_rules", f"""
-WITH units(measure, width, both) AS (VALUES {_UNITS}),
+WITH units(measure, width, low_too) AS (VALUES {_UNITS}),
 texts AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
           list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM documents),
 windows AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS g
@@ -185,9 +185,9 @@ sums AS (SELECT grouping(lang, source) AS level, lang, source, measure, sh * 16
          GROUP BY GROUPING SETS ((lang, source, measure, sh * 16 + (v >> sh)), (lang, measure, sh * 16 + (v >> sh)), (measure, sh * 16 + (v >> sh)))),
 runs AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, measure) AS rows FROM sums),
 quartiles AS (SELECT level, lang, source, measure, rows, {_quartile(1)} AS q1, {_quartile(3)} AS q3 FROM runs GROUP BY level, lang, source, measure, rows),
-fences AS (SELECT level, lang, source, measure, both, q1 - {quality.REACH} * greatest(q3 - q1, width) AS low, q3 + {quality.REACH} * greatest(q3 - q1, width) AS high
+fences AS (SELECT level, lang, source, measure, low_too, q1 - {quality.REACH} * greatest(q3 - q1, width) AS low, q3 + {quality.REACH} * greatest(q3 - q1, width) AS high
            FROM quartiles JOIN units USING (measure) WHERE rows >= {quality.LEAST_ROWS}),
-outside AS (SELECT doc_id, measure, v > coalesce(a.high, b.high, c.high) OR (e.measure = 'word_length' AND v < coalesce(a.low, b.low, c.low)) AS fails
+outside AS (SELECT doc_id, v > coalesce(a.high, b.high, c.high) OR (coalesce(a.low_too, b.low_too, c.low_too) AND v < coalesce(a.low, b.low, c.low)) AS fails
   FROM each e LEFT JOIN fences a ON a.level = 0 AND a.measure = e.measure AND a.lang IS NOT DISTINCT FROM e.lang AND a.source IS NOT DISTINCT FROM e.source
   LEFT JOIN fences b ON b.level = 1 AND b.measure = e.measure AND b.lang IS NOT DISTINCT FROM e.lang LEFT JOIN fences c ON c.level = 3 AND c.measure = e.measure),
 failed AS (SELECT doc_id, count(*) AS n FROM outside WHERE fails GROUP BY doc_id)
