@@ -3,7 +3,7 @@
 ``messages`` is (message_id, agent_id, created_at, openai_obj) with the object as JSON text.
 """
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import clean_text, strip
 from ..plans.scans import carry_next
@@ -75,15 +75,20 @@ def new_since_last_message(messages: DataFrame, files: DataFrame, tables: DataFr
     return found.select("message_id", F.concat(F.lit("[NOTE: "), F.concat_ws("; ", files_text, tables_text), F.lit("]")).alias("note"))
 
 
-def visible_rows(df: DataFrame, datasets: DataFrame, user_id, is_superuser: bool) -> DataFrame:
+def visible_rows(df: DataFrame, datasets: DataFrame, user_id, is_superuser: bool, agents: DataFrame | None = None) -> DataFrame:
     """All rows for a superuser, else the rows of datasets the user owns.
 
-    ``df`` has a ``dataset_id``; rows that only know their agent get it by joining the agents first.
+    Rows without a ``dataset_id`` are seen through their agent: with ``agents`` (agent_id, dataset_id)
+    the user sees the rows of agents that work on an own dataset.
     """
     if is_superuser:
         return df
     own = datasets.filter(F.col("user_id") == F.lit(user_id)).select("dataset_id").distinct()
-    return df.join(own, "dataset_id", "left_semi")
+    if "dataset_id" in df.columns:
+        return df.join(own, "dataset_id", "left_semi")
+    if agents is None:
+        raise ValueError("rows without dataset_id need the agents")
+    return df.join(agents.join(own, "dataset_id", "left_semi").select("agent_id"), "agent_id", "left_semi")
 
 
 def dataset_cards(datasets: DataFrame, tables: DataFrame, agents: DataFrame, tasks: DataFrame, messages: DataFrame) -> DataFrame:
@@ -113,24 +118,26 @@ def visible_steps(agents: DataFrame) -> DataFrame:
 def next_step(datasets: DataFrame, agents: DataFrame, tasks: DataFrame, modes: DataFrame, tree_task: str, manuscript_task: str) -> DataFrame:
     """(dataset_id, task): what a dataset has to do next, null if nothing.
 
-    ``modes`` is (dataset_id, source_mode, has_tree). The task list is a short configuration table;
-    it travels as one value, and each dataset picks from it.
+    ``modes`` is (dataset_id, source_mode, has_tree). Which task follows which is worked out once for
+    the four kinds of datasets (with a tree or not, of a manuscript alone or not); a dataset finds its
+    own by its kind and last task, so the task list may be of any size. Tasks of equal order are one step, named by the least name.
     """
-    steps = tasks.agg(F.sort_array(F.collect_list(F.struct("order", "name")))).scalar()
+    kinds = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(p).alias("pdf")) for t in (True, False) for p in (True, False)]))
+    start = tasks.sparkSession.range(1).select(*[F.lit(None).cast(tasks.schema[c].dataType).alias(c) for c in ("name", "order")])
+    steps = tasks.select("name", "order").unionByName(start).select("*", kinds.alias("kind"))
+    allowed = ((F.col("name") != tree_task) | F.col("kind.tree")) & ((F.col("name") != manuscript_task) | F.col("kind.pdf"))
+    steps = steps.groupBy("kind", F.struct("order").alias("_last")).agg(F.min(F.when(allowed, F.col("name"))).alias("_name"))
+    behind = W.partitionBy("kind").orderBy("_last").rowsBetween(1, W.unboundedFollowing)
+    steps = steps.select("kind", "_last", F.first("_name", True).over(behind).alias("_next"))
     named = agents.join(tasks.select(F.col("name").alias("task"), F.col("order").alias("_o")), "task", "left")
     work = named.groupBy("dataset_id").agg(
         F.min(F.when(F.col("completed_at").isNull(), F.struct("created_at", "agent_id", "task")))["task"].alias("_open"),
-        F.max(F.struct("created_at", "agent_id", "_o"))["_o"].alias("_last"))
-    joined = (datasets.join(work, "dataset_id", "left").join(modes, "dataset_id", "left")
-              .withColumn("_tasks", steps))
+        F.max(F.struct("created_at", "agent_id", "_o"))["_o"].alias("_order"))
     tree, pdf = F.coalesce("has_tree", F.lit(False)), F.coalesce(F.col("source_mode") == "pdf_only", F.lit(False))
-
-    def eligible(t):
-        return ((t["order"] > F.coalesce("_last", F.lit(-2147483648))) & ((t["name"] != tree_task) | tree)
-                & ((t["name"] != manuscript_task) | pdf))
-
-    following = F.get(F.filter("_tasks", eligible), F.lit(0))["name"]
-    return joined.select("dataset_id", F.when(F.col("rejected_at").isNull(), F.coalesce("_open", following)).alias("task"))
+    joined = (datasets.join(work, "dataset_id", "left").join(modes, "dataset_id", "left")
+              .withColumns({"kind": F.struct(tree.alias("tree"), pdf.alias("pdf")), "_last": F.struct(F.col("_order").alias("order"))})
+              .join(steps, ["kind", "_last"], "left"))
+    return joined.select("dataset_id", F.when(F.col("rejected_at").isNull(), F.coalesce("_open", "_next")).alias("task"))
 
 
 def allowed_functions(tasks: DataFrame, functions, publish_functions, publish_tasks, completion: str) -> DataFrame:
@@ -154,10 +161,18 @@ def last_messages(messages: DataFrame, n: int = 10, delete: int = 2) -> DataFram
 
 
 def dedupe_keep_first(t: DataFrame, key, order):
-    """(kept, surplus): the first row of each key, and the others."""
+    """(kept, surplus): the first row of each key, and all others; of equal rows one is first, the rest are surplus.
+
+    Equal rows are counted first, so a key with many rows is reduced before it is dealt out; ties in
+    ``order`` are broken by the other columns. Null keys are keys like any other.
+    """
     key = [key] if isinstance(key, str) else list(key)
-    kept = first_per_key(t, key, order).select(t.columns)
-    return kept, t.join(kept.select(*key, *order), [*key, *order], "left_anti")
+    rows = t.groupBy(*t.columns).agg(F.count(F.lit(1)).alias("_n"))
+    kept = first_per_key(rows, key, [*order, *[c for c in t.columns if c not in (*key, *order)]]).select(t.columns)
+    first = kept.select(F.struct(*t.columns).alias("_row"), F.lit(1).alias("_kept"))
+    left = F.col("_n").cast("int") - F.coalesce("_kept", F.lit(0))
+    rest = rows.withColumn("_row", F.struct(*t.columns)).join(first, "_row", "left").withColumn("_copy", F.explode(F.array_repeat(F.lit(0), left)))
+    return kept, rest.select(t.columns)
 
 
 def upsert_tasks(tasks: DataFrame, new: DataFrame):

@@ -1,10 +1,11 @@
 """Reshaping: crosstabs, header rows, sub-headers, blocks of data in a sheet, links as JSON."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import clean_text, normalize_string
 from ..plans.intervals import points_in_intervals
 from ..plans.scans import carry_last
+from ..plans.scratch import materialize
 
 SHEET = ["file", "sheet"]
 
@@ -27,24 +28,42 @@ def merge_header_rows(cells: DataFrame, n: int, sep: str = " ") -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("v").isNotNull(), F.struct("row_id", "v")))), lambda e: e["v"]), sep).alias("name"))
 
 
+def _runs(filled: DataFrame, place: str) -> DataFrame:
+    """Parts cut at empty lines: ``part`` becomes (part, first place of the run of filled places the cell is in).
+
+    A filled place starts a run if the place before it is empty; the start is carried down block-wise.
+    """
+    places = filled.select("part", F.col(place).cast("long").alias("_p")).distinct()
+    before = places.select("part", (F.col("_p") + 1).alias("_p"), F.lit(True).alias("_prev"))
+    marked = places.join(before, ["part", "_p"], "left")
+    run = carry_last(marked, ["part"], "_p", {"_run": F.when(F.col("_prev").isNull(), F.col("_p"))}).select("part", F.col("_p").alias(place), "_run")
+    return filled.join(run, ["part", place])
+
+
 def data_islands(cells: DataFrame) -> DataFrame:
-    """(file, sheet, r0, r1, c0, c1): blocks of filled cells between empty rows and columns.
+    """(file, sheet, r0, r1, c0, c1): blocks of filled cells that no empty row or column of their own cuts.
 
-    A filled row starts a block if the row before it is empty; the start is carried down block-wise.
+    Sheets are cut at empty rows, the pieces at columns that are empty in them, these again at rows
+    that are empty in them, and so on until nothing changes, so blocks side by side are cut each by
+    its own empty rows. A piece is named by its first row and column, which no other piece of the sheet shares.
+    Files and sheets without a name are cut like any other. Every round is written once.
     """
-    filled = cells.filter(clean_text(F.col("value")).isNotNull()).select(*SHEET, "row_id", "col_id")
-    rows = filled.select(*SHEET, F.col("row_id").cast("long").alias("row_id")).distinct()
-    before = rows.select(*SHEET, (F.col("row_id") + 1).alias("row_id"), F.lit(True).alias("_prev"))
-    marked = rows.join(before, [*SHEET, "row_id"], "left")
-    started = carry_last(marked, SHEET, "row_id", {"band": F.when(F.col("_prev").isNull(), F.col("row_id"))}).drop("_prev")
-    banded = filled.join(started, [*SHEET, "row_id"])
-    # columns of a band: at most the width of a sheet
-    cols = banded.select(*SHEET, "band", "col_id").distinct()
-    w = W.partitionBy(*SHEET, "band").orderBy("col_id")
-    grouped = cols.withColumn("strip", F.col("col_id") - F.row_number().over(w))
-    return (banded.join(grouped, [*SHEET, "band", "col_id"]).groupBy(*SHEET, "band", "strip")
-            .agg(F.min("row_id").alias("r0"), F.max("row_id").alias("r1"), F.min("col_id").alias("c0"), F.max("col_id").alias("c1"))
-            .select(*SHEET, "r0", "r1", "c0", "c1"))
+    filled = cells.filter(clean_text(F.col("value")).isNotNull()).select(
+        F.struct(*SHEET).alias("sheet"), F.col("row_id").cast("long").alias("row_id"), F.col("col_id").cast("long").alias("col_id"))
+    filled = filled.withColumn("part", F.struct("sheet", F.lit(0).cast("long").alias("r"), F.lit(0).cast("long").alias("c")))
+    parts = 0
+    while True:
+        rows = _runs(filled, "row_id").withColumn("part", F.struct("sheet", F.col("_run").alias("r"), F.col("part.c").alias("c"))).drop("_run")
+        cut = _runs(rows, "col_id").withColumn("part", F.struct("sheet", F.col("part.r").alias("r"), F.col("_run").alias("c"))).drop("_run")
+        filled = materialize(cut.select("sheet", "row_id", "col_id", "part"), "islands")
+        now = filled.select(F.count_distinct("part")).first()[0]
+        if now == parts:
+            break
+        parts = now
+    bounds = filled.groupBy("part").agg(F.min("row_id").alias("r0"), F.max("row_id").alias("r1"), F.min("col_id").alias("c0"), F.max("col_id").alias("c1"))
+    kinds = dict(cells.dtypes)
+    return bounds.select("part.sheet.file", "part.sheet.sheet", *[F.col(c).cast(kinds[k]).alias(c) for c, k in
+                                                                  (("r0", "row_id"), ("r1", "row_id"), ("c0", "col_id"), ("c1", "col_id"))])
 
 
 def island_cells(cells: DataFrame, islands: DataFrame) -> DataFrame:
@@ -59,12 +78,11 @@ def merge_islands(cells: DataFrame, islands: DataFrame) -> DataFrame:
 
     ``header`` is the text of a block's first row; rows order by (file, sheet, r0, row_id).
     """
-    placed = island_cells(cells, islands).withColumn("pos", F.col("col_id") - F.col("c0"))
-    block = [*SHEET, "r0", "c0"]
-    heads = (placed.filter("row_id = r0").groupBy(*block)
+    placed = island_cells(cells, islands).withColumn("pos", F.col("col_id") - F.col("c0")).withColumn("_block", F.struct(*SHEET, "r0", "c0"))
+    heads = (placed.filter("row_id = r0").groupBy("_block")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("value", F.lit("")).alias("v")))),
                                            lambda e: e["v"]), "|").alias("header")))
-    return placed.filter("row_id > r0").join(heads, block).select("header", *SHEET, "r0", "row_id", "pos", "value")
+    return placed.filter("row_id > r0").join(heads, "_block").select("header", *SHEET, "r0", "row_id", "pos", "value")
 
 
 def normalize_strings(t: DataFrame, columns, case: str | None = None) -> DataFrame:

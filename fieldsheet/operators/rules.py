@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates
 from ..functions.text import clean_text, coerce_numeric, fold_key
+from ..plans.scratch import materialize
 from ..plans.skew import join_on_hot_keys, rows_of_repeated_keys
 from ..plans.topk import joined_ranked, top_k
 
@@ -134,10 +135,10 @@ def count_and_first(flags: DataFrame, keys, id_col: str, most: int) -> DataFrame
 
     Counts are combined before the shuffle, and the ids are limited below it, so a key that holds most
     of the rows sends ``most`` ids per input partition, whatever its ids look like. Null keys are
-    keys like any other.
+    keys like any other. The flags are worked out and written once, in their few columns.
     """
     safe = [f"_k{i}" for i in range(len(keys))]
-    tagged = flags.select(*[F.struct(F.col(k)).alias(s) for k, s in zip(keys, safe)], F.col(id_col).alias("_id"))
+    tagged = materialize(flags.select(*[F.struct(F.col(k)).alias(s) for k, s in zip(keys, safe)], F.col(id_col).alias("_id")), "flags")
     counts = tagged.groupBy(*safe).agg(F.count(F.lit(1)).alias("n"))
     first = top_k(tagged, safe, ["_id"], most).groupBy(*safe).agg(F.sort_array(F.collect_list("_id")).alias("ids"))
     return counts.join(first, safe).select(*[F.col(s)[k].alias(k) for k, s in zip(keys, safe)], "n", "ids")

@@ -61,7 +61,15 @@ def _text(order: str, piece: str, chosen: Column) -> Column:
 
 def nexus_translate(trees: DataFrame) -> DataFrame:
     """(tree, pos, code, name) of the TRANSLATE block; any text may be a code. Blanks within a name are kept as one."""
-    lexemes = _lexemes(trees)
+    return _translate(_written(trees))
+
+
+def _written(trees: DataFrame) -> DataFrame:
+    """The lexemes of the texts, cut once: what follows reads them several times."""
+    return materialize(_lexemes(trees), "lexemes")
+
+
+def _translate(lexemes: DataFrame) -> DataFrame:
     block = _statements(lexemes, ["TRANSLATE"])
     inside = lexemes.join(block, [*TREE, "statement"]).filter((F.col("i") > F.col("start")) & (F.col("x") != ";"))
     order = W.partitionBy(*TREE).orderBy("i")
@@ -77,13 +85,12 @@ def nexus_translate(trees: DataFrame) -> DataFrame:
     return out.select(*TREE, F.col("pos").cast("int").alias("pos"), "code", "name").filter("code <> '' AND name <> ''")
 
 
-def _tokens(trees: DataFrame) -> DataFrame:
+def _tokens(lexemes: DataFrame) -> DataFrame:
     """(tree, pos, tok, label, length): brackets, commas and texts of the tree, numbered.
 
     The tree is all of a Newick file up to its first semicolon, or what follows the ``=`` of the first
     TREE statement of a NEXUS file. A text has the label before its first colon and the length after it.
     """
-    lexemes = _lexemes(trees)
     tree = _statements(lexemes, ["TREE", "UTREE"])
     named = lexemes.join(tree, [*TREE, "statement"]).filter("i > start AND x <> ';'")
     begun = F.sum((F.col("x") == "=").cast("int")).over(W.partitionBy(*TREE).orderBy("i").rowsBetween(W.unboundedPreceding, -1))
@@ -108,9 +115,10 @@ def tip_labels(trees: DataFrame) -> DataFrame:
 
     NEXUS files with a TRANSLATE block give its names, others the labels of their first tree.
     """
-    named = nexus_translate(trees).select(*TREE, F.col("pos").cast("long").alias("pos"), F.col("name").alias("label"))
+    lexemes = _written(trees)
+    named = _translate(lexemes).select(*TREE, F.col("pos").cast("long").alias("pos"), F.col("name").alias("label"))
     before = F.lag("tok").over(W.partitionBy(*TREE).orderBy("pos"))
-    tips = _tokens(trees).withColumn("before", before).filter("tok = 'text' AND coalesce(before, '(') <> ')' AND label IS NOT NULL")
+    tips = _tokens(lexemes).withColumn("before", before).filter("tok = 'text' AND coalesce(before, '(') <> ')' AND label IS NOT NULL")
     direct = tips.join(named.select(*TREE).distinct(), TREE, "left_anti").select(*TREE, "pos", "label")
     labels = direct.unionByName(named).filter(F.col("label").rlike("[A-Za-z]"))
     distinct = labels.groupBy(*TREE, "label").agg(F.min("pos").alias("pos"))
@@ -128,7 +136,8 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     # windows below run over the tokens of one text value
     w = W.partitionBy(*TREE).orderBy("pos")
     opened, closed = (F.col("tok") == "(").cast("int"), (F.col("tok") == ")").cast("int")
-    t = _tokens(trees).select(*TREE, "pos", "tok", "label", "length", F.lag("tok").over(w).alias("before"),
+    lexemes = _written(trees)
+    t = _tokens(lexemes).select(*TREE, "pos", "tok", "label", "length", F.lag("tok").over(w).alias("before"),
                               F.lead("tok").over(w).alias("after"), F.lead("label").over(w).alias("next_label"), F.lead("length").over(w).alias("next_length"),
                               (F.sum(opened).over(w) - F.sum(closed).over(w) + closed).alias("level"))
     t = materialize(t, "tokens")  # read five times below; the texts are cut once
@@ -151,7 +160,7 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     out = nodes.join(parents, [*TREE, "open"]).select(
         *TREE, "open", "close", (F.col("level") - 1).cast("bigint").alias("depth"), "parent", F.nullif("label", F.lit("")).alias("name"),
         F.coalesce(F.col("length").try_cast("double"), F.lit(0.0)).alias("branch_length"), "is_tip")
-    codes = nexus_translate(trees).select(*TREE, F.col("code").alias("name"), F.col("name").alias("_named"))
+    codes = _translate(lexemes).select(*TREE, F.col("code").alias("name"), F.col("name").alias("_named"))
     codes = first_per_key(codes, [*TREE, "name"], ["_named"])
     named = out.filter("name IS NOT NULL").join(codes, [*TREE, "name"], "left").withColumn("name", F.coalesce("_named", "name"))
     return named.select(out.columns).unionByName(out.filter("name IS NULL"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import registry as tables
 from ..plans.scratch import fresh_path
-from ..sources import cells, delimited, files
+from ..sources import cells, delimited, files, records
 from .registry import query
 
 KIND = """(SELECT file_id, dataset_id, path, uploaded_at, content, CASE WHEN s IN ('newick','nwk','nex','nexus','tre','tree') THEN 'tree' WHEN s IN ('csv','tsv','txt','xlsx','xls','xlsm','xlsb','ods') THEN 'tabular' WHEN s = 'pdf' THEN 'pdf' ELSE 'unknown' END AS file_type
@@ -98,6 +98,26 @@ def _(d):
     return t.select("key", "name", "segment", F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("file_no"), "row_id")
 
 
+@query("read_tables", """WITH c AS (SELECT CAST(floor(c_custkey / 500) AS BIGINT) AS file_no, row_number() OVER (PARTITION BY floor(c_custkey / 500) ORDER BY c_custkey) AS row_id, * FROM customer)
+SELECT file_no, 0 AS row_id, col_id, name AS value FROM (SELECT DISTINCT file_no FROM c) CROSS JOIN (VALUES (0, 'key'), (1, 'the' || chr(10) || 'name'), (2, 'segment')) AS h(col_id, name)
+UNION ALL SELECT file_no, row_id, 0, CAST(c_custkey AS STRING) FROM c
+UNION ALL SELECT file_no, row_id, 1, CASE WHEN c_custkey % 3 = 0 THEN c_name || chr(10) || chr(10) || 'x,y;z|"q"' WHEN c_custkey % 3 = 1 THEN '5" ' || c_name ELSE c_name END FROM c
+UNION ALL SELECT file_no, row_id, 2, CASE WHEN c_custkey % 7 <> 3 THEN c_mktsegment END FROM c""")
+def _(d):
+    """Customers written as files with four delimiters, with line breaks, delimiters and quotes in fields, and read back."""
+    part = F.floor(F.col("c_custkey") / 500).cast("bigint")
+    sep = F.element_at(F.array(*[F.lit(s) for s in delimited.DELIMITERS]), (part % 4 + 1).cast("int"))
+    name = (F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('"'), F.col("c_name"), F.lit('\n\nx,y;z|""q"""')))
+            .when(F.col("c_custkey") % 3 == 1, F.concat(F.lit('5" '), F.col("c_name"))).otherwise(F.col("c_name")))
+    segment = F.when(F.col("c_custkey") % 7 == 3, "NA").otherwise(F.col("c_mktsegment"))
+    rows = d.table("customer").select(part.alias("part"), F.col("c_custkey").alias("k"), F.concat(F.col("c_custkey").cast("string"), sep, name, sep, segment, F.lit("\r")).alias("value"), sep.alias("sep"))
+    heads = rows.groupBy("part", "sep").agg(F.lit(-1).cast("bigint").alias("k")).select("part", "k", F.concat(F.lit("key"), "sep", F.lit('"the\nname"'), "sep", F.lit("segment")).alias("value"), "sep")
+    path = fresh_path(d.spark, "tables")
+    rows.unionByName(heads).repartition("part").sortWithinPartitions("part", "k").select("part", "value").write.partitionBy("part").text(path)
+    t = records.read_tables(d.spark, f"{path}/*")
+    return t.select(F.regexp_extract("file", r"part=(\d+)", 1).cast("bigint").alias("file_no"), "row_id", "col_id", "value")
+
+
 @query("lines_to_cells", rf"""WITH {DELIMS}, {BARE},
  u AS (SELECT file, line_no, string_split(replace(replace(line, '"a' || s || ' b"', 'QQ'), s, chr(1)), chr(1)) AS f, s FROM (SELECT l.*, coalesce(delimiter, chr(2)) AS s FROM lines_of l JOIN chosen USING (file))),
  c AS (SELECT file, line_no AS row_id, s, unnest(f) AS v, generate_subscripts(f, 1) - 1 AS col_id FROM u)

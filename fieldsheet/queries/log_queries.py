@@ -41,6 +41,12 @@ def _(d):
     return log.visible_rows(d.view("agents_of"), d.view("datasets_of"), 7, False).select("agent_id", "dataset_id", "task")
 
 
+@query("visible_messages", "SELECT message_id, agent_id FROM said WHERE agent_id IN (SELECT agent_id FROM agents_of JOIN datasets_of USING (dataset_id) WHERE user_id = 7)")
+def _(d):
+    """Messages know their agent only."""
+    return log.visible_rows(d.view("said").select("message_id", "agent_id"), d.view("datasets_of"), 7, False, d.view("agents_of"))
+
+
 @query("dataset_cards", """WITH s AS (SELECT dataset_id, CAST(sum(n_rows) AS BIGINT) AS r, max(updated_at) AS u FROM registry_log GROUP BY 1),
  w AS (SELECT dataset_id, count(completed_at) AS done, bool_or(completed_at IS NULL) AS o, arg_max(agent_id, struct_pack(a := created_at, b := agent_id)) AS agent_id FROM agents_of GROUP BY 1),
  m AS (SELECT agent_id, arg_max(content, struct_pack(a := created_at, b := message_id)) AS c FROM said GROUP BY 1)
@@ -97,6 +103,20 @@ def _(d):
     return log.dedupe_keep_first(d.sql(DUPES), ["user_id", "event_type"], ["event_id"])[1]
 
 
+SAME = "SELECT user_id, event_type, CAST(event_id % 3 AS INT) AS k FROM events"
+
+
+@query("surplus_of_equal_rows", f"SELECT * FROM ({SAME}) QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY k) > 1")
+def _(d):
+    return log.dedupe_keep_first(d.sql(SAME), ["user_id", "event_type"], ["k"])[1]
+
+
+@query("untouched_tasks", "SELECT count(*) AS n_untouched FROM customer WHERE c_nationkey > 10 AND c_name NOT IN (SELECT c_name FROM customer WHERE c_nationkey < 20)")
+def _(d):
+    new = d.sql("SELECT c_name AS name, c_mktsegment AS text, c_custkey AS position FROM customer WHERE c_nationkey < 20")
+    return log.upsert_tasks(d.sql("SELECT c_name AS name, 'older' AS text, 7 AS `order` FROM customer WHERE c_nationkey > 10"), new)[1]
+
+
 @query("upsert_tasks", """WITH n AS (SELECT c_name AS name, c_mktsegment AS text, c_custkey AS p FROM customer WHERE c_nationkey < 20), o AS (SELECT s_name AS name, 'old' AS text, CAST(s_suppkey AS BIGINT) AS p FROM supplier UNION ALL SELECT c_name, 'older', 7 FROM customer WHERE c_nationkey > 10)
 SELECT coalesce(n.name, o.name) AS name, coalesce(n.text, o.text) AS text, coalesce(n.p, o.p) AS "order", CASE WHEN n.name IS NULL THEN 'untouched' WHEN o.name IS NULL THEN 'created' ELSE 'updated' END AS action FROM o FULL JOIN n ON n.name = o.name""")
 def _(d):

@@ -36,6 +36,19 @@ def _(d):
     return reshape.data_islands(d.view("cells_of"))
 
 
+GRID = """SELECT 'f' || CAST(CAST(floor(p_partkey / 400) AS BIGINT) AS STRING) AS file, CASE WHEN p_partkey % 2 = 0 THEN 's' END AS sheet, CAST(floor(p_partkey % 400 / 2) AS BIGINT) AS row_id, col_id,
+ CASE WHEN col_id < 2 AND floor(p_partkey % 400 / 2) % 5 = 4 THEN NULL WHEN col_id > 2 AND floor(p_partkey % 400 / 2) % 7 = 6 THEN ' ' WHEN col_id = 2 THEN '' ELSE p_name END AS value
+FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4)) AS c(col_id)"""
+
+
+@query("islands_side_by_side", f"""WITH filled AS (SELECT DISTINCT file, sheet, row_id, CAST(floor(col_id / 3) AS INT) AS strip FROM ({GRID}) WHERE trim(value) <> ''),
+ runs AS (SELECT *, row_id - row_number() OVER (PARTITION BY file, sheet, strip ORDER BY row_id) AS run FROM filled)
+SELECT file, sheet, min(row_id) AS r0, max(row_id) AS r1, strip * 3 AS c0, strip * 3 + 1 AS c1 FROM runs GROUP BY file, sheet, strip, run""")
+def _(d):
+    """Two strips of columns with empty rows of their own; every second sheet has no name."""
+    return reshape.data_islands(d.sql(GRID))
+
+
 @query("merge_islands", f"""WITH {ISLANDS}, placed AS (SELECT c.file, c.sheet, i.r0, i.c0, c.row_id, c.col_id - i.c0 AS pos, c.value FROM cells_of c JOIN islands i ON c.file = i.file AND c.sheet = i.sheet AND c.row_id BETWEEN r0 AND r1 AND c.col_id BETWEEN c0 AND c1),
  heads AS (SELECT file, sheet, r0, c0, string_agg(coalesce(value, ''), '|' ORDER BY pos) AS header FROM placed WHERE row_id = r0 GROUP BY ALL)
 SELECT header, file, sheet, r0, row_id, pos, value FROM placed JOIN heads USING (file, sheet, r0, c0) WHERE row_id > r0""")

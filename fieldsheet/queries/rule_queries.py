@@ -165,6 +165,26 @@ def _(d):
     return names.match_names(d.view("occ"), d.view("backbone"))
 
 
+# names changed in several places: alike to 50 % and more, or to less
+CHANGED = "SELECT DISTINCT CASE CAST(row_id % 3 AS INT) WHEN 0 THEN translate(scientificName, 'aeo', 'uia') WHEN 1 THEN substr(scientificName, 3, 9) ELSE scientificName || ' var. nova' END AS scientificName FROM occ"
+MODERATE = f"""WITH near AS (SELECT n.scientificName AS name, b.scientificName AS matched_name,
+   (100 * (greatest(length(n.scientificName), length(b.scientificName)) - levenshtein(lower(n.scientificName), lower(b.scientificName)))) // greatest(length(n.scientificName), length(b.scientificName)) AS confidence
+  FROM ({CHANGED}) n JOIN backbone b ON TRUE),
+ best AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY name ORDER BY CASE WHEN name = matched_name THEN 0 ELSE 1 END, confidence DESC, matched_name) = 1),
+ matches AS (SELECT name, CASE WHEN name = matched_name THEN 'EXACT' WHEN confidence < 50 THEN 'NONE' ELSE 'FUZZY' END AS match_type, CASE WHEN confidence >= 50 THEN matched_name END AS matched_name, CAST(CASE WHEN confidence >= 50 THEN confidence ELSE 0 END AS BIGINT) AS confidence FROM best)"""
+
+
+@query("match_names_moderate", MODERATE + " SELECT * FROM matches")
+def _(d):
+    """Every likeness from 50 % on counts as a match."""
+    return names.match_names(d.sql(CHANGED), d.view("backbone"), least=50)
+
+
+@query("unmatched_names", MODERATE + " SELECT name FROM matches WHERE match_type = 'NONE'")
+def _(d):
+    return names.match_names(d.sql(CHANGED), d.view("backbone"), least=50).filter("match_type = 'NONE'").select("name")
+
+
 @query("apply_name_corrections", "WITH" + MATCHES + """
 SELECT row_id, CASE WHEN match_type = 'FUZZY' AND confidence >= 85 THEN matched_name ELSE scientificName END AS scientificName
 FROM occ LEFT JOIN matches ON name = scientificName""")

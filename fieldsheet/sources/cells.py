@@ -34,14 +34,18 @@ def blank_formula_cells(cells: DataFrame) -> DataFrame:
 
 
 def fill_merged_ranges(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Every cell of a merged range (file, sheet, r0, r1, c0, c1) gets the marked top-left value."""
-    corner = cells.select(*SHEET, F.col("row_id").alias("r0"), F.col("col_id").alias("c0"), F.col("value").alias("_corner"))
-    marked = ranges.join(corner, [*SHEET, "r0", "c0"], "left").withColumn("_end", F.col("r1") + 1)
+    """Every cell of a merged range (file, sheet, r0, r1, c0, c1) gets the marked top-left value.
+
+    Files and sheets without a name are files and sheets like any other.
+    """
+    own = F.struct(*SHEET).alias("_sheet")
+    corner = cells.select(own, F.col("row_id").alias("r0"), F.col("col_id").alias("c0"), F.col("value").alias("_corner"))
+    marked = ranges.select("*", own).join(corner, ["_sheet", "r0", "c0"], "left").drop("_sheet").withColumn("_end", F.col("r1") + 1)
     covered = (points_in_intervals(marked, cells.select(*SHEET, "row_id", "col_id"), SHEET, "r0", "_end", "row_id")
                .filter("col_id BETWEEN c0 AND c1")
-               .select(*SHEET, "row_id", "col_id", F.concat(F.coalesce("_corner", F.lit("")), F.lit(" [UNMERGED CELL]")).alias("_fill")))
-    return cells.join(covered, [*SHEET, "row_id", "col_id"], "left").withColumn(
-        "value", F.coalesce("_fill", "value")).drop("_fill")
+               .select(own, "row_id", "col_id", F.concat(F.coalesce("_corner", F.lit("")), F.lit(" [UNMERGED CELL]")).alias("_fill")))
+    filled = cells.select("*", own).join(covered, ["_sheet", "row_id", "col_id"], "left").withColumn("value", F.coalesce("_fill", "value"))
+    return filled.select(cells.columns)
 
 
 def sheet_sizes(cells: DataFrame) -> DataFrame:

@@ -7,13 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from ..functions.text import let, na_to_null, strip
 from ..plans.skew import join_on_hot_keys
-from ..plans.topk import first_per_key, top_k
-
-# Candidate delimiters in order of preference.
-DELIMITERS = ["\t", ",", ";", "|"]
-
-
-MARK = "\x1e"  # doubled up where a text holds it: MARK 0 is the character itself, MARK 1 a cut
+from ..plans.topk import first_per_key
+from .delimiters import DELIMITERS, MARK, detect_delimiter
+from .records import read_delimited, rebuild_tables  # noqa: F401  part of this module's interface
 
 
 def _cut_outside_quotes(text: Column, pattern: str) -> Column:
@@ -83,30 +79,6 @@ def read_lines(spark: SparkSession, paths) -> DataFrame:
     return numbered_rows(lines, F.col("_p"), F.col("_b")).select("file", F.col("row_id").alias("line_no"), "line")
 
 
-def detect_delimiter(lines: DataFrame, sample: int | None = None) -> DataFrame:
-    """(file, delimiter, rank): delimiters to try per file, best first.
-
-    Of all non-blank lines (the first ``sample`` if given) those holding a delimiter are counted (at least two): the smaller
-    the spread of its number per line, the more lines and the higher the average, the better.
-    Delimiters without enough lines follow in their fixed order.
-    """
-    filled = lines.filter(strip(F.col("line")) != "").select("file", "line_no", "line")
-    if sample is not None:
-        filled = top_k(filled, ["file"], ["line_no"], sample, "_r")
-    marks = filled.select("file", F.explode(F.array(*[F.struct(
-        F.lit(d).alias("delimiter"), F.lit(i).alias("i"),
-        (F.length("line") - F.length(F.replace("line", F.lit(d), F.lit("")))).alias("n")) for i, d in enumerate(DELIMITERS)])).alias("m"))
-    used = F.when(F.col("m.n") > 0, F.col("m.n"))
-    stats = marks.groupBy("file", "m.delimiter", "m.i").agg(
-        F.count(used).alias("lines"), (F.max(used) - F.min(used)).alias("spread"), F.avg(used).alias("average"))
-    enough = F.col("lines") >= 2
-    order = F.struct((~enough).alias("late"), F.when(enough, F.col("spread")).alias("spread"),
-                     F.when(enough, -F.col("lines")).alias("lines"), F.when(enough, -F.col("average")).alias("average"),
-                     F.when(enough, F.ascii("delimiter")).otherwise(F.col("i")).alias("tie"))
-    ranked = stats.withColumn("rank", F.row_number().over(W.partitionBy("file").orderBy(order)).cast("bigint"))  # four rows per file
-    return ranked.select("file", "delimiter", "rank")
-
-
 def choose_delimiter(lines: DataFrame) -> DataFrame:
     """(file, delimiter): the first candidate that gives several columns and no row longer than the header.
 
@@ -140,21 +112,6 @@ def lines_to_cells(lines: DataFrame, delimiters: DataFrame, null_policy: str = "
     return cut.select("file", "row_id", "col_id", value.alias("value"))
 
 
-def read_delimited(spark: SparkSession, paths, delimiter: str = ",", null_policy: str = "pandas") -> DataFrame:
-    """Files of one header as an all-string table with ``file`` and ``row_id``; a file with another header is refused.
-
-    ``pandas`` maps the usual missing-value tokens to null; ``keep`` leaves empty texts empty.
-    """
-    rows = (spark.read.option("header", True).option("inferSchema", False).option("sep", delimiter).option("escape", '"')
-            .option("nullValue", "\u0000").option("emptyValue", "").option("encoding", "UTF-8").option("enforceSchema", False)
-            .option("maxColumns", 1 << 20).csv(paths))
-    names = rows.columns
-    # the reader gives null for an unquoted empty field and, with this null marker, for nothing else
-    cells = [(na_to_null(F.col(f"`{c}`")) if null_policy == "pandas" else F.coalesce(F.col(f"`{c}`"), F.lit(""))).alias(c) for c in names]
-    marked = rows.select(*cells, F.col("_metadata.file_path").alias("_p"), F.col("_metadata.file_block_start").alias("_b"))
-    return numbered_rows(marked, F.col("_p"), F.col("_b")).drop("_p", "_b")
-
-
 def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame, title_length: int | None = None, description_length: int | None = None):
     """CSV texts as cells, a summary per table, and warnings. Titles and descriptions are cut only to given lengths.
 
@@ -192,18 +149,3 @@ def csv_payloads_to_cells(payloads: DataFrame, files: DataFrame, title_length: i
     cells = (good.select("dataset_id", F.col("payload_id").alias("table_id"), F.posexplode("_records").alias("row_id", "_r"))
              .select("dataset_id", "table_id", "row_id", F.posexplode(fields(F.col("_r"), ",")).alias("col_id", "value")))
     return cells, summary, skipped.unionByName(strangers)
-
-
-def rebuild_tables(files: DataFrame) -> DataFrame:
-    """Cells of all tables derived again from the source texts of every dataset.
-
-    ``files``: dataset_id, file_id, uploaded_at, content. Tables are numbered per dataset in upload
-    order. Writing the result with ``mode("overwrite")`` replaces earlier derived tables.
-    """
-    lines = text_lines(files.select(F.col("file_id").alias("file"), "content"))
-    cells = lines_to_cells(lines, choose_delimiter(lines)).withColumnRenamed("file", "file_id")
-    enough = cells.groupBy("file_id").agg(F.countDistinct("row_id").alias("_n")).filter("_n > 2").drop("_n")
-    kept = files.select("dataset_id", "file_id", "uploaded_at").join(enough, "file_id")
-    order = W.partitionBy("dataset_id").orderBy("uploaded_at", "file_id")  # one small row per file
-    numbered = kept.withColumn("table_no", F.row_number().over(order).cast("bigint")).drop("uploaded_at")
-    return cells.join(numbered, "file_id").select("dataset_id", "table_no", "file_id", "row_id", "col_id", "value")
