@@ -7,10 +7,11 @@ read. Results have one row (or a bounded list) per dataset.
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import coords, dates
 from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder, let
+from ..plans.ranks import numbered
 from ..plans.scratch import materialize
 from ..plans.topk import joined_ranked, top_k
 
@@ -110,8 +111,7 @@ def first_seen_distinct(values: DataFrame, keys, most: int | None = None) -> Dat
     """Distinct ``text`` per key ignoring case in first-seen ``ord``, first spelling, numbered; only the first ``most`` if given."""
     seen = first_seen(values, keys)
     if most is None:
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord")).cast("bigint")
-        return seen.select(*keys, rank.alias("rank"), "text")
+        return numbered(seen, keys, ["ord"]).select(*keys, "rank", "text")
     return top_k(seen, keys, ["ord"], most).select(*keys, "rank", "text")
 
 
@@ -188,8 +188,7 @@ def _keywords(found: DataFrame, most: int | None) -> DataFrame:
     seen = found.filter((F.col("topic") == "taxon") & F.col("field").isin(list(RANKS))).select("dataset_id", "field", "ord", "text")
     if most is not None:
         return top_k(seen, ["dataset_id"], ["ord"], most).select("dataset_id", "rank", "field", "text")
-    rank = F.row_number().over(W.partitionBy("dataset_id").orderBy("ord")).cast("bigint")
-    return seen.select("dataset_id", rank.alias("rank"), "field", "text")
+    return numbered(seen, ["dataset_id"], ["ord"]).select("dataset_id", "rank", "field", "text")
 
 
 def taxonomic_keywords(*tables: DataFrame, most: int | None = None) -> DataFrame:

@@ -5,9 +5,12 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import lookup_key, strip_examples
+from ..plans.ranks import slice_of
 from ..plans.topk import first_per_key, top_k
 from .log import visible_rows
 
+SHALLOW = 10000  # rows in front of and on a page up to which the first rows of all partitions are merged
+
 # Fields that may be filtered by equality.
 FILTER_FIELDS = {"datasets": ["created_at", "orcid"], "tables": ["dataset_id", "title"], "messages": ["agent_id", "created_at"],
                  "agents": ["created_at", "completed_at", "dataset_id", "task"], "files": ["dataset_id"], "tasks": None}
@@ -45,10 +48,16 @@ def search_text(t: DataFrame, q: str, cols) -> DataFrame:
     return t
 
 
-def page_table(t: DataFrame, sort: str, page: int, size: int, descending: bool = False) -> DataFrame:
-    """One page of a sorted table, as shown to a reader; ``row_id`` breaks ties."""
-    order = F.desc(sort) if descending else F.asc(sort)
-    return t.orderBy(order, "row_id").offset(page * size).limit(size)
+def page_table(t: DataFrame, sort: str, page: int, size: int, descending: bool = False, shallow: int = SHALLOW) -> DataFrame:
+    """One page of a sorted table, as shown to a reader; ``row_id`` breaks ties.
+
+    Pages that end within the first ``shallow`` rows take the first rows of every partition. For later
+    ones the table is sorted once into files by range, and only the part that holds the page is read.
+    """
+    order = [F.desc(sort) if descending else F.asc(sort), F.asc("row_id")]
+    if (page + 1) * size <= shallow:
+        return t.orderBy(*order).offset(page * size).limit(size)
+    return slice_of(t, order, page * size, size)
 
 
 def term_lookup(vocab: DataFrame, requested: DataFrame, examples: bool = True) -> DataFrame:

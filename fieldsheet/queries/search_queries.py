@@ -39,6 +39,13 @@ def _(d):
 ASKED = "SELECT concat(' term ', lang, '-', CAST(doc_id % 120 AS STRING)) AS requested FROM documents UNION ALL SELECT '??' FROM region"
 
 
+@query("page_table_deep", "SELECT row_id, recordedBy, country FROM occ ORDER BY recordedBy, row_id LIMIT 40 OFFSET (SELECT 40 * CAST(floor(count(*) / 80) AS BIGINT) FROM occ)")
+def _(d):
+    """The page in the middle of the table: sorted files, of which only those of the page are read."""
+    occ = d.view("occ").select("row_id", "recordedBy", "country")
+    return search.page_table(occ, "recordedBy", occ.count() // 80, 40, shallow=100)
+
+
 @query("term_lookup", f"""WITH v AS (SELECT regexp_replace(lower(term), '[^a-z0-9]+', '', 'g') AS k, section, term, definition FROM vocab_of QUALIFY row_number() OVER (PARTITION BY k ORDER BY section_order, term_order) = 1),
  a AS (SELECT requested, regexp_replace(lower(requested), '[^a-z0-9]+', '', 'g') AS k FROM ({ASKED}))
 SELECT requested, section, term, trim(split_part(definition, ' Examples:', 1), ' ' || chr(9) || chr(10) || chr(13) || chr(160)) AS definition FROM a LEFT JOIN v USING (k) WHERE k <> ''""")
