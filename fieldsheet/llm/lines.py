@@ -11,7 +11,7 @@ from ..plans.scratch import fresh_path, materialize
 from .common import id_back, id_key, join_unique
 from .cuckoo import CuckooFilter
 
-SHARDS = 64
+LEAST_SHARDS, SHARD_KEYS = 64, 1 << 18  # at least so many shards; and so many that the first batch brings this many keys to each
 LEAST_POINTS = 10
 BLANKS = b" \t\n\x0b\x0c\r"
 COUNTS = "shard int, key binary, refs long, first_doc long"
@@ -26,24 +26,20 @@ def line_key(line: bytes) -> bytes | None:
     return hashlib.blake2b(text, digest_size=16).digest()
 
 
-def _postings(shards: int):
-    def run(batches):
-        for batch in batches:
-            docs, shard, keys, ids = batch.column(0).to_pylist(), [], [], []
-            for doc, text in zip(docs, batch.column(1)):
-                found = {line_key(x) for x in (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")} - {None}
-                keys += found
-                ids += [doc] * len(found)
-            shard = [int.from_bytes(k[8:12], "little") % shards for k in keys]
-            yield pa.record_batch([pa.array(shard, pa.int32()), pa.array(keys, pa.binary()), pa.array(ids, pa.int64())],
-                                  names=["shard", "key", "doc"])
-    return run
+def _postings(batches):
+    for batch in batches:
+        docs, keys, ids = batch.column(0).to_pylist(), [], []
+        for doc, text in zip(docs, batch.column(1)):
+            found = {line_key(x) for x in (text.as_buffer().to_pybytes() if text.is_valid else b"").split(b"\n")} - {None}
+            keys += found
+            ids += [doc] * len(found)
+        yield pa.record_batch([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], names=["key", "doc"])
 
 
-def postings(docs: DataFrame, shards: int) -> DataFrame:
-    """Distinct (shard, key, doc) of the lines of ``docs`` (doc_id, text)."""
+def postings(docs: DataFrame) -> DataFrame:
+    """Distinct (key, doc) of the lines of ``docs`` (doc_id, text)."""
     rows = docs.select(id_key(F.col("doc_id")).alias("doc"), F.encode(F.col("text"), "utf-8").alias("text"))
-    return rows.mapInArrow(_postings(shards), POSTINGS).distinct()
+    return rows.mapInArrow(_postings, "key binary, doc long").distinct()
 
 
 def _hashes(keys):
@@ -56,12 +52,14 @@ class LineIndex:
     ``counts`` are exact reference counts (how many documents hold a key, and the smallest of
     them), ``postings`` who holds it, ``filters`` one cuckoo filter per shard over the keys with a
     count. A batch asks the filters first: only keys that they may know are joined with the stored
-    counts. Every update writes a new generation, so a lost job leaves the old one whole. The number
-    of shards is fixed at creation: choose it so that a shard's keys of one batch fit into a task.
+    counts and postings. Every update writes a new generation, so a lost job leaves the old one whole.
+    The first batch fixes the number of shards by its distinct keys, unless it is given; choose
+    batches so that a shard's keys of one batch fit into a task.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, shards: int = SHARDS):
+    def __init__(self, spark: SparkSession, path: str | None = None, shards: int | None = None):
         self.spark, self.path, self.shards, self.generation = spark, path or fresh_path(spark, "lines"), shards, 0
+        self.asked = None
 
     def _table(self, name, schema):
         if not self.generation:
@@ -86,24 +84,41 @@ class LineIndex:
         self.generation += 1
 
     def insert(self, docs: DataFrame) -> None:
-        """Add documents (doc_id, text). A document that is held already must be deleted first."""
-        new = materialize(postings(docs, self.shards), "postings")
+        """Add documents (doc_id, text); lines that a document is known to hold already are not counted again.
+
+        So a batch may be inserted again after a failure. A document whose text has changed must be
+        deleted first. ``asked`` then holds the batch's keys (shard, key, copies) and whether the filter of their
+        shard may know them: false is certain, and such keys never meet the stored counts.
+        """
+        new = materialize(postings(docs), "postings")
+        if self.shards is None:
+            self.shards = max(LEAST_SHARDS, -(-new.agg(F.approx_count_distinct("key")).first()[0] // SHARD_KEYS))
+        new = new.select(F.pmod(F.xxhash64("key"), F.lit(self.shards)).cast("int").alias("shard"), "key", "doc")
         batch = materialize(new.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("refs"), F.min("doc").alias("first_doc")), "batch-counts")
 
         def ask(key, old, keys):
             held = CuckooFilter.load(old["blob"].iloc[0] if len(old) else None)
-            known = held.contains(_hashes(keys["key"]))
-            return pd.DataFrame({"shard": keys["shard"], "key": keys["key"], "refs": keys["refs"], "first_doc": keys["first_doc"], "known": known})
+            return pd.DataFrame({"shard": keys["shard"], "key": keys["key"], "copies": keys["refs"], "known": held.contains(_hashes(keys["key"]))})
 
         if self.generation:
-            asked = materialize(self.filters.groupBy("shard").cogroup(batch.groupBy("shard")).applyInPandas(ask, COUNTS + ", known boolean"), "asked")
-            again = asked.filter("known").select("shard", "key", F.col("refs").alias("r"), F.col("first_doc").alias("f"))
-            counts = (self.counts.join(again, ["shard", "key"], "full")
+            keys = batch.select("shard", "key", "refs")
+            self.asked = asked = materialize(self.filters.groupBy("shard").cogroup(keys.groupBy("shard")).applyInPandas(ask, "shard int, key binary, copies long, known boolean"), "asked")
+            known = asked.filter("known").select("key", "copies", "known")
+            # only the postings of keys that may be known are compared with those that are held
+            marked = materialize(join_unique(new, known, "key", "copies").select("shard", "key", "doc", "known"), "marked")
+            maybe = marked.filter("known").select("shard", "key", "doc")
+            held = maybe.join(self.postings.select("key", "doc").hint("merge"), ["key", "doc"], "left_semi")
+            fresh_again = materialize(maybe.join(held.select("key", "doc").hint("merge"), ["key", "doc"], "left_anti"), "new-postings")
+            again = fresh_again.groupBy("shard", "key").agg(F.count(F.lit(1)).alias("r"), F.min("doc").alias("f"))
+            sure = asked.filter("not known").select("shard", "key")
+            first = batch.join(sure.hint("merge"), ["shard", "key"], "left_semi")
+            counts = (self.counts.join(again.hint("merge"), ["shard", "key"], "full")
                       .select("shard", "key", (F.coalesce("refs", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("refs"), F.least("first_doc", "f").alias("first_doc"))
-                      .unionByName(asked.filter("not known").drop("known")))
-            fresh = asked.select("shard", "key").join(self.counts.select("shard", "key"), ["shard", "key"], "left_anti")
+                      .unionByName(first.select("shard", "key", "refs", "first_doc")))
+            fresh = sure.unionByName(again.select("shard", "key").join(self.counts.select("shard", "key").hint("merge"), ["shard", "key"], "left_anti"))
+            added = marked.filter("known is null").select("shard", "key", "doc").unionByName(fresh_again)
         else:
-            counts, fresh = batch, batch.select("shard", "key")
+            counts, fresh, added = batch, batch.select("shard", "key"), new
 
         def extend(key, old, keys):
             held = CuckooFilter.load(old["blob"].iloc[0]) if len(old) else CuckooFilter(len(keys))
@@ -111,7 +126,7 @@ class LineIndex:
             return pd.DataFrame({"shard": [key[0]], "blob": [held.dump()]})
 
         filters = self.filters.groupBy("shard").cogroup(fresh.groupBy("shard")).applyInPandas(extend, "shard int, blob binary")
-        self._write(counts, filters, self.postings.unionByName(new))
+        self._write(counts, filters, self.postings.unionByName(added))
 
     def delete(self, doc_ids: DataFrame) -> None:
         """Take the documents of ``doc_ids`` (doc_id) out again, as if they had never been added."""
