@@ -3,10 +3,12 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import clean_text
+from ..plans.scratch import materialize
 from ..plans.skew import join_on_hot_keys
 from ..plans.topk import first_per_key, joined_ranked, top_k
 
 IDS = ["dataset_id", "table_id"]
+ROUNDS = [80, 70, 60]  # likenesses tried before a lower least one
 
 
 def names_to_check(t: DataFrame, all_up_to: int | None = None, rarest: int | None = None) -> DataFrame:
@@ -33,26 +35,15 @@ def _piece(size: Column, pieces: Column, i: Column):
     return 1 + (i - 1) * short + F.greatest(i - 1 - before_long, F.lit(0)), short + (i > before_long).cast("int")
 
 
-def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataFrame:
-    """(name, match_type, matched_name, confidence) of distinct names against ``backbone(scientificName)``.
+def _candidates(rest: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """(name, matched_name): every pair that may be alike to ``least`` percent, from an equi join of pieces.
 
-    EXACT by an equi join. The likeness of two names is 100 * (1 - edits / longer length), rounded
-    down, without regard to case. The most alike checklist name of at least ``least`` (50 or more)
-    is a FUZZY match; all others are NONE with 0. A checklist name is cut into one more piece than
-    such a match may have edits, so one piece is whole in the other name, and near its place: pieces
-    before it shift it by their edits at most, pieces after it by theirs. An equi join on length, number
-    and text of pieces finds every candidate, whatever the length of the names. At 50 pieces are single
-    characters, as many as edits; characters added between them leave one whole, at most one place farther off.
+    A checklist name is cut into one more piece than such a match may have edits, so one piece is whole
+    in the other name, and near its place: pieces before it shift it by their edits at most, pieces
+    after it by theirs. At 50 pieces are single characters, as many as edits; characters added between
+    them leave one whole, at most one place farther off.
     """
-    if not 50 <= least <= 100:
-        raise ValueError("least must be at least 50 and at most 100")
     spare = 1 if least == 50 else 0
-    wanted = names.select(F.col("scientificName").alias("name")).distinct()
-    known = backbone.select(F.col("scientificName").alias("matched_name")).distinct()
-    paired = wanted.join(known, wanted["name"] == known["matched_name"], "left")
-    exact = paired.filter("matched_name IS NOT NULL")
-    rest = paired.filter("matched_name IS NULL").select("name")
-
     i, m, size = F.col("i"), F.col("m"), F.col("size")
     start, width = _piece(m, F.col("k"), i)
     cut = (known.select("matched_name", F.lower("matched_name").alias("low")).withColumn("m", F.length("low")).filter("m > 0")
@@ -68,13 +59,45 @@ def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataF
     tried = (tried.withColumns({"first": first, "last": last}).filter("first <= last")
              .withColumn("at", F.explode(F.sequence("first", "last")))
              .select("name", F.xxhash64("m", "i", F.substr("low", F.col("at"), F.col("width"))).alias("_key")).distinct())
+    return tried.join(cut, "_key").select("name", "matched_name").distinct()
+
 
-    pairs = tried.join(cut, "_key").select("name", "matched_name").distinct()
+def _most_alike(rest: DataFrame, known: DataFrame, least: int) -> DataFrame:
+    """(name, matched_name, confidence) of the names with a checklist name alike to ``least`` percent or more: the most alike."""
     edits = F.levenshtein(F.lower("name"), F.lower("matched_name"))
     longer = F.greatest(F.length(F.lower("name")), F.length(F.lower("matched_name")))
-    scored = (pairs.select("name", "matched_name", longer.alias("_len"), edits.alias("edits"))
+    scored = (_candidates(rest, known, least).select("name", "matched_name", longer.alias("_len"), edits.alias("edits"))
               .withColumn("confidence", F.expr("(100 * (_len - edits)) div _len")).filter(F.col("confidence") >= least))
-    best = first_per_key(scored, ["name"], [-F.col("confidence"), F.col("matched_name")])
+    return first_per_key(scored, ["name"], [-F.col("confidence"), F.col("matched_name")]).select("name", "matched_name", "confidence")
+
+
+def match_names(names: DataFrame, backbone: DataFrame, least: int = 80) -> DataFrame:
+    """(name, match_type, matched_name, confidence) of distinct names against ``backbone(scientificName)``.
+
+    EXACT by an equi join. The likeness of two names is 100 * (1 - edits / longer length), rounded
+    down, without regard to case. The most alike checklist name of at least ``least`` (50 or more)
+    is a FUZZY match; all others are NONE with 0. Below 80 % names are searched in rounds of falling
+    likeness: a name that has a match in one round cannot find a better one in the next, so the many
+    candidates of low likeness are formed only for names without any match above it. Each round is written.
+    """
+    if not 50 <= least <= 100:
+        raise ValueError("least must be at least 50 and at most 100")
+    wanted = names.select(F.col("scientificName").alias("name")).distinct()
+    known = backbone.select(F.col("scientificName").alias("matched_name")).distinct()
+    paired = wanted.join(known, wanted["name"] == known["matched_name"], "left")
+    exact = paired.filter("matched_name IS NOT NULL")
+    rest = paired.filter("matched_name IS NULL").select("name")
+    levels = [x for x in ROUNDS if x > least]
+    best, open_names = None, rest
+    if levels:
+        known, open_names = materialize(known, "checklist"), materialize(rest, "names")
+        rest = open_names
+    for level in [*levels, least]:
+        found = _most_alike(open_names, known, level)
+        if level > least:
+            found = materialize(found, "matches")
+            open_names = materialize(open_names.join(found.select("name").hint("merge"), "name", "left_anti"), "names")
+        best = found if best is None else best.unionByName(found)
     fuzzy = rest.join(best, "name", "left").select(
         "name", F.when(F.col("matched_name").isNull(), "NONE").otherwise("FUZZY").alias("match_type"), "matched_name",
         F.coalesce("confidence", F.lit(0)).cast("bigint").alias("confidence"))
