@@ -121,6 +121,27 @@ def _(d):
     return validate.run_counts(counts, target, check).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
+# a batch leaves out what lay behind the watermark that the batch before it ran with: two files back
+ARRIVING = "SELECT *, CAST(row_id % 4 AS INT) AS part FROM occ"
+LATE = ("WITH f AS (SELECT part, make_timestamp(y, m, d, 0, 0, 0.0) AS day, rule FROM (" + " UNION ALL ".join(
+    f"SELECT CAST(row_id % 4 AS INT) AS part, y, m, d, '{r}' AS rule FROM occ WHERE {bad}" for r, bad in BAD.items()) + ")),"
+    " seen AS (SELECT p.part, max(f.day) - INTERVAL 2000 DAY AS closed FROM (SELECT DISTINCT part FROM f) p JOIN f ON f.part < p.part - 1 GROUP BY p.part),"
+    " judged AS (SELECT f.*, coalesce(day + INTERVAL 1 DAY <= closed, FALSE) AS late FROM f LEFT JOIN seen USING (part))"
+    " SELECT strftime(day, '%Y-%m-%d') AS day, rule, count(*) FILTER (NOT late) AS bad_rows, count(*) FILTER (late) AS late_rows FROM judged GROUP BY ALL")
+
+
+@query("stream_late_rows", LATE)
+def _(d):
+    """Four files that arrive one after the other; from the third on the oldest days are closed."""
+    source, target, check = (fresh_path(d.spark, n) for n in ("arriving", "late", "checkpoint"))
+    occ = d.sql(ARRIVING).withColumn("seen_at", F.make_timestamp("y", "m", "d", F.lit(0), F.lit(0), F.lit(0).cast("decimal(8,6)")))
+    for part in range(4):
+        occ.filter(F.col("part") == part).coalesce(1).write.mode("append").parquet(source)
+    stream = ingest.file_stream(d.spark, source, occ.schema, files_per_batch=1)
+    rows = validate.validate_with_late(stream, "seen_at", "2000 days", target, check, fixed_day())
+    return rows.withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+
+
 @query("stream_unique", "SELECT DISTINCT user_id FROM events")
 def _(d):
     source, target, check = (fresh_path(d.spark, n) for n in ("visits", "first-visits", "checkpoint"))
