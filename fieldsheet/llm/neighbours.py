@@ -12,6 +12,7 @@ CURVES, PLANES, BITS = 4, 4, 8
 RUN = 2048
 REACH = 128
 QUERY_BLOCK = 1024
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
@@ -110,17 +111,28 @@ def nearest(vectors: DataFrame, key: str, vector: str, every: int, count: int =
     a floor: each run of the first curve whose centre and radius allow a product above it is ranked too, so
     nothing is missed. Returns query_id, rank, vec_id, score.
 
-    Unusable vectors (see :func:`usable`) take no part; all vectors must have one dimension. A vector is
+    Unusable vectors (see :func:`usable`) and rows without an id take no part. Vectors of different
+    dimension have no product: each dimension is searched by itself. A vector is
     no candidate of its own id. A query without other vectors has no rows; an empty table gives none.
     """
     points = materialize(usable(vectors, key, vector), "vectors")
-    shape = points.agg(F.min(F.size("v")), F.max(F.size("v")), F.count(F.lit(1))).first()
-    if shape[0] != shape[1]:
-        raise ValueError("vectors differ in dimension")
+    sizes = sorted(r[0] for r in points.select(F.size("v")).distinct().collect())  # the dimensions that occur, as a rule one
+    if not sizes:
+        return vectors.sparkSession.createDataFrame([], RESULT)
+    parts = [_of_one_dimension(points if len(sizes) == 1 else points.filter(F.size("v") == d), d, every, count, curves, reach, complete) for d in sizes]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    # an id may have vectors of several dimensions
+    return found if len(sizes) == 1 else _best(found.drop("rank"), count).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def _of_one_dimension(points: DataFrame, dims: int, every: int, count: int, curves: int, reach: int, complete: bool) -> DataFrame:
+    total = points.count()
     schema = "query_id long, vec_id long, score double"
     found, first = None, None
     for c in range(curves):
-        placed = materialize(curve_order(points, shape[0] or 1, c), "curve")
+        placed = materialize(curve_order(points, dims, c), "curve")
         first = placed if first is None else first
         at = F.floor(F.col("place") / RUN)
         over = F.array_distinct(F.array(at, F.floor((F.col("place") - reach) / RUN), F.floor((F.col("place") + reach) / RUN)))
@@ -132,7 +144,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, every: int, count: int =
         floors = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count(F.lit(1)).alias("n"))
         queries = points.filter(F.col("id") % every == 0).join(floors, F.col("id") == F.col("query_id"), "left")
         queries = queries.select("id", "v", F.when(F.col("n") >= count, F.col("low")).otherwise(float("-inf")).alias("floor"))
-        runs = 1 + (shape[2] - 1) // RUN if shape[2] else 0
+        runs = 1 + (total - 1) // RUN if total else 0
         blocks = 1 + queries.count() // QUERY_BLOCK
         asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(max(runs - 1, 0)))))
         held = (first.select("id", "v", F.floor(F.col("place") / RUN).cast("int").alias("run"))

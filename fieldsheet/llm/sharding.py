@@ -86,18 +86,24 @@ def shard(df: DataFrame, shards: int, dimensions=DIMENSIONS, ties=("text_crc32",
     Rows are put in the order of a Hilbert curve through the quantised ``dimensions``, then of the
     columns ``ties``, and the order is cut into runs whose row counts are at most one apart. Rows
     that are equal in all of these take any order. Neighbours on the curve are near in all
-    dimensions, so every shard has a short range in each. Any column may be null; an empty table
+    dimensions, so every shard has a short range in each. Any column may be null and have any name; columns
+    named ``shard`` and ``slot`` are replaced by the new ones. An empty table
     gives no rows; with fewer rows than shards some shards stay empty.
     """
-    order = ["_curve", *ties]
-    placed = ranked(curve_keys(df, dimensions), order, "_rank")
+    for c in (*dimensions, *ties):
+        if c not in df.columns:
+            raise ValueError(f"no column {c}")
+    named = [F.col(f"`{c}`").alias(f"{kind}{i}") for kind, columns in (("dim", dimensions), ("tie", ties)) for i, c in enumerate(columns)]
+    rows = df.select(F.struct("*").alias("row"), *named)  # the caller's columns travel as one value
+    order = ["_curve", *[f"tie{i}" for i in range(len(ties))]]
+    placed = ranked(curve_keys(rows, [f"dim{i}" for i in range(len(dimensions))]), order, "_rank")
     n = placed.count()
     starts = [s * n // shards for s in range(shards)]
 
     rank = F.col("_rank")
     number = F.floor(((rank + 1) * shards - 1) / F.lit(max(n, 1))).cast("int")  # the last shard whose start is at most rank
     first = F.element_at(F.array(*[F.lit(s).cast("long") for s in starts]), number + 1)
-    return placed.withColumn("shard", number).withColumn("slot", rank - first).drop("_rank", "_curve")
+    return placed.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")], number.alias("shard"), (rank - first).alias("slot"))
 
 
 def shard_of(rank: int, n: int, shards: int) -> int:
