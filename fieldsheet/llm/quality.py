@@ -11,7 +11,7 @@ WINDOW = 5
 LEAST_ROWS = 100  # a group with fewer rows takes the thresholds of its language, a language with fewer those of all rows
 REACH = 3  # a fence lies this many quartile distances outside the quartiles
 # Per measure (thousandths): the least quartile distance that counts, and whether values below the lower fence fail too.
-MEASURES = {"word_length": (1500, True), "symbols": (100, False), "dup_lines": (125, False), "repeat_words": (65, False)}
+MEASURES = {"word_length": (1500, True), "symbols": (100, False), "dup_lines": (125, False)}
 BITS = 5  # leading bits a bucket keeps: quantiles are right to one part in 16
 
 
@@ -49,9 +49,9 @@ def _share(count: str, of: str) -> Column:
 
 
 def measures() -> dict[str, Column]:
-    """What the thresholds judge, as whole thousandths of the counts of :func:`measure`."""
+    """What the thresholds judge, as whole thousandths of the counts of :func:`measure`; repeated words have a base rule of their own."""
     return {"word_length": _share("word_chars", "n_words"), "symbols": _share("n_symbols", "n_words"),
-            "dup_lines": _share("n_dup_lines", "n_lines"), "repeat_words": _share("n_repeat_words", "n_words")}
+            "dup_lines": _share("n_dup_lines", "n_lines")}
 
 
 def bucket(value: Column) -> Column:

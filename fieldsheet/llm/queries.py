@@ -183,7 +183,7 @@ counts AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_strin
            len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(l) AS n_lines FROM texts LEFT JOIN covered USING (doc_id)),
 base AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM counts),
 each AS (SELECT doc_id, lang, source, unnest([{{'measure': 'word_length', 'v': 1000 * word_chars // n_words}}, {{'measure': 'symbols', 'v': 1000 * n_symbols // n_words}},
-         {{'measure': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}}, {{'measure': 'repeat_words', 'v': 1000 * n_repeat_words // n_words}}], recursive := true)
+         {{'measure': 'dup_lines', 'v': 1000 * n_dup_lines // n_lines}}], recursive := true)
          FROM base WHERE NOT base_failed),
 bucketed AS (SELECT *, greatest(length(bin(v)) - 5, 0) AS sh FROM each),
 sums AS (SELECT grouping(lang, source) AS level, lang, source, measure, sh * 16 + (v >> sh) AS bucket, count(*) AS n FROM bucketed

@@ -27,7 +27,7 @@ def _top(value):
 
 
 def _measures(c):
-    return {"word_length": 1000 * c[1] // c[0], "symbols": 1000 * c[2] // c[0], "dup_lines": 1000 * c[3] // c[5], "repeat_words": 1000 * c[4] // c[0]}
+    return {"word_length": 1000 * c[1] // c[0], "symbols": 1000 * c[2] // c[0], "dup_lines": 1000 * c[3] // c[5]}
 
 
 def _fences(rows):
