@@ -1,6 +1,6 @@
 """EML 2.2.0 documents, one per dataset row."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import coords, dates, text as tx
 
@@ -140,3 +140,46 @@ def eml_documents(meta: DataFrame, owners: DataFrame, today: Column | None = Non
     package = F.concat(F.lit(HEAD), F.lit(' packageId="dataset-'), F.col("dataset_id").cast("string"), F.lit('/v1">\n'))
     return built.select("dataset_id", F.concat(package, xml, F.lit("\n"), F.coalesce(F.concat(F.col("_e"), F.lit("\n")), F.lit("")),
                                                F.lit("</eml:eml>\n")).alias("eml"))
+
+
+PERSON = ("struct<individualName:struct<givenName:string,surName:string>,electronicMailAddress:string,"
+          "userId:struct<_directory:string,_VALUE:string>,role:string>")
+# What a document holds, as it is read back.
+DOCUMENT = (
+    "_packageId string, dataset struct<alternateIdentifier:string,title:struct<`_xml:lang`:string,_VALUE:string>,"
+    f"creator:array<{PERSON}>,metadataProvider:array<{PERSON}>,pubDate:string,language:string,abstract:struct<para:string>,"
+    "intellectualRights:struct<para:struct<ulink:struct<_url:string,citetitle:string>>>,"
+    "coverage:struct<geographicCoverage:struct<geographicDescription:string,boundingCoordinates:struct<westBoundingCoordinate:string,eastBoundingCoordinate:string,"
+    "northBoundingCoordinate:string,southBoundingCoordinate:string>>,temporalCoverage:struct<singleDateTime:struct<calendarDate:string>,"
+    "rangeOfDates:struct<beginDate:struct<calendarDate:string>,endDate:struct<calendarDate:string>>>,"
+    "taxonomicCoverage:struct<generalTaxonomicCoverage:string,taxonomicClassification:array<struct<taxonRankName:string,taxonRankValue:string,commonName:string>>>>,"
+    f"contact:array<{PERSON}>,methods:struct<methodStep:struct<description:struct<para:string>>>,project:struct<title:string,personnel:array<{PERSON}>>>, "
+    "additionalMetadata struct<metadata:struct<gbif:struct<dateStamp:string,hierarchyLevel:string,citation:string>>>")
+# The order of a dataset's elements.
+CHILDREN = ["alternateIdentifier", "title", "creator", "metadataProvider", "pubDate", "language", "abstract", "intellectualRights", "coverage", "contact", "methods", "project"]
+
+
+def _leaves(value: Column, kind: T.DataType, path: Column) -> Column:
+    """Array of (path, value) of the texts below a parsed value; elements of a list have their place in the path."""
+    if isinstance(kind, T.StructType):
+        parts = [_leaves(value[f.name], f.dataType, F.concat(path, F.lit("/" + f.name))) for f in kind.fields]
+        return F.flatten(F.array(*parts))
+    if isinstance(kind, T.ArrayType):
+        each = F.transform(value, lambda x, i: _leaves(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))))
+        return F.coalesce(F.flatten(each), F.array().cast("array<struct<path:string,value:string>>"))
+    one = F.array(F.struct(path.alias("path"), value.alias("value")))
+    return F.when(value.isNotNull(), one).otherwise(F.array().cast("array<struct<path:string,value:string>>"))
+
+
+def eml_fields(documents: DataFrame) -> DataFrame:
+    """(dataset_id, path, value): every text and attribute of EML documents (dataset_id, eml), read back with the schema of what they may hold.
+
+    The path ``children`` lists the elements of the dataset in the order in which they stand. A text that is no XML gives none of its fields.
+    """
+    parsed = documents.select("dataset_id", "eml", F.from_xml("eml", DOCUMENT, {"mode": "PERMISSIVE"}).alias("doc"))
+    kind = parsed.schema["doc"].dataType
+    body = F.substr("eml", F.instr("eml", F.lit("<dataset>")))
+    places = F.array(*[F.struct(F.regexp_instr(body, F.lit(rf"\n    <{c}[ >]")).alias("at"), F.lit(c).alias("name")) for c in CHILDREN])
+    order = F.array_join(F.transform(F.sort_array(F.filter(places, lambda p: p["at"] > 0)), lambda p: p["name"]), ",")
+    fields = F.concat(_leaves(F.col("doc"), kind, F.lit("")), F.array(F.struct(F.lit("children").alias("path"), order.alias("value"))))
+    return parsed.select("dataset_id", F.explode(fields).alias("f")).select("dataset_id", F.ltrim("f.path", F.lit("/")).alias("path"), "f.value")

@@ -68,6 +68,46 @@ def _(d):
     return eml.eml_documents(_meta(d), _owners(d), F.lit("2024-05-01").cast("date"), F.lit("2024-05-01 00:00:00").cast("timestamp"))
 
 
+def _person_rows(kind, given, sur, email, orcid, where, pos="0", role=None):
+    """SQL rows of one person; parts that are null are left out."""
+    parts = [("individualName/givenName", given), ("individualName/surName", sur), ("electronicMailAddress", email),
+             ("userId/_directory", f"CASE WHEN {orcid} IS NOT NULL THEN 'https://orcid.org/' END"), ("userId/_VALUE", orcid), ("role", f"'{role}'" if role else "NULL")]
+    return [f"SELECT k, 'dataset/{kind}[{pos}]/{path}', {value} FROM c WHERE {where}" for path, value in parts]
+
+
+def _eml_rows():
+    one = [("_packageId", "'dataset-' || CAST(k AS STRING) || '/v1'"), ("dataset/alternateIdentifier", "CASE WHEN k % 6 = 0 THEN 'https://doi.org/10.1/x' END"),
+           ("dataset/title/_xml:lang", "'eng'"), ("dataset/title/_VALUE", "c_name"), ("dataset/pubDate", "'2024-05-01'"), ("dataset/language", "'eng'"),
+           ("dataset/abstract/para", "CASE WHEN k % 2 = 0 THEN 'About <' || c_mktsegment || '> & more' END"),
+           ("dataset/intellectualRights/para/ulink/_url", "'http://creativecommons.org/licenses/by/4.0/legalcode'"),
+           ("dataset/intellectualRights/para/ulink/citetitle", "'Creative Commons Attribution (CC-BY) 4.0 License'")]
+    place = "dataset/coverage/geographicCoverage/"
+    one += [(place + path, f"CASE WHEN k % 3 = 0 THEN '{value}' END") for path, value in (
+        ("geographicDescription", "lat 10 S to 20 N, lon 5 W to 7 E"), ("boundingCoordinates/westBoundingCoordinate", "-5"), ("boundingCoordinates/eastBoundingCoordinate", "7"),
+        ("boundingCoordinates/northBoundingCoordinate", "20"), ("boundingCoordinates/southBoundingCoordinate", "-10"))]
+    time = "dataset/coverage/temporalCoverage/"
+    one += [(time + "singleDateTime/calendarDate", "CASE WHEN k % 4 = 1 THEN '2019-02-01' END"), (time + "rangeOfDates/beginDate/calendarDate", "CASE WHEN k % 4 = 0 THEN '2025-10-17' END"),
+            (time + "rangeOfDates/endDate/calendarDate", "CASE WHEN k % 4 = 0 THEN '2025-10-22' END")]
+    taxa = "dataset/coverage/taxonomicCoverage/"
+    one += [(taxa + path, f"CASE WHEN k % 7 = 0 THEN '{value}' END") for path, value in (
+        ("generalTaxonomicCoverage", "Plantae, Fabaceae"), ("taxonomicClassification[0]/taxonRankName", "kingdom"), ("taxonomicClassification[0]/taxonRankValue", "Plantae"),
+        ("taxonomicClassification[1]/taxonRankName", "family"), ("taxonomicClassification[1]/taxonRankValue", "Fabaceae"))]
+    more = "additionalMetadata/metadata/gbif/"
+    one += [("dataset/project/title", "CASE WHEN k % 5 = 0 THEN 'My project' END")]
+    one += [(more + path, f"CASE WHEN k % 8 = 0 THEN '{value}' END") for path, value in (("dateStamp", "2024-05-01T00:00:00Z"), ("hierarchyLevel", "dataset"), ("citation", "Cite me"))]
+    there = [("alternateIdentifier", "k % 6 = 0"), *[(c, "TRUE") for c in ("title", "creator", "metadataProvider", "pubDate", "language")], ("abstract", "k % 2 = 0"), ("intellectualRights", "TRUE"),
+             ("coverage", "(k % 3 = 0 OR k % 4 < 2 OR k % 7 = 0)"), ("contact", "TRUE"), ("project", "k % 5 = 0")]
+    one.append(("children", "concat_ws(',', " + ", ".join(f"CASE WHEN {when} THEN '{c}' END" for c, when in there) + ")"))
+    rows = [f"SELECT k, '{path}', {value} FROM c" for path, value in one]
+    owner = ("first_name", "last_name", "email", "orcid")
+    rows += _person_rows("creator", "c_mktsegment", "c_name", "'a@example.org'", "'0000'", "k % 3 = 0") + _person_rows("creator", "NULL", "'Second'", "NULL", "NULL", "k % 3 = 0", "1")
+    rows += _person_rows("creator", *owner, "k % 3 <> 0") + _person_rows("metadataProvider", *owner, "TRUE")
+    rows += _person_rows("contact", "first_name", "last_name", "CASE WHEN k % 9 = 0 THEN 'c@example.org' ELSE email END", "orcid", "TRUE")
+    rows += _person_rows("project/personnel", "c_mktsegment", "c_name", "NULL", "'0000'", "k % 15 = 0", role="metadataProvider")
+    rows += _person_rows("project/personnel", "NULL", "'Second'", "NULL", "NULL", "k % 15 = 0", "1", "metadataProvider")
+    return " UNION ALL ".join(rows)
+
+
 # the parts of the documents that follow from a row, read back from the XML text
 @query("eml_content", """SELECT c_custkey AS dataset_id, c_name AS title, CASE WHEN c_custkey % 6 = 0 THEN 'https://doi.org/10.1/x' ELSE '' END AS doi,
  CASE c_custkey % 4 WHEN 0 THEN '2025-10-17' ELSE '' END AS begins, CASE c_custkey % 3 WHEN 0 THEN '-10' ELSE '' END AS south, c_custkey % 5 = 0 AS has_project, c_custkey % 8 = 0 AS has_citation,
@@ -88,6 +128,12 @@ def _(d):
 OWNER = "CASE WHEN c_mktsegment = 'MACHINERY' THEN 'Test' ELSE c_mktsegment END AS first_name, 'User' AS last_name, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_mktsegment || '@example.org' END AS email, CASE WHEN c_mktsegment = 'MACHINERY' THEN '0000-0002-1825-0097' ELSE '0000-1' END AS orcid"
 
 
+@query("eml_fields", f"WITH c AS (SELECT c_custkey AS k, c_name, c_mktsegment, {OWNER} FROM customer), f(dataset_id, path, value) AS ({_eml_rows()}) SELECT * FROM f WHERE value IS NOT NULL")
+def _(d):
+    """Every text of every document, and the order of its elements, read back from the XML."""
+    return eml.eml_fields(eml.eml_documents(_meta(d), _owners(d), F.lit("2024-05-01").cast("date"), F.lit("2024-05-01 00:00:00").cast("timestamp")))
+
+
 @query("eml_people", f"""WITH o AS (SELECT c_custkey, {OWNER} FROM customer), u AS (SELECT c_custkey, 0 AS pos, c_mktsegment AS first_name, c_name AS last_name, 'a@example.org' AS email, '0000' AS orcid FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT c_custkey, 1, NULL, 'Second', NULL, NULL FROM customer WHERE c_custkey % 3 = 0)
 SELECT c_custkey AS dataset_id, 'creator' AS kind, pos, first_name, last_name, email, orcid FROM u UNION ALL SELECT c_custkey, 'creator', 0, first_name, last_name, email, orcid FROM o WHERE c_custkey % 3 <> 0
 UNION ALL SELECT c_custkey, 'metadataProvider', 0, first_name, last_name, email, orcid FROM o UNION ALL SELECT c_custkey, 'contact', 0, first_name, last_name, CASE WHEN c_custkey % 9 = 0 THEN 'c@example.org' ELSE email END, orcid FROM o
