@@ -7,6 +7,7 @@ from ..plans.scans import running_sum
 from ..plans.topk import top_k
 
 IDS = ["dataset_id", "table_id"]
+HLL_BITS = 12
 
 
 def _data_columns(t: DataFrame):
@@ -44,6 +45,47 @@ def column_profile(t: DataFrame, approximate: bool = False) -> DataFrame:
     return out.orderBy(*IDS, "distinct_values", "column")
 
 
+SKETCHED = 4096  # values a column's sketch tracks; while there are fewer than three quarters of these, their counts are exact
+
+
+def profile_sketch(t: DataFrame, columns=None) -> DataFrame:
+    """(dataset_id, table_id, column, distinct, frequent, filled, total): a profile that can be stored and merged.
+
+    One pass with bounded state per column: ``distinct`` is a HyperLogLog sketch of the non-null values,
+    ``frequent`` a sketch of the most frequent ones. Keep the rows as a table and merge those of arriving rows.
+    """
+    columns = columns or _data_columns(t)
+    texts = t.select(*IDS, *[F.col(c).cast("string").alias(c) for c in columns])
+    aggs = [x for i, c in enumerate(columns) for x in (
+        F.hll_sketch_agg(F.col(c), HLL_BITS).alias(f"d{i}"), F.call_function("approx_top_k_accumulate", F.col(c), F.lit(SKETCHED)).alias(f"f{i}"), F.count(F.col(c)).alias(f"n{i}"))]
+    one = texts.groupBy(*IDS).agg(F.count(F.lit(1)).alias("total"), *aggs)
+    parts = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct"), F.col(f"f{i}").alias("frequent"), F.col(f"n{i}").alias("filled"))
+                                for i, c in enumerate(columns)]))
+    return one.select(*IDS, "total", parts.alias("p")).select(*IDS, "p.*", "total")
+
+
+def merge_profiles(*sketches: DataFrame) -> DataFrame:
+    """One profile of all rows that went into several: tables and columns may differ; no row is read again."""
+    both = sketches[0]
+    for other in sketches[1:]:
+        both = both.unionByName(other)
+    return both.groupBy(*IDS, "column").agg(
+        F.hll_union_agg("distinct").alias("distinct"), F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(SKETCHED)).alias("frequent"),
+        F.sum("filled").alias("filled"), F.sum("total").alias("total"))
+
+
+def profile_of(sketch: DataFrame, top: int = 5) -> DataFrame:
+    """(dataset_id, table_id, column, distinct_values, nulls, total, top_values) of a stored profile.
+
+    ``distinct_values`` is within 3 % in 19 of 20 columns (a sketch of 2**12 registers, standard error 1.6 %), ``nulls`` and
+    ``total`` are exact. ``top_values`` are the most frequent values with their counts, ties by value.
+    """
+    found = F.filter(F.call_function("approx_top_k_estimate", F.col("frequent"), F.lit(SKETCHED)), lambda e: e["item"].isNotNull())
+    listed = F.slice(F.sort_array(F.transform(found, lambda e: F.struct((-e["count"]).alias("m"), e["item"].alias("v")))), F.lit(1), F.lit(top))
+    return sketch.select(*IDS, "column", F.hll_sketch_estimate("distinct").alias("distinct_values"), (F.col("total") - F.col("filled")).alias("nulls"), "total",
+                         F.transform(listed, lambda e: F.struct(e["v"].alias("value"), (-e["m"]).alias("n"))).alias("top_values"))
+
+
 def value_counts(t: DataFrame, top: int = 5, bottom: int = 2, all_up_to: int = 10) -> DataFrame:
     """Per column all values if there are few, else the most and least frequent ones.
 
