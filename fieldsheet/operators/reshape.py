@@ -32,12 +32,13 @@ def _runs(filled: DataFrame, place: str) -> DataFrame:
     """Parts cut at empty lines: ``part`` becomes (part, first place of the run of filled places the cell is in).
 
     A filled place starts a run if the place before it is empty; the start is carried down block-wise.
+    Both joins grow with the cells, while files of cells are small for their rows: neither side is ever broadcast.
     """
     places = filled.select("part", F.col(place).cast("long").alias("_p")).distinct()
     before = places.select("part", (F.col("_p") + 1).alias("_p"), F.lit(True).alias("_prev"))
-    marked = places.join(before, ["part", "_p"], "left")
+    marked = places.join(before.hint("merge"), ["part", "_p"], "left")
     run = carry_last(marked, ["part"], "_p", {"_run": F.when(F.col("_prev").isNull(), F.col("_p"))}).select("part", F.col("_p").alias(place), "_run")
-    return filled.join(run, ["part", place])
+    return filled.join(run.hint("merge"), ["part", place])
 
 
 def data_islands(cells: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def numbered(df: DataFrame, keys, order, name: str = "rank") -> DataFrame:
     pieces = placed.groupBy("_key", "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy("_key").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # as many rows as partitions hold the key
     pieces = pieces.select("_key", "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_add"))
-    return placed.join(pieces, ["_key", "_part"]).select(*df.columns, (F.col("_at") + F.col("_add")).cast("bigint").alias(name))
+    return placed.join(pieces.hint("merge"), ["_key", "_part"]).select(*df.columns, (F.col("_at") + F.col("_add")).cast("bigint").alias(name))
 
 
 def slice_of(df: DataFrame, order, start: int, rows: int) -> DataFrame:

@@ -14,13 +14,16 @@ def _blocked(df, pos, block):
 
 
 def _join_blocks(rows: DataFrame, values: DataFrame, keys) -> DataFrame:
-    """Every row with the values of its group and block; null keys are groups like any other."""
+    """Every row with the values of its group and block; null keys are groups like any other.
+
+    There may be as many groups as rows, so the values are not broadcast.
+    """
     on = F.lit(True)
     named = values.select(*[F.col(c).alias(f"_j{i}") if c in (*keys, "_block") else F.col(c) for i, c in enumerate(values.columns)])
     for i, c in enumerate(values.columns):
         if c in (*keys, "_block"):
             on = on & F.col(c).eqNullSafe(F.col(f"_j{i}"))
-    return rows.join(named, on)
+    return rows.join(named.hint("merge"), on)
 
 
 def carry_last(df: DataFrame, keys, pos: str, values: dict[str, Column], block: int = BLOCK) -> DataFrame:
