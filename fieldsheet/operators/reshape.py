@@ -83,7 +83,7 @@ def merge_islands(cells: DataFrame, islands: DataFrame) -> DataFrame:
     heads = (placed.filter("row_id = r0").groupBy("_block")
              .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("value", F.lit("")).alias("v")))),
                                            lambda e: e["v"]), "|").alias("header")))
-    return placed.filter("row_id > r0").join(heads, "_block").select("header", *SHEET, "r0", "row_id", "pos", "value")
+    return placed.filter("row_id > r0").join(heads.hint("merge"), "_block").select("header", *SHEET, "r0", "row_id", "pos", "value")
 
 
 def normalize_strings(t: DataFrame, columns, case: str | None = None) -> DataFrame:

@@ -41,9 +41,9 @@ def points_in_intervals(intervals: DataFrame, points: DataFrame, keys, lo: str,
     """Pairs of rows with equal ``keys`` and ``lo <= point < hi``; nulls in the keys equal each other.
 
     Points go only to the levels some interval uses. A wide interval makes one block hold many
-    points; such blocks are spread over tasks.
+    points; such blocks are spread over tasks. Intervals may be as many as points and are not broadcast.
     """
     left = (intervals.withColumn("_b", F.explode(cover(F.col(lo), F.col(hi)))).withColumn("_key", F.struct(*keys)).drop(*keys)
             .withColumns({"_level": F.col("_b.level"), "_block": F.col("_b.block")}).drop("_b"))
     right = in_blocks(points.withColumn("_key", F.struct(*keys)), F.col(point), left, "_level", "_block")
-    return join_on_hot_keys(right, left, ["_key", "_level", "_block"], "inner", spread=[*keys, point]).drop("_key", "_level", "_block")
+    return join_on_hot_keys(right, left.hint("merge"), ["_key", "_level", "_block"], "inner", spread=[*keys, point]).drop("_key", "_level", "_block")

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldsheet.operators import reshape
 from fieldsheet.plans import ranks, scans
+from fieldsheet.plans.intervals import points_in_intervals
 from fieldsheet.plans.scratch import materialize
 
 
@@ -22,3 +23,11 @@ def test_cells_of_small_files_are_not_broadcast(spark):
     carried = scans.carry_last(filled, ["file"], "row_id", {"value": F.col("value")}, 10)
     assert "BroadcastExchange" not in plan(carried) and carried.count() == 400
     assert "BroadcastExchange" not in plan(ranks.numbered(filled, ["file"], ["row_id"]))
+
+
+def test_blocks_of_cells_are_not_broadcast(spark):
+    cells = _cells(spark)
+    islands = materialize(cells.select("file", "sheet", F.col("row_id").alias("r0"), F.col("row_id").alias("r1"), F.col("col_id").alias("c0"), F.col("col_id").alias("c1")), "islands")
+    placed = points_in_intervals(islands.withColumn("_end", F.col("r1") + 1), cells, ["file", "sheet"], "r0", "_end", "row_id")
+    assert "BroadcastExchange" not in plan(placed) and placed.count() == 400
+    assert "BroadcastExchange" not in plan(reshape.merge_islands(cells, islands))
