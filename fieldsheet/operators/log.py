@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import clean_text, strip
 from ..plans.scans import carry_next
+from ..plans.scratch import materialize
 from ..plans.topk import first_per_key, last_per_key, top_k
 
 MESSAGE = ("role string, content variant, tool_call_id string, "
@@ -50,22 +51,31 @@ def new_since_last_message(messages: DataFrame, files: DataFrame, tables: DataFr
     ``messages`` is (message_id, agent_id, dataset_id, created_at, role); ``files`` (dataset_id,
     file_id, path, at); ``tables`` (dataset_id, table_id, at). Each arrival belongs to the agent's
     first message at or after it; a scan in time order, cut into days, finds that message.
+
+    Agents of the same datasets share their arrivals: the times of their messages cut time into
+    spans, the arrivals of a span are listed once, an hour at a time, and only spans are given to every agent.
     """
-    agents = messages.select("dataset_id", "agent_id").distinct()
-    arrived = (files.select("dataset_id", "at", F.struct(F.lit("f").alias("kind"), "file_id", F.col("path").alias("text")).alias("item"))
-               .unionByName(tables.select("dataset_id", "at", F.struct(
-                   F.lit("t").alias("kind"), F.col("table_id").alias("file_id"), F.col("table_id").cast("string").alias("text")).alias("item")))
-               .join(agents, "dataset_id"))
-    micros = F.unix_micros("at") * 2
-    events = arrived.select("agent_id", micros.alias("t"), "item", F.lit(None).cast("bigint").alias("message_id"), F.lit(None).cast("string").alias("role"))
-    said = messages.select("agent_id", (F.unix_micros("created_at") * 2 + 1).alias("t"),
-                           F.lit(None).cast("struct<kind:string,file_id:bigint,text:string>").alias("item"), "message_id", "role")
-    timeline = events.unionByName(said)
-    day = 2 * 86400 * 1000000
-    placed = carry_next(timeline, ["agent_id"], "t", "next", F.when(
+    agents = messages.groupBy("agent_id").agg(F.sort_array(F.collect_set("dataset_id")).alias("group"))
+    owned = agents.select("group").distinct().select("group", F.explode("group").alias("dataset_id"))
+    arrived = (files.select("dataset_id", "at", F.lit("f").alias("kind"), "file_id", F.col("path").alias("text"))
+               .unionByName(tables.select("dataset_id", "at", F.lit("t").alias("kind"), F.col("table_id").alias("file_id"), F.col("table_id").cast("string").alias("text")))
+               .filter("at IS NOT NULL").join(owned, "dataset_id"))
+    day, hour = 2 * 86400 * 1000000, 2 * 3600 * 1000000
+    events = arrived.select("group", (F.unix_micros("at") * 2).alias("t"), F.struct("kind", "file_id", "text").alias("item"))
+    said = messages.select("agent_id", (F.unix_micros("created_at") * 2 + 1).alias("t"), "message_id", "role")
+    ends = said.join(agents.withColumnRenamed("agent_id", "_a"), F.col("agent_id").eqNullSafe(F.col("_a"))).filter("t IS NOT NULL").select("group", "t").distinct()
+    spans = carry_next(events.unionByName(ends, allowMissingColumns=True), ["group"], "t", "span", F.when(F.col("item").isNull(), F.col("t")), day)
+    texts = F.sort_array(F.collect_list(F.struct("t", "item.file_id", "item.text")))["text"]
+    pieces = (spans.filter("item IS NOT NULL AND span IS NOT NULL").groupBy("group", "span", F.floor(F.col("t") / hour).alias("hour"), F.col("item.kind").alias("kind"))
+              .agg(texts.alias("texts")).select("group", "span", "hour", "kind", F.when(
+                  F.exists("texts", lambda x: x.isNotNull()), F.array_join("texts", ", ")).alias("text")))
+    pieces = materialize(pieces, "arrivals")  # read for the spans and for the texts
+    waiting = pieces.select("group", "span").distinct().join(agents, "group").select("agent_id", (F.col("span") - 1).alias("t"), "group", "span")
+    placed = carry_next(waiting.unionByName(said, allowMissingColumns=True), ["agent_id"], "t", "next", F.when(
         F.col("message_id").isNotNull(), F.struct("message_id", "role")), day)
-    found = placed.filter("item IS NOT NULL AND next.role = 'user'").groupBy(F.col("next.message_id").alias("message_id")).agg(
-        F.sort_array(F.collect_list(F.struct("item.kind", "t", "item.file_id", "item.text"))).alias("items"))
+    seen = placed.filter("span IS NOT NULL AND next.role = 'user'").select("group", "span", F.col("next.message_id").alias("message_id"))
+    found = seen.join(pieces.hint("merge"), ["group", "span"]).groupBy("message_id").agg(
+        F.sort_array(F.collect_list(F.struct("kind", "span", "hour", "text"))).alias("items"))
 
     def listed(kind):
         return F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == kind), lambda i: i["text"]), ", ")

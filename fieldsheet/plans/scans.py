@@ -43,14 +43,17 @@ def carry_last(df: DataFrame, keys, pos: str, values: dict[str, Column], block:
 
 
 def carry_next(df: DataFrame, keys, pos: str, name: str, value: Column, block: int = BLOCK) -> DataFrame:
-    """Add the first non-null value at or after each row."""
+    """Add the first non-null value at or after each row.
+
+    Read from the end: a frame up to the last row would be gone through again for every row.
+    """
     b = _blocked(df, pos, block).withColumn("_v", value)
-    inner = W.partitionBy(*keys, "_block").orderBy(pos).rowsBetween(0, W.unboundedFollowing)
-    local = b.withColumn("_l", F.first("_v", True).over(inner))
+    inner = W.partitionBy(*keys, "_block").orderBy(F.col(pos).desc()).rowsBetween(W.unboundedPreceding, 0)
+    local = b.withColumn("_l", F.last("_v", True).over(inner))
     heads = b.groupBy(*keys, "_block").agg(
         F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col(pos))).alias("_h"))
-    outer = W.partitionBy(*keys).orderBy("_block").rowsBetween(1, W.unboundedFollowing)
-    carried = heads.select(*keys, "_block", F.first("_h", True).over(outer).alias("_c"))
+    outer = W.partitionBy(*keys).orderBy(F.col("_block").desc()).rowsBetween(W.unboundedPreceding, -1)
+    carried = heads.select(*keys, "_block", F.last("_h", True).over(outer).alias("_c"))
     return (_join_blocks(local, carried, keys)
             .select(*[F.col(c) for c in df.columns if c != name], F.coalesce("_l", "_c").alias(name)))
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fieldsheet.operators import reshape
+from fieldsheet.operators import log, reshape
 from fieldsheet.plans import ranks, scans
 from fieldsheet.plans.intervals import points_in_intervals
 from fieldsheet.plans.scratch import materialize
@@ -31,3 +31,23 @@ def test_blocks_of_cells_are_not_broadcast(spark):
     placed = points_in_intervals(islands.withColumn("_end", F.col("r1") + 1), cells, ["file", "sheet"], "r0", "_end", "row_id")
     assert "BroadcastExchange" not in plan(placed) and placed.count() == 400
     assert "BroadcastExchange" not in plan(reshape.merge_islands(cells, islands))
+
+
+def test_arrivals_are_not_repeated_for_every_agent(spark, monkeypatch):
+    said = spark.range(40).selectExpr("id AS message_id", "id % 20 AS agent_id", "1L AS dataset_id", "timestamp_micros(1000000 * (1000 + 500 * (id div 20))) AS created_at", "'user' AS role")
+    files = spark.range(200).selectExpr("1L AS dataset_id", "id AS file_id", "concat('f', id) AS path", "timestamp_micros(1000000 * (id * 6)) AS at")
+    rows = []
+    real = log.carry_next
+    monkeypatch.setattr(log, "carry_next", lambda df, *a, **k: (rows.append(df.count()), real(df, *a, **k))[1])
+    notes = log.new_since_last_message(said, files, files.limit(0).selectExpr("dataset_id", "file_id AS table_id", "at")).collect()
+    assert {r["note"] for r in notes} == {"[NOTE: User uploaded file(s): " + ", ".join(f"f{i}" for i in part) + "]" for part in (range(167), range(167, 200))}
+    assert len(notes) == 40 and sum(rows) < 400  # 200 arrivals, 40 messages, two spans for 20 agents, two ends
+
+
+def test_arrivals_of_agents_with_several_datasets(spark):
+    said = spark.createDataFrame([(1, 7, 1, 10, "user"), (2, 7, 2, 20, "user"), (3, 8, 2, 15, "system"), (4, 8, 2, 30, "user"), (5, None, 1, 40, "user")],
+                                 "message_id long, agent_id long, dataset_id long, s int, role string").selectExpr("* EXCEPT (s)", "timestamp_seconds(s) AS created_at")
+    files = spark.createDataFrame([(1, 1, "a", 12), (2, 2, "b", 11), (1, 3, "c", 20), (2, 4, "d", 15), (2, 5, "e", 16), (3, 6, "x", 1), (1, 7, None, 5)],
+                                  "dataset_id long, file_id long, path string, s int").selectExpr("* EXCEPT (s)", "timestamp_seconds(s) AS at")
+    got = log.new_since_last_message(said, files, files.limit(0).selectExpr("dataset_id", "file_id AS table_id", "at"))
+    assert {r["message_id"]: r["note"] for r in got.collect()} == {1: "[NOTE: ]", 2: "[NOTE: User uploaded file(s): b, a, d, e, c]", 4: "[NOTE: User uploaded file(s): e]", 5: "[NOTE: User uploaded file(s): a, c]"}
