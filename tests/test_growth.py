@@ -51,3 +51,12 @@ def test_arrivals_of_agents_with_several_datasets(spark):
                                   "dataset_id long, file_id long, path string, s int").selectExpr("* EXCEPT (s)", "timestamp_seconds(s) AS at")
     got = log.new_since_last_message(said, files, files.limit(0).selectExpr("dataset_id", "file_id AS table_id", "at"))
     assert {r["message_id"]: r["note"] for r in got.collect()} == {1: "[NOTE: ]", 2: "[NOTE: User uploaded file(s): b, a, d, e, c]", 4: "[NOTE: User uploaded file(s): e]", 5: "[NOTE: User uploaded file(s): a, c]"}
+
+
+def test_arriving_rows_in_many_files_give_the_same_counts(spark, monkeypatch):
+    from fieldsheet.queries import archive_queries, load
+    late = load().QUERIES["stream_late_rows"]
+    few = sorted(map(tuple, late(spark, "/root/testdata/sf0.001").collect()))
+    monkeypatch.setattr(archive_queries, "ROWS_A_FILE", 100)
+    many = late(spark, "/root/testdata/sf0.001")
+    assert sorted(map(tuple, many.collect())) == few
