@@ -12,7 +12,7 @@ def archive_meta(columns: DataFrame, assigned: DataFrame, schema_terms: DataFram
     """(table_id, schema_key, row_type, index, term, uri, is_id): the archive columns of every table.
 
     ``assigned`` is (table_id, schema_key). Only headers of the schema and its identifier stay, in
-    their order; ``is_id`` marks the identifier column.
+    their order; ``is_id`` marks the identifier column. Columns meet by table and are grouped there, so a task holds some tables only.
     """
     own = ["schema_key", "row_type", "id_column"]
     terms = schema_terms.select(*own, F.lower("term").alias("_k"), "term", "uri")
@@ -20,7 +20,7 @@ def archive_meta(columns: DataFrame, assigned: DataFrame, schema_terms: DataFram
     # an identifier that is no term of its schema is a Darwin Core term
     ids = ids.join(terms.select("schema_key", "_k"), ["schema_key", "_k"], "left_anti").withColumn("uri", F.concat(F.lit(DWC), "term"))
     allowed = terms.unionByName(ids).distinct()
-    named = columns.withColumn("_k", F.lower(F.trim("name"))).join(assigned, "table_id")
+    named = columns.withColumn("_k", F.lower(F.trim("name"))).join(assigned.hint("merge"), "table_id")
     kept = named.join(allowed, ["schema_key", "_k"])
     first = kept.groupBy("table_id", "schema_key", "row_type", "id_column", "term", "uri").agg(F.min("pos").alias("pos"))
     place = F.row_number().over(W.partitionBy("table_id").orderBy("pos")) - 1  # the columns of one header
