@@ -98,7 +98,8 @@ SPOKEN = """SELECT c_custkey AS id, CAST(c_custkey % 90 AS INT) AS a, CAST(c_cus
 @query("bounds_from_text", f"""WITH n AS (SELECT id, CASE id % 3 WHEN 0 THEN -(a + 0.5) ELSE a END AS p, b AS q, CASE id % 3 WHEN 0 THEN -x ELSE x END AS u, y AS w FROM ({SPOKEN}) WHERE id % 3 < 2)
 SELECT id, CAST(least(u, w) AS DOUBLE) AS west, CAST(greatest(u, w) AS DOUBLE) AS east, CAST(greatest(p, q) AS DOUBLE) AS north, CAST(least(p, q) AS DOUBLE) AS south FROM n""")
 def _(d):
-    return d.sql(SPOKEN).select("id", coords.bounds_from_text(F.col("v")).alias("b")).filter("b IS NOT NULL").select("id", "b.*")
+    spread = d.sql(SPOKEN).repartition(4 * d.spark.sparkContext.defaultParallelism, "id")  # much work per byte: splits by size are too few
+    return spread.select("id", coords.bounds_from_text(F.col("v")).alias("b")).filter("b IS NOT NULL").select("id", "b.*")
 
 
 BOXES = "SELECT s_suppkey AS id, s_acctbal / 50 AS w, s_acctbal / 90 AS e, s_acctbal / 100 AS n, s_acctbal / 300 AS s, s_suppkey % 3 AS k FROM supplier"
