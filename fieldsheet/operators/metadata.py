@@ -106,7 +106,8 @@ def select_extracted_tables(candidates: DataFrame, threshold: float):
 def normalize_keywords(keywords: DataFrame) -> DataFrame:
     """(dataset_id, pos, rank, name, common_name) without repeats, from keywords of several spellings.
 
-    ``keywords`` is (dataset_id, pos, keyword) with the keyword as JSON.
+    ``keywords`` is (dataset_id, pos, keyword) with the keyword as JSON. At equal positions the text
+    decides. Rows are spread before they are grouped, so a task's groups do not grow with the files.
     """
     spellings = {"name": ["scientificName", "scientific_name", "taxonRankValue", "name"], "rank": ["rank", "taxonRankName"],
                  "common_name": ["commonName", "common_name"]}
@@ -116,8 +117,8 @@ def normalize_keywords(keywords: DataFrame) -> DataFrame:
         return F.struct(*[clean_text(F.coalesce(*[F.nullif(j[n], F.lit("")) for n in names])).alias(field)
                           for field, names in spellings.items()])
 
-    read = keywords.select("dataset_id", "pos", let(F.from_json("keyword", schema), cleaned).alias("_j")).select("dataset_id", "pos", "_j.*")
+    read = keywords.repartition("dataset_id", "pos").select("dataset_id", "pos", let(F.from_json("keyword", schema), cleaned).alias("_j")).select("dataset_id", "pos", "_j.*")
     named = read.filter("name IS NOT NULL").withColumn("_k", F.struct(
         F.lower(F.coalesce("rank", F.lit(""))), F.lower("name"), F.lower(F.coalesce("common_name", F.lit("")))))
-    first = first_per_key(named, ["dataset_id", "_k"], ["pos"])
+    first = first_per_key(named, ["dataset_id", "_k"], ["pos", "name", "rank", "common_name"])
     return first.select("dataset_id", "pos", F.coalesce("rank", F.lit("taxon")).alias("rank"), "name", "common_name")

@@ -88,5 +88,4 @@ WORDS = """SELECT l_suppkey AS dataset_id, l_orderkey * 10 + l_linenumber AS pos
 SELECT DISTINCT dataset_id, pos, coalesce(rank, 'taxon') AS rank, name, CAST(NULL AS VARCHAR) AS common_name FROM k QUALIFY dense_rank() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')) ORDER BY pos) = 1 AND row_number() OVER (PARTITION BY dataset_id, lower(name), lower(coalesce(rank, '')), pos ORDER BY name) = 1""")
 def _(d):
     # equal positions occur, since line numbers repeat; the name decides then
-    words = d.sql(WORDS).select("dataset_id", "pos", "keyword").groupBy("dataset_id", "pos", "keyword").count().drop("count")
-    return metadata.normalize_keywords(words)
+    return metadata.normalize_keywords(d.sql(WORDS).select("dataset_id", "pos", "keyword"))
