@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import coords, dates
-from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder, let
+from ..functions.text import clean_text, coerce_float, coerce_int, is_placeholder
 from ..plans.ranks import numbered
 from ..plans.scratch import materialize
 from ..plans.topk import joined_ranked, top_k
@@ -57,47 +57,66 @@ def _methods(have):
 TOPICS = {"place": _places, "taxon": lambda have: [*RANKS, "scientificname"], "method": _methods}
 
 
+def _read(t: DataFrame, have, fields, dated: bool, boxed: bool) -> DataFrame:
+    """The texts of ``fields`` under their numbers, the dates a row covers (``a`` to ``b``) and its coordinates if both are in range.
+
+    Values are read in steps of their own, each computed once: year, month and day then stay in generated code.
+    """
+    ids = ["dataset_id", F.col("table_id").cast("long").alias("t"), F.col("row_id").cast("long").alias("r")]
+    texts = [str(n) for n in range(len(fields))]
+    spans = [dates.date_bounds(_q(have[c])) for c in have if "date" in c] if dated else []
+    spans = {f"span{n}": s for n, s in enumerate(spans)}
+    given = {p: coerce_int(_q(have[p])) if p in have else F.lit(None).cast("bigint") for p in ("year", "month", "day")} if dated and "year" in have else {}
+    pair = {"lat": coerce_float(_q(have["decimallatitude"])), "lon": coerce_float(_q(have["decimallongitude"]))} if boxed else {}
+    rows = t.select(*ids, *[_q(have[c]).cast("string").alias(n) for n, (_, c, _) in zip(texts, fields)],
+                    *[v.alias(n) for n, v in {**spans, **given, **pair}.items()])
+    starts, ends = [[F.col(n)[side] for n in spans] for side in ("start", "end")]
+    if given:
+        rows = rows.withColumn("first", dates.ymd_start(*map(F.col, given)))
+        starts.append(F.col("first"))
+        ends.append(dates.ymd_end(F.col("first"), F.col("month"), F.col("day")))
+    near = coords.in_range(F.col("lat"), F.col("lon")) if boxed else None
+    return rows.select("dataset_id", "t", "r", *[f"`{n}`" for n in texts],
+                       (F.array_min(F.array(*starts)) if starts else F.lit(None).cast("date")).alias("a"),
+                       (F.array_max(F.array(*ends)) if ends else F.lit(None).cast("date")).alias("b"),
+                       *[(F.when(near, F.col(c)) if boxed else F.lit(None).cast("double")).alias(c) for c in ("lat", "lon")])
+
+
 def _gather(tables, topics) -> DataFrame | None:
-    """One row per dataset, topic, field and value (ignoring case) of all tables, from one scan of each and one shuffle.
+    """One row per dataset, topic, field and value (ignoring case) of all tables, from one scan of each.
 
     Text topics give ``text``, the spelling that came first, with ``ord``, its table, column and row. The
-    topic ``dates`` gives the earliest start ``a`` and latest end ``b``, ``box`` the coordinate bounds,
-    ``dataset`` a row for every dataset.
+    topic ``dataset``, a row for every dataset, holds the earliest start ``a`` and latest end ``b`` of ``dates``
+    and the coordinate bounds of ``box``, null where there are none.
+    Rows meet in a hash aggregate by their text as it is stored; only distinct texts are cleaned, lower-cased and sorted.
     Null if no table has a column for any of the topics.
     """
     parts = []
     for t in tables:
-        have, items = _header(t), []
-
-        def item(topic, field=None, i=0, text=None, start=None, end=None, lat=None, lon=None):
-            values = {"topic": (F.lit(topic), "string"), "field": (F.lit(field), "string"), "i": (F.lit(i), "int"), "text": (text, "string"),
-                      "a": (start, "date"), "b": (end, "date"), "lat": (lat, "double"), "lon": (lon, "double")}
-            return F.struct(*[(F.lit(None) if v is None else v).cast(k).alias(n) for n, (v, k) in values.items()])
-
-        for topic in topics:
-            if topic in TOPICS:
-                items += [item(topic, c, i, clean_text(_q(have[c]).cast("string"))) for i, c in enumerate(TOPICS[topic](have)) if c in have]
-        spans = [dates.date_bounds(_q(have[c])) for c in have if "date" in c]
-        if "year" in have:
-            given = {p: coerce_int(_q(have[p])) if p in have else None for p in ("year", "month", "day")}
-            spans.append(dates.ymd_bounds(given["year"], given["month"], given["day"]))
-        if "dataset" in topics:
-            items.append(item("dataset"))
-        if "dates" in topics and spans:
-            found = F.array_compact(F.array(*spans))
-            items.append(let(found, lambda x: item("dates", start=F.array_min(F.transform(x, lambda s: s["start"])), end=F.array_max(F.transform(x, lambda s: s["end"])))))
-        if "box" in topics and {"decimallatitude", "decimallongitude"} <= have.keys():
-            pair = F.struct(coerce_float(_q(have["decimallatitude"])).alias("lat"), coerce_float(_q(have["decimallongitude"])).alias("lon"))
-            items.append(let(pair, lambda p: F.when(coords.in_range(p["lat"], p["lon"]), item("box", lat=p["lat"], lon=p["lon"]))))
-        if items:
-            rows = t.select("dataset_id", "table_id", "row_id", F.explode(F.array(*items)).alias("c"))
-            parts.append(rows.filter("c.text IS NOT NULL OR c.a IS NOT NULL OR c.lat IS NOT NULL OR c.topic = 'dataset'").select(
-                "dataset_id", "c.*", F.struct(F.col("table_id").cast("long").alias("t"), "c.i", F.col("row_id").cast("long").alias("r")).alias("ord")))
+        have = _header(t)
+        fields = [(topic, c, i) for topic in topics if topic in TOPICS for i, c in enumerate(TOPICS[topic](have)) if c in have]
+        dated = "dates" in topics and ("year" in have or any("date" in c for c in have))
+        boxed = "box" in topics and {"decimallatitude", "decimallongitude"} <= have.keys()
+        kinds = [*fields, ("dataset", None, 0)] if dated or boxed or "dataset" in topics else fields
+        if not kinds:
+            continue
+        rows = _read(t, have, fields, dated, boxed).withColumn(str(len(fields)), F.lit(""))
+        whole = F.col("n") == str(len(fields))
+        values = rows.unpivot(["dataset_id", "t", "r", "a", "b", "lat", "lon"], [F.col(f"`{n}`") for n in range(len(kinds))], "n", "raw").filter("raw IS NOT NULL")
+        values = values.withColumns({c: F.when(whole, F.col(c)) for c in ("a", "b", "lat", "lon")})
+        seen = values.groupBy("dataset_id", "t", "n", "raw").agg(
+            F.min("r").alias("r"), F.min(F.col("r").isNotNull()).alias("known"), F.min("a").alias("a"), F.max("b").alias("b"),
+            F.min("lon").alias("west"), F.max("lon").alias("east"), F.max("lat").alias("north"), F.min("lat").alias("south"))
+        kind = F.array(*[F.struct(F.lit(topic).alias("topic"), F.lit(c).cast("string").alias("field"), F.lit(i).alias("i")) for topic, c, i in kinds])
+        seen = seen.withColumns({"c": kind[F.col("n").cast("int")], "text": clean_text(F.col("raw"))})
+        first = F.struct("t", "c.i", F.when(F.col("known"), F.col("r")).alias("r"))  # a row without an id comes first
+        parts.append(seen.select("dataset_id", "c.topic", "c.field", first.alias("ord"), "text", "a", "b", "west", "east", "north", "south"))
     if not parts:
         return None
     return _stack(parts).groupBy("dataset_id", "topic", "field", F.lower("text").alias("_k")).agg(
-        F.min(F.struct("ord", "text")).alias("f"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("lon").alias("west"),
-        F.max("lon").alias("east"), F.max("lat").alias("north"), F.min("lat").alias("south")).select(
+        F.min(F.struct("ord", "text")).alias("f"), F.min("a").alias("a"), F.max("b").alias("b"), F.min("west").alias("west"),
+        F.max("east").alias("east"), F.max("north").alias("north"), F.min("south").alias("south")).filter(
+        "f.text IS NOT NULL OR topic = 'dataset'").select(  # blank texts go last: a filter on them would be moved down to the rows
         "dataset_id", "topic", "field", "f.ord", "f.text", "a", "b", "west", "east", "north", "south")
 
 
@@ -128,7 +147,7 @@ def _none(tables, columns) -> DataFrame:
 
 
 def _temporal(found: DataFrame) -> DataFrame:
-    total = found.filter("topic = 'dates'").select("dataset_id", F.col("a").alias("start"), F.col("b").alias("end"))
+    total = found.filter("a IS NOT NULL").select("dataset_id", F.col("a").alias("start"), F.col("b").alias("end"))
     iso = [F.date_format(c, "yyyy-MM-dd") for c in ("start", "end")]
     scope = F.when(F.col("start") == F.col("end"), iso[0]).otherwise(F.concat(iso[0], F.lit("/"), iso[1]))
     return total.withColumn("temporal_scope", scope)
@@ -141,7 +160,7 @@ def temporal_coverage(*tables: DataFrame) -> DataFrame:
 
 
 def _box(found: DataFrame) -> DataFrame:
-    return found.filter("topic = 'box'").select("dataset_id", "west", "east", "north", "south")
+    return found.filter("west IS NOT NULL").select("dataset_id", "west", "east", "north", "south")
 
 
 def geographic_bounds(*tables: DataFrame) -> DataFrame:

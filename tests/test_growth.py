@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from fieldsheet.operators import log, reshape
+from fieldsheet.operators import coverage, log, reshape
 from fieldsheet.plans import ranks, scans
 from fieldsheet.plans.intervals import points_in_intervals
 from fieldsheet.plans.scratch import materialize
@@ -60,3 +60,39 @@ def test_arriving_rows_in_many_files_give_the_same_counts(spark, monkeypatch):
     monkeypatch.setattr(archive_queries, "ROWS_A_FILE", 100)
     many = late(spark, "/root/testdata/sf0.001")
     assert sorted(map(tuple, many.collect())) == few
+
+
+def _records(spark):
+    ids = "dataset_id long, table_id long, row_id long, "
+    occ = spark.createDataFrame([(1, 1, 5, " Norway", "2007-03", "60", "10"), (1, 1, 4, "norway ", "x", "61", "200"), (1, 1, None, "NORWAY", None, "59", "11"),
+                                 (1, 2, 1, "Sweden", "2011", " ", "12"), (2, 3, 1, " ", "", "1", "1"), (3, 4, 1, None, None, None, None)],
+                                ids + "country string, eventDate string, decimalLatitude string, decimalLongitude string")
+    visits = spark.createDataFrame([(1, 0, 9, "2003", "2", " ", "\t"), (1, 0, 9, "2003", "13", "1", "net"), (4, 9, 1, "2001", None, "7", "Net"), (4, 9, 1, "2001", "2", "30", "net")],
+                                   ids + "year string, month string, day string, method string")
+    return [occ, visits]
+
+
+def test_rows_of_coverage_meet_in_a_hash_aggregate(spark):
+    """A sorting aggregate holds and spills every value of every row; only distinct texts may reach one."""
+    for topics in (["dataset", "dates", "box", *coverage.TOPICS], ["taxon", "place"], ["dates"]):
+        lines = [line for line in plan(coverage._gather(_records(spark), topics)).splitlines() if "Aggregate(" in line]
+        assert lines and "HashAggregate(" in lines[-1] and "ObjectHashAggregate(" not in lines[-1] and "min(r#" in lines[-1]
+        assert "trim" not in plan(coverage._gather(_records(spark), ["place"])).split("HashAggregate(")[-1]
+
+
+def test_tables_of_coverage_are_not_written_first(spark, monkeypatch):
+    from fieldsheet.plans import scratch
+    from fieldsheet.queries import coverage_queries, load
+    written = []
+    for module in (coverage_queries, coverage):
+        monkeypatch.setattr(module, "materialize", lambda df, name: (written.append(name), scratch.materialize(df, name))[1])
+    load().QUERIES["coverage_metadata"](spark, "/root/testdata/sf0.001")
+    assert written == ["coverage"]
+
+
+def test_coverage_of_odd_rows(spark):
+    got = {r["dataset_id"]: r for r in coverage.coverage_metadata(_records(spark)).collect()}
+    assert {k: r["temporal_scope"] for k, r in got.items()} == {1: "2003-02-01/2011-12-31", 2: None, 3: None, 4: "2001-01-01/2001-12-31"}
+    assert got[1]["geographic_scope"] == "Countries: NORWAY, Sweden; Coordinate bounds: lat 59.0000 to 60.0000, lon 10.0000 to 11.0000"  # a row without an id comes first
+    assert got[2]["geographic_scope"] == "Coordinate bounds: lat 1.0000 to 1.0000, lon 1.0000 to 1.0000"
+    assert got[1]["methodology"] == "net" and got[4]["methodology"] == "Net" and got[3]["west"] is None
