@@ -6,13 +6,16 @@
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.text import clean_text, strip
-from ..plans.scans import carry_next
+from ..plans.scans import carry_last, carry_next, running_sum
 from ..plans.scratch import materialize
 from ..plans.topk import first_per_key, last_per_key, top_k
 
 MESSAGE = ("role string, content variant, tool_call_id string, "
            "tool_calls array<struct<id:string,function:struct<name:string,arguments:string>>>")
 
+# Bytes that a listed piece takes besides its text, least step of the windows of notes, steps of notes made from one copy.
+ITEM, STEP, SHARED = 64, 16384, 128
+
 
 def parse_messages(messages: DataFrame) -> DataFrame:
     """Messages with role, content text and tool calls as columns; bad JSON gives nulls."""
@@ -53,7 +56,8 @@ def new_since_last_message(messages: DataFrame, files: DataFrame, tables: DataFr
     first message at or after it; a scan in time order, cut into days, finds that message.
 
     Agents of the same datasets share their arrivals: the times of their messages cut time into
-    spans, the arrivals of a span are listed once, an hour at a time, and only spans are given to every agent.
+    spans, and the arrivals of a span are listed once, an hour at a time. A message takes a run of spans,
+    found by how many bytes are listed up to its time and up to the message before it.
     """
     agents = messages.groupBy("agent_id").agg(F.sort_array(F.collect_set("dataset_id")).alias("group"))
     owned = agents.select("group").distinct().select("group", F.explode("group").alias("dataset_id"))
@@ -62,27 +66,59 @@ def new_since_last_message(messages: DataFrame, files: DataFrame, tables: DataFr
                .filter("at IS NOT NULL").join(owned, "dataset_id"))
     day, hour = 2 * 86400 * 1000000, 2 * 3600 * 1000000
     events = arrived.select("group", (F.unix_micros("at") * 2).alias("t"), F.struct("kind", "file_id", "text").alias("item"))
-    said = messages.select("agent_id", (F.unix_micros("created_at") * 2 + 1).alias("t"), "message_id", "role")
-    ends = said.join(agents.withColumnRenamed("agent_id", "_a"), F.col("agent_id").eqNullSafe(F.col("_a"))).filter("t IS NOT NULL").select("group", "t").distinct()
+    said = (messages.select("agent_id", (F.unix_micros("created_at") * 2 + 1).alias("t"), "message_id", "role").filter("t IS NOT NULL")
+            .join(agents.withColumnRenamed("agent_id", "_a"), F.col("agent_id").eqNullSafe(F.col("_a"))).drop("_a"))
+    ends = said.select("group", "t").distinct()
     spans = carry_next(events.unionByName(ends, allowMissingColumns=True), ["group"], "t", "span", F.when(F.col("item").isNull(), F.col("t")), day)
     texts = F.sort_array(F.collect_list(F.struct("t", "item.file_id", "item.text")))["text"]
     pieces = (spans.filter("item IS NOT NULL AND span IS NOT NULL").groupBy("group", "span", F.floor(F.col("t") / hour).alias("hour"), F.col("item.kind").alias("kind"))
               .agg(texts.alias("texts")).select("group", "span", "hour", "kind", F.when(
                   F.exists("texts", lambda x: x.isNotNull()), F.array_join("texts", ", ")).alias("text")))
     pieces = materialize(pieces, "arrivals")  # read for the spans and for the texts
-    waiting = pieces.select("group", "span").distinct().join(agents, "group").select("agent_id", (F.col("span") - 1).alias("t"), "group", "span")
-    placed = carry_next(waiting.unionByName(said, allowMissingColumns=True), ["agent_id"], "t", "next", F.when(
-        F.col("message_id").isNotNull(), F.struct("message_id", "role")), day)
-    seen = placed.filter("span IS NOT NULL AND next.role = 'user'").select("group", "span", F.col("next.message_id").alias("message_id"))
-    found = seen.join(pieces.hint("merge"), ["group", "span"]).groupBy("message_id").agg(
+    sizes = pieces.groupBy("group", F.col("span").alias("t")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + ITEM).alias("n"))
+    marks = running_sum(ends.unionByName(sizes, allowMissingColumns=True).groupBy("group", "t").agg(F.sum("n").alias("n")), ["group"], "t", {"to": F.col("n")}, day)
+    marks = materialize(marks, "marks")  # read for the messages and for the spans
+    one = said.filter("message_id IS NOT NULL").groupBy("agent_id", "group", "t").agg(F.min(F.struct("message_id", "role")).alias("m"))
+    # every message tells the next its place, and asks just before its own time
+    rows = one.join(marks.hint("merge"), ["group", "t"]).withColumn("asks", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "agent_id", (F.col("t") - F.col("asks")).alias("at"), "asks", "group", "t", "to", "m")
+    placed = carry_last(rows, ["agent_id"], "at", {"last": F.when(F.col("asks") == 0, F.struct("t", "to"))}, day)
+    runs = placed.filter("asks = 1 AND m.role = 'user'").select(
+        "m.message_id", "group", F.coalesce("last.t", F.lit(-(2**63))).alias("after"), "t", F.coalesce("last.to", F.lit(0)).alias("start"), "to").filter("to > start")
+    return _notes(runs, pieces, marks.filter("n IS NOT NULL").select("group", F.col("t").alias("span"), (F.col("to") - F.col("n")).alias("start"), "to"))
+
+
+def _notes(runs: DataFrame, pieces: DataFrame, spans: DataFrame) -> DataFrame:
+    """(message_id, note) of runs of spans: (message_id, group, after, t, start, to), ``start`` and ``to`` in bytes of the group.
+
+    Notes of many agents list the same arrivals, so lists go to the messages and are never shuffled
+    per message: a run lies whole in a window twice as long as the least step at or above its
+    length, so a window is at most eight times as long as a note made from it (or two least steps).
+    Only windows that a run asks for are listed; one with many notes is repeated for every ``SHARED`` steps of them.
+    """
+    length, at = F.col("to") - F.col("start"), ["group", "step", "block"]
+    steps = F.array(*[F.lit(STEP * 4**i).cast("long") for i in range(20)])
+    runs = runs.withColumn("step", F.element_at(F.filter(steps, lambda s: s >= length), 1)).withColumn("block", F.floor(F.col("start") / F.col("step")))
+    runs = materialize(runs.withColumn("runs", F.count(F.lit(1)).over(W.partitionBy("message_id"))), "runs")  # read for the windows and for the notes
+    used = runs.groupBy(*at).agg((F.floor(F.sum(length) / (F.col("step") * SHARED)) + 1).alias("copies"))
+    first = F.floor(F.col("start") / F.col("step"))
+    held = (spans.withColumn("step", F.explode(runs.agg(F.collect_set("step")).scalar())).withColumn("block", F.explode(F.array(first, first - 1)))
+            .filter("to <= (block + 2) * step").select("group", "span", "step", "block").join(used.hint("merge"), at))
+    windows = pieces.join(held.hint("merge"), ["group", "span"]).groupBy(*at, "copies").agg(
         F.sort_array(F.collect_list(F.struct("kind", "span", "hour", "text"))).alias("items"))
+    windows = windows.select(*at, "items", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    dealt = runs.join(used.hint("merge"), at).withColumn("copy", F.pmod(F.xxhash64("message_id", "after", "t"), F.col("copies")))
+    taken = dealt.join(windows.hint("merge"), [*at, "copy"]).select("message_id", "runs", F.filter(
+        "items", lambda i: (i["span"] > F.col("after")) & (i["span"] <= F.col("t"))).alias("items"))
+    again = taken.filter("runs > 1").groupBy("message_id").agg(F.sort_array(F.flatten(F.collect_list("items"))).alias("items"))  # ids that repeat
 
     def listed(kind):
         return F.array_join(F.transform(F.filter("items", lambda i: i["kind"] == kind), lambda i: i["text"]), ", ")
 
-    files_text = F.when(listed("f") != "", F.concat(F.lit("User uploaded file(s): "), listed("f")))
-    tables_text = F.when(listed("t") != "", F.concat(F.lit("New table ids: ["), listed("t"), F.lit("]")))
-    return found.select("message_id", F.concat(F.lit("[NOTE: "), F.concat_ws("; ", files_text, tables_text), F.lit("]")).alias("note"))
+    both = taken.filter("runs = 1").select("message_id", "items").unionByName(again).select("message_id", listed("f").alias("f"), listed("t").alias("t"))
+    files_text = F.when(F.col("f") != "", F.concat(F.lit("User uploaded file(s): "), "f"))
+    tables_text = F.when(F.col("t") != "", F.concat(F.lit("New table ids: ["), "t", F.lit("]")))
+    return both.select("message_id", F.concat(F.lit("[NOTE: "), F.concat_ws("; ", files_text, tables_text), F.lit("]")).alias("note"))
 
 
 def visible_rows(df: DataFrame, datasets: DataFrame, user_id, is_superuser: bool, agents: DataFrame | None = None) -> DataFrame:
